@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from quillmere.plans import wiki
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**wiki.QUERIES}
+SQL: dict[str, str] = {**wiki.SQL}
