@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.operators import copydiff
 from quillmere.operators import hierarchy as trees
 from quillmere.operators.names import last_delivery, page_keys, target_key
 from quillmere.operators.orphans import orphan_references, orphan_report, references
@@ -14,6 +15,23 @@ from quillmere.session import stage, table
 EMBEDS, CHAIN = "embeds", "chain"
 
 
+FINDING_KEY = ["file_path", "rule_id", "line_no", "col_no"]
+FINDING_FIELDS = ["severity", "message"]
+
+
+def findings_copy(findings: DataFrame) -> DataFrame:
+    """The findings that hold in a copy: paths with '/' and without './', the latest state of each, messages without blanks at the ends."""
+    path = F.regexp_replace(F.replace("file_path", F.lit("\\"), F.lit("/")), r"^\./", "")
+    message = F.trim(F.col("message"), F.lit(" \t\r\n"))
+    rows = findings.select(path.alias("file_path"), "rule_id", "line_no", "col_no", "severity", message.alias("message"), "recorded_at")
+    return copydiff.latest(rows, FINDING_KEY, FINDING_FIELDS, "recorded_at")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    cache, fresh = (findings_copy(table(spark, d, f"findings_{name}")) for name in ("cache", "fresh"))
+    return copydiff.diff(cache, fresh, FINDING_KEY, FINDING_FIELDS, ("cache", "fresh"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     refs = references({"page_links": (table(spark, d, "page_links"), "link_id"), "page_embeds": (table(spark, d, "page_embeds"), "embed_id")})
     return orphan_references(refs, table(spark, d, "wiki_pages"), table(spark, d, "repo_pages"))
@@ -73,7 +91,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return below.select(_hierarchy_of("node").alias("hierarchy"), F.shiftright("node", 1).alias("page_id"), F.shiftright("descendant", 1).alias("descendant_id"), "distance")
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
 
 _KEYS = """
 pages AS (SELECT page_id, arg_max(path, scanned_at) AS path, arg_max(created_at, scanned_at) AS created_at, max(deleted_at) AS deleted_at FROM wiki_pages GROUP BY page_id),
@@ -118,7 +136,24 @@ SELECT hierarchy, node, root_node, depth, 'tree' AS state FROM tree
 UNION ALL SELECT s.hierarchy, s.child, '', -1, CASE WHEN EXISTS (SELECT 1 FROM reach r WHERE r.hierarchy = s.hierarchy AND r.start = s.child AND r.at = s.child) THEN 'cycle' ELSE 'below_cycle' END FROM stuck s
 """
 
+_P3 = """
+WITH copies AS (
+  SELECT 'cache' AS side, * FROM findings_cache UNION ALL SELECT 'fresh', * FROM findings_fresh),
+rows AS (SELECT side, regexp_replace(replace(file_path, chr(92), '/'), '^\\./', '') AS file_path, rule_id, line_no, col_no, severity,
+  trim(message, ' ' || chr(9) || chr(10) || chr(13)) AS message, recorded_at FROM copies),
+latest AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY side, file_path, rule_id, line_no, col_no
+  ORDER BY recorded_at DESC NULLS LAST, severity DESC NULLS LAST, message DESC NULLS LAST) = 1),
+joined AS (SELECT coalesce(a.file_path, b.file_path) AS file_path, coalesce(a.rule_id, b.rule_id) AS rule_id, coalesce(a.line_no, b.line_no) AS line_no, coalesce(a.col_no, b.col_no) AS col_no,
+  a.side AS in_cache, b.side AS in_fresh, a.severity AS s1, b.severity AS s2, a.message AS m1, b.message AS m2
+  FROM (SELECT * FROM latest WHERE side = 'cache') a FULL JOIN (SELECT * FROM latest WHERE side = 'fresh') b
+  ON a.file_path IS NOT DISTINCT FROM b.file_path AND a.rule_id IS NOT DISTINCT FROM b.rule_id AND a.line_no IS NOT DISTINCT FROM b.line_no AND a.col_no IS NOT DISTINCT FROM b.col_no)
+SELECT file_path, rule_id, line_no, col_no, CASE WHEN in_fresh IS NULL THEN 'only_in_cache' ELSE 'only_in_fresh' END AS kind, 'row' AS field FROM joined WHERE in_cache IS NULL OR in_fresh IS NULL
+UNION ALL SELECT file_path, rule_id, line_no, col_no, 'differs', 'severity' FROM joined WHERE in_cache IS NOT NULL AND in_fresh IS NOT NULL AND s1 IS DISTINCT FROM s2
+UNION ALL SELECT file_path, rule_id, line_no, col_no, 'differs', 'message' FROM joined WHERE in_cache IS NOT NULL AND in_fresh IS NOT NULL AND m1 IS DISTINCT FROM m2
+"""
+
 SQL = {
+    "p3_found": _P3,
     "p4_found": _P4 + "SELECT * FROM orphans",
     "p4_report": _P4 + "SELECT ref_table, period, reason, count(*) AS n FROM orphans GROUP BY ref_table, period, reason",
     "p5_found": _P5,
