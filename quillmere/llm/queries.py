@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmere.llm import bpe, terms
+from quillmere.llm import bpe, neardup, terms
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +22,42 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(_t(spark, d, "wiki_pages"), _t(spark, d, "domain_counts")).drop("term_id")
 
 
+#: Similarity of page bodies, by runs of three words, and of page slices.
+P2_THRESHOLD = 0.5
+
+
+def _similar_pages(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    pages = _t(spark, d, "wiki_pages").select(F.col("page_id").alias("id"), F.col("body").alias("payload"), F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("version"))
+    slices = _t(spark, d, "page_slices").where("kind <> 'body' AND slice_hash IS NOT NULL").select(F.col("page_id").alias("id"), F.xxhash64("slice_hash").alias("h")).distinct()
+    slices = slices.groupBy("id").agg(F.collect_list("h").alias("payload")).withColumn("version", F.lit(0).cast("long"))
+    return {"body": neardup.similar(pages, neardup.shingles, P2_THRESHOLD, "body"), "slices": neardup.similar(slices, neardup.listed, P2_THRESHOLD, "slices")}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        neardup.expanded(members, pairs).select(F.lit(facet).alias("facet"), F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
+        for facet, (members, pairs) in _similar_pages(spark, d).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's class of equal sets, its links to other classes, and the group it is linked to."""
+    parts = []
+    for facet, (members, pairs) in _similar_pages(spark, d).items():
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+        nodes = members.select(F.col("class_id").alias("id")).distinct()
+        groups = neardup.components(nodes, pairs, facet).withColumnRenamed("id", "class_id")
+        joined = members.join(ends, "class_id", "left").join(groups, "class_id")
+        parts.append(joined.select(F.lit(facet).alias("facet"), F.col("id").alias("page_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(_t(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids}
 
 _P1 = """
 WITH rows AS (
@@ -45,7 +79,20 @@ WITH rows AS (
 )
 """
 
+_P2 = """
+WITH bodies AS (SELECT page_id, arg_max(body, scanned_at) AS body FROM wiki_pages WHERE body IS NOT NULL GROUP BY page_id),
+words AS (SELECT page_id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS w FROM bodies),
+sets AS (
+  SELECT DISTINCT 'body' AS facet, page_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS token FROM words, unnest(generate_series(1, len(w) - 2)) AS s(i) WHERE len(w) >= 12
+  UNION ALL SELECT DISTINCT 'slices', page_id, slice_hash FROM page_slices WHERE kind <> 'body' AND slice_hash IS NOT NULL),
+sizes AS (SELECT facet, page_id, count(*) AS n FROM sets GROUP BY facet, page_id),
+shared AS (SELECT a.facet, a.page_id AS page_id_a, b.page_id AS page_id_b, count(*) AS common FROM sets a JOIN sets b ON a.facet = b.facet AND a.token = b.token AND a.page_id < b.page_id GROUP BY ALL)
+SELECT s.facet, page_id_a, page_id_b FROM shared s JOIN sizes x ON x.facet = s.facet AND x.page_id = page_id_a JOIN sizes y ON y.facet = s.facet AND y.page_id = page_id_b
+WHERE 2 * common >= x.n + y.n - common
+"""
+
 SQL = {
+    "p2_found": _P2,
     "p1_found": _P1 + "SELECT field, term, 'rare' AS mark FROM marked WHERE is_rare UNION ALL SELECT field, term, 'common' FROM marked WHERE is_common",
     "p1_terms": _P1 + "SELECT * FROM marked",
 }
