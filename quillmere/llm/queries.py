@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import bpe, neardup, terms
+from quillmere.llm import bpe, neardup, packing, terms
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(_t(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids}
+#: Tokens a container holds.
+P7_CAPACITY = 2048
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = bpe.count_column(_t(spark, d, "documents"))
+    return packing.pack(sizes, "doc_id", "n_tokens", P7_CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 _P1 = """
 WITH rows AS (
