@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import bpe, neardup, packing, terms
+from quillmere.llm import bpe, neardup, packing, pii, terms
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,17 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", P7_CAPACITY).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids, "p7_packed": p7_packed}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents")
+    return pii.found(documents, pii.fit_model(documents, _t(spark, d, "known_names")))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents")
+    return pii.redacted(documents, pii.fit_model(documents, _t(spark, d, "known_names")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 _P1 = """
 WITH rows AS (
