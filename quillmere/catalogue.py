@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.plans import wiki
+from quillmere.plans import relational, wiki
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**wiki.QUERIES}
-SQL: dict[str, str] = {**wiki.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**wiki.QUERIES, **relational.QUERIES}
+SQL: dict[str, str] = {**wiki.SQL, **relational.SQL}
+flagship = relational.flagship

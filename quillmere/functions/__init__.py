@@ -1 +1 @@
-
+"""Functions on columns and on single texts."""
