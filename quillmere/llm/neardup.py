@@ -19,9 +19,8 @@ ones, where one shared token says little but several by chance are rare.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -57,32 +56,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
 # Token sources: from a column of payloads to sorted arrays of distinct 64-bit tokens; an empty one doesn't count.
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Characters that are worked on at once.
+CHUNK = 1 << 20
+_BASE = _U(0x100000001B3 * 2 + 1)
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 
 
-_words = re.compile(r"[^\W_]+").findall
-_hashes = _Hashes()
+@lru_cache(maxsize=1)
+def _alphabet() -> np.ndarray:
+    """Whether a code point is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    n = CHUNK + 1
+    up, down = np.full(n, _BASE, _U), np.full(n, _INVERSE, _U)
+    up[0] = down[0] = _U(1)
+    return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+
+
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of a text in lower case.
+
+    The hash is that of the word's characters as digits of a number modulo 2**64, taken as the
+    difference of two running sums over the text, divided by the power of the word's place.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, np.int8)
+    inside[1:-1] = _alphabet()[points]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = _powers()
+    if len(points) > CHUNK:  # a text longer than the tables of powers
+        up, down = (np.cumprod(np.concatenate([[_U(1)], np.full(len(points), x, _U)]), dtype=_U) for x in (_BASE, _INVERSE))
+    sums = np.zeros(len(points) + 1, _U)
+    np.cumsum((points + np.uint32(1)) * up[: len(points)], dtype=_U, out=sums[1:])
+    return starts, _mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def shingles(texts: pa.Array, width: int = 3, least_words: int = 12) -> list[np.ndarray]:
     """Runs of ``width`` words, a word being a maximal run of letters and digits in lower case; none below ``least_words``."""
-    sets = []
+    out: list[np.ndarray] = []
+    held: list[str] = []
+    size = 0
     for text in texts.to_pylist():
-        words = _words(text.lower()) if text else ()
-        if len(words) < max(least_words, width):
-            sets.append(np.zeros(0, _U))
-            continue
-        ids = np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
-        run = ids[: len(ids) - width + 1]
-        for i in range(1, width):
-            run = run * _K[2] + ids[i : len(ids) - width + 1 + i]
-        sets.append(np.unique(_mix(run)))
-    return sets
+        text = (text or "").lower()
+        if size and size + len(text) >= CHUNK:
+            out += _shingle_chunk(held, width, least_words)
+            held, size = [], 0
+        held.append(text)
+        size += len(text) + 1
+    return out + _shingle_chunk(held, width, least_words)
+
+
+def _shingle_chunk(texts: list[str], width: int, least_words: int) -> list[np.ndarray]:
+    if not texts:
+        return []
+    starts, words = _word_hashes("\0".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = np.concatenate([[0], np.searchsorted(starts, ends)])
+    n = max(0, len(words) - width + 1)
+    run = words[:n].copy()
+    for i in range(1, width):
+        run = run * _K[2] + words[i : n + i]
+    run = _mix(run)
+    none = np.zeros(0, _U)
+    return [np.unique(run[a : b - width + 1]) if b - a >= max(least_words, width) else none for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def listed(lists: pa.Array) -> list[np.ndarray]:
@@ -118,7 +158,7 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(sets: DataFrame, tokens: Tokens, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of all records' tokens by their leading ``bits``: 2**bits integers for whatever input."""
     schema = "range int, counts binary"
-    rows = sets.mapInArrow(partial(_sketch, tokens, bits), schema).repartition(SKETCH_RANGES, "range").mapInArrow(_sum_sketch, schema).collect()
+    rows = sets.mapInArrow(partial(_sketch, tokens, bits), schema).repartitionById(SKETCH_RANGES, "range").mapInArrow(_sum_sketch, schema).collect()
     counts = np.zeros(1 << bits, np.int32)
     for row in rows:
         counts[row["range"] * (len(counts) // SKETCH_RANGES) :][: len(counts) // SKETCH_RANGES] = np.frombuffer(row["counts"], np.int32)
@@ -137,27 +177,29 @@ def _up(x: np.ndarray | float) -> np.ndarray:
 
 
 def _records(tokens: Tokens, order, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, version, payload) to (id, version, n, s1, s2, prefix_hash, prefix)."""
+    """(id, payload, version) to (id, version, n, s1, s2, prefix_hash, prefix)."""
     counts = order.value
     shift = _U(64 - (len(counts).bit_length() - 1))
     for batch in batches:
         sets = tokens(batch.column(1))
-        rows = []
-        for i, own in enumerate(sets):
-            n = len(own)
-            if not n:
-                continue
-            rank = counts[(own >> shift).astype(np.int64)]
-            sorted_own = own[np.argsort(rank, kind="stable")]
-            prefix = sorted_own[: min(n, n - int(_up(threshold * n)) + int(_matches_wanted(np.int64(n))))]
-            s1, s2 = np.add.reduce(_mix(own)), np.add.reduce(_mix(own ^ _K[2]))
-            rows.append((i, n, s1.astype(np.int64), s2.astype(np.int64), xxhash.xxh3_64_intdigest(prefix.tobytes()), (prefix >> _U(32)).astype(np.uint32).tobytes()))
-        if not rows:
+        at = np.flatnonzero([len(own) for own in sets])
+        if not len(at):
             continue
-        at, n, s1, s2, print_, prefix = zip(*rows)
+        sets = [sets[i] for i in at.tolist()]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        first = np.cumsum(n) - n
+        flat = np.concatenate(sets)
+        rank = counts[(flat >> shift).astype(np.int64)]
+        s1, s2 = np.add.reduceat(_mix(flat), first), np.add.reduceat(_mix(flat ^ _K[2]), first)
+        length = np.minimum(n, n - _up(threshold * n) + _matches_wanted(n))
+        prefixes, prints = [], []
+        for own, start, size, cut in zip(sets, first.tolist(), n.tolist(), length.tolist()):
+            prefix = own[np.argsort(rank[start : start + size], kind="stable")[:cut]]
+            prints.append(xxhash.xxh3_64_intdigest(prefix.tobytes()))
+            prefixes.append((prefix >> _U(32)).astype(np.uint32).tobytes())
         at = pa.array(at)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(2).take(at), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(np.array(print_, _U).view(np.int64)), pa.array(prefix, pa.binary())],
+            [batch.column(0).take(at), batch.column(2).take(at), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.array(prints, _U).view(np.int64)), pa.array(prefixes, pa.binary())],
             names=["id", "version", "n", "s1", "s2", "prefix_hash", "prefix"],
         )
 
@@ -223,35 +265,51 @@ def _postings(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([_pack(columns)], pa.binary())], names=["bucket", "blob"])
 
 
-_MATCH = [np.int64, np.int64, np.int32, np.int8]  # a, b, matches, wanted
+_MATCH = [np.int64, np.int64, np.int8]  # a, b, whether one match is enough
 
 
 def _lists(threshold: float, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's postings to packed matches (a, b, matches, wanted) by bucket of a."""
+    """A task's postings to packed matches by bucket of a."""
     blobs: dict[int, list[list[np.ndarray]]] = {}
     for batch in batches:
         for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blobs.setdefault(number, []).append(_unpack(blob, _POSTING))
     for number in list(blobs):
         key, ids, size, position, block, home = (np.concatenate(c) for c in zip(*blobs.pop(number)))
-        by = np.lexsort((ids, size, block, key))
+        # equal keys meet: sorted by key, then size, as one number; tokens of one record are left out
+        sort = (key.astype(_U) << _U(32)) | size.astype(_U)
+        by = np.argsort(sort)
+        sorted_key = key[by]
+        alone = np.ones(len(by), bool)
+        alone[:-1] &= sorted_key[1:] != sorted_key[:-1]
+        alone[1:] &= sorted_key[1:] != sorted_key[:-1]
+        by = by[~alone]
+        if (block[by] >= 0).any():
+            by = by[np.lexsort((size[by], block[by], key[by]))]
         key, ids, size, position, block, home = key[by], ids[by], size[by].astype(np.int64), position[by].astype(np.int64), block[by], home[by]
+        if not len(key):
+            continue
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
         end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+        # a pair needs (rest of a) + L - 1 >= share * (both sizes), and so for b: room is what a posting has for it, cost what it asks
+        share = threshold / (1 + threshold)
         wanted = _matches_wanted(size)
+        room, cost = size - position - share * size + 1e-9, share * size
+        spread = (block >= 0).any()
         across = (block >= 0) & (block // _MOST_BLOCKS != block % _MOST_BLOCKS)
+        most = room + wanted - 1
         active, step, held, n_held = np.flatnonzero(np.arange(len(key)) + 1 < end), 1, [], 0
         while len(active):
             other = active + step
-            fits = size[active] >= threshold * size[other] - 1e-9
+            # sizes rise along a list: who is too small or short of room for this partner is so for all that follow
+            fits = (size[active] >= threshold * size[other] - 1e-9) & (most[active] >= cost[other])
             active, other = active[fits], other[fits]
-            need = _up((size[active] + size[other]) * (threshold / (1 + threshold)))
             want = np.minimum(wanted[active], wanted[other])
-            left = np.minimum(size[active] - position[active], size[other] - position[other])
-            ok = (left + want - 1 >= need) & (ids[active] != ids[other])
-            ok &= ~across[active] | (home[active] != home[other])  # pairs of one block have a task of their own
-            a, b = ids[active[ok]], ids[other[ok]]
-            held.append((np.minimum(a, b), np.maximum(a, b), np.minimum(want[ok], need[ok]).astype(np.int8)))
+            ok = (room[other] + want - 1 >= cost[active]) & (room[active] + want - 1 >= cost[other])
+            if spread:
+                ok &= ~across[active] | (home[active] != home[other])  # pairs of one block have a task of their own
+            a, b, want = ids[active[ok]], ids[other[ok]], want[ok]
+            held.append((np.minimum(a, b), np.maximum(a, b), want.astype(np.int8)))
             n_held += len(a)
             if n_held >= FLUSH_PAIRS:
                 yield from _flush(held, buckets)
@@ -262,31 +320,22 @@ def _lists(threshold: float, buckets: int, batches: Iterator[pa.RecordBatch]) ->
 
 
 def _flush(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    if not held:
-        return
-    a, b, want = (np.concatenate(c) for c in zip(*held))
+    """Matches to packed rows by bucket of a: sorted, as often as they occur, with a sign where one is enough."""
+    a, b, want = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
     if not len(a):
         return
-    yield from _packed_matches(*_added(a, b, np.ones(len(a), np.int64), want), buckets)
-
-
-def _added(a: np.ndarray, b: np.ndarray, matches: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows of equal pairs added up, sorted by pair."""
-    ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pair = codes[: len(a)].astype(np.int64) * len(ids) + codes[len(a) :]
-    by = np.argsort(pair, kind="stable")
-    pair = pair[by]
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    return ids[pair[first] // len(ids)], ids[pair[first] % len(ids)], np.add.reduceat(matches[by], first), want[by][first]
-
-
-def _packed_matches(a, b, matches, want, buckets: int) -> Iterator[pa.RecordBatch]:
+    keep = a != b
+    a, b, want = a[keep], b[keep], want[keep]
     bucket = (_mix(a.view(_U)) % _U(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
+    if int(b.max(initial=0)) < 1 << 31:
+        by = np.argsort((a << 32) | b)
+        by = by[np.argsort(bucket[by].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
+    else:
+        by = np.lexsort((b, a, bucket))
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for number in np.unique(bucket).tolist():
         part = by[cuts[number] : cuts[number + 1]]
-        blob = _pack([np.diff(a[part], prepend=0), b[part], matches[part].astype(np.int32), want[part].astype(np.int8)])
+        blob = _pack([np.diff(a[part], prepend=0), b[part], (want[part] == 1).astype(np.int8)])
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
 
@@ -295,11 +344,17 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blobs: dict[int, list[list[np.ndarray]]] = {}
     for batch in batches:
         for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b, matches, want = _unpack(blob, _MATCH)
-            blobs.setdefault(number, []).append([np.cumsum(a), b, matches.astype(np.int64), want])
+            a, b, one = _unpack(blob, _MATCH)
+            blobs.setdefault(number, []).append([np.cumsum(a), b, one])
     for number in list(blobs):
-        a, b, matches, want = _added(*(np.concatenate(c) for c in zip(*blobs.pop(number))))
-        ok = matches >= want
+        a, b, one = (np.concatenate(c) for c in zip(*blobs.pop(number)))
+        if not len(a):
+            continue
+        by = np.argsort((a << 32) | b) if int(b.max()) < 1 << 31 else np.lexsort((b, a))
+        a, b, one = a[by], b[by], one[by]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        matches = np.diff(np.append(first, len(a)))
+        ok = first[(matches >= LARGE_L) | (one[first] == 1)]
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
@@ -334,15 +389,16 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     spark = sets.sparkSession
     sets = sets.where(F.col("id").isNotNull()).select("id", "payload", "version")
     order = spark.sparkContext.broadcast(sketch(sets.select("id", "payload"), tokens))
-    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold), _RECORD), f"{name}-records")
+    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold), _RECORD).withColumn("row", F.monotonically_increasing_id()), f"{name}-records")
     # a version without tokens has no record and may be the last, so versions are compared before
     last = sets.groupBy("id").agg(F.max(F.coalesce("version", F.lit(-(1 << 62)))).alias("version"))
+    oldest = F.lit(-(1 << 62))
     held = (
-        records.select("id", F.coalesce("version", F.lit(-(1 << 62))).alias("version"), "n", "s1", "s2", "prefix_hash")
+        records.select("id", F.coalesce("version", oldest).alias("version"), F.struct("n", "s1", "s2", "prefix_hash", "row").alias("r"))
         .groupBy("id", "version")
-        .agg(F.max(F.struct("n", "s1", "s2", "prefix_hash")).alias("r"))
+        .agg(F.max("r").alias("r"))
         .join(last, ["id", "version"])
-        .select("id", "version", "r.*")
+        .select("id", "r.*")
     )
     held = stage(held, f"{name}-held")
     classes = held.groupBy("n", "s1", "s2", "prefix_hash").agg(F.min("id").alias("class_id"))
@@ -350,13 +406,13 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     groups = classes.groupBy("n", "prefix_hash").agg(F.min("class_id").alias("group_id"))
     grouped = stage(classes.join(groups, ["n", "prefix_hash"]).select("class_id", "group_id"), f"{name}-groups")
     heads = grouped.where(F.col("class_id") == F.col("group_id")).select(F.col("class_id").alias("id"))
-    picked = held.join(heads, "id", "left_semi").select("id", "version", "n", "s1", "s2")
-    prefixes = records.withColumn("version", F.coalesce("version", F.lit(-(1 << 62)))).join(picked, ["id", "version", "n", "s1", "s2"]).groupBy("id", "n").agg(F.first("prefix").alias("prefix"))
-    total = records.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 4
+    picked = held.join(heads, "id", "left_semi").select("row")
+    prefixes = records.select("row", "id", "n", "prefix").join(picked, "row", "left_semi")
+    total = records.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2  # prefixes are about half of the sets
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_POSTINGS))
     packed = "bucket int, blob binary"
-    matches = prefixes.select("id", "n", "prefix").mapInArrow(partial(_postings, order, buckets), packed).repartition(buckets, "bucket").mapInArrow(partial(_lists, threshold, buckets), packed)
-    pairs = matches.repartition(buckets, "bucket").mapInArrow(_candidates, "a long, b long")
+    matches = prefixes.select("id", "n", "prefix").mapInArrow(partial(_postings, order, buckets), packed).repartitionById(buckets, "bucket").mapInArrow(partial(_lists, threshold, buckets), packed)
+    pairs = matches.repartitionById(buckets, "bucket").mapInArrow(_candidates, "a long, b long")
     return members, _verified(sets, tokens, threshold, stage(pairs, f"{name}-pairs"), grouped, name)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import bpe, neardup, packing, pii, terms
+from quillmere.session import stage
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,7 @@ def _similar_pages(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, Da
     pages = _t(spark, d, "wiki_pages").select(F.col("page_id").alias("id"), F.col("body").alias("payload"), F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("version"))
     slices = _t(spark, d, "page_slices").where("kind <> 'body' AND slice_hash IS NOT NULL").select(F.col("page_id").alias("id"), F.xxhash64("slice_hash").alias("h")).distinct()
     slices = slices.groupBy("id").agg(F.collect_list("h").alias("payload")).withColumn("version", F.lit(0).cast("long"))
+    slices = stage(slices, "slices")
     return {"body": neardup.similar(pages, neardup.shingles, P2_THRESHOLD, "body"), "slices": neardup.similar(slices, neardup.listed, P2_THRESHOLD, "slices")}
 
 
