@@ -57,8 +57,30 @@ class Frontmatter:
     body_offset: int = 1
 
 
-class _Loader(yaml.SafeLoader):
-    pass
+class Loader(yaml.SafeLoader):
+    """Safe YAML whose plain words are text but for true, false and null; numbers have no base 60, impossible dates are text."""
+
+
+Loader.yaml_implicit_resolvers = {c: [(tag, r) for tag, r in found if not tag.endswith((":bool", ":int", ":float"))] for c, found in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+Loader.add_implicit_resolver("tag:yaml.org,2002:int", re.compile("^(?:[-+]?0b[01_]+|[-+]?0o?[0-7_]+|[-+]?0x[0-9a-fA-F_]+|[-+]?(?:0|[1-9][0-9_]*))$"), list("-+0123456789"))
+Loader.add_implicit_resolver("tag:yaml.org,2002:float", re.compile(r"^(?:[-+]?(?:[0-9][0-9_]*)(?:\.[0-9_]*)?(?:[eE][-+]?[0-9]+)?|[-+]?\.[0-9][0-9_]*(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))$"), list("-+0123456789."))
+
+
+def _timestamp(loader: Loader, node: yaml.ScalarNode) -> Any:
+    try:
+        return yaml.SafeLoader.construct_yaml_timestamp(loader, node)
+    except ValueError:
+        return node.value
+
+
+def _integer(loader: Loader, node: yaml.ScalarNode) -> int:
+    digits = node.value.replace("_", "")
+    return int(digits, 8) if re.match("[-+]?0[0-7]+$", digits) else int(digits, 0)
+
+
+Loader.add_constructor("tag:yaml.org,2002:timestamp", _timestamp)
+Loader.add_constructor("tag:yaml.org,2002:int", _integer)
 
 
 def parse_frontmatter(content: str) -> Frontmatter:
@@ -73,7 +95,7 @@ def parse_frontmatter(content: str) -> Frontmatter:
     if close is None:
         return Frontmatter(True, True, {}, "", 0)
     try:
-        values = yaml.load("\n".join(lines[1:close]), Loader=_Loader)
+        values = yaml.load("\n".join(lines[1:close]), Loader=Loader)
     except (yaml.YAMLError, ValueError, TypeError):
         return Frontmatter(True, True, {}, "", 0)
     if values is not None and not isinstance(values, dict):
@@ -342,7 +364,7 @@ def chain_block(block: Slice) -> tuple[list[ChainItem], str]:
         if line.startswith("hash-algo:"):
             algo = line.split(":", 1)[1].split(" #")[0].strip().strip("'\"")
     try:
-        node = yaml.compose("\n".join(code[:cut]), Loader=_Loader)
+        node = yaml.compose("\n".join(code[:cut]), Loader=Loader)
     except yaml.YAMLError:
         return [], algo
     items = []

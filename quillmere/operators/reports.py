@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
-from quillmere.functions.globs import literal_top
 
 # Tags.
 
@@ -29,9 +28,8 @@ def domains_tree(counts: DataFrame) -> DataFrame:
 
 
 def domains_show(counts: DataFrame, prefix: str) -> DataFrame:
-    """The values of a prefix by falling count, then name, with their place."""
-    order = W.partitionBy("prefix").orderBy(F.desc("cnt"), "value")
-    return counts.where(F.col("prefix") == prefix).select("value", "cnt", F.row_number().over(order).alias("place"))
+    """The values of a prefix by falling count, then name."""
+    return counts.where(F.col("prefix") == prefix).select("value", "cnt").orderBy(F.desc("cnt"), "value")
 
 
 def bad_tags(tags: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -105,15 +103,23 @@ def nearest_ancestor(pages: DataFrame, holders: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, key: str, ts: str, op: str, gap: str = "6 seconds") -> DataFrame:
     """Batches of changes between quiet gaps, each key with its last change: ``(batch_start, key, op)``.
 
-    The gap is global: any change prolongs the batch. Starts are found by comparing each second with
-    changes to the one before, so rows are combined per second before they meet in one order.
+    The gap is global: any change prolongs the batch. Changes are combined per second; seconds are put
+    in order within each day, and the days, one row each, carry the last change and the open batch over
+    to the next. So no task orders more than a day's seconds or all days.
     """
-    seconds = events.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("second", F.col(ts)).alias("sec")).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    order = W.orderBy("sec")
-    previous = F.lag("hi").over(order)
-    opened = F.when(previous.isNull() | (F.col("lo") > previous + F.expr(f"INTERVAL {gap}")), F.col("lo"))
-    starts = seconds.withColumn("batch_start", F.last(opened, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    inside = events.withColumn("sec", F.date_trunc("second", F.col(ts))).join(starts.select("sec", "batch_start"), "sec")
+    second = F.date_trunc("second", F.col(ts))
+    seconds = events.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day"), second.alias("sec")).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    within, days = W.partitionBy("day").orderBy("sec"), W.orderBy("day")
+    ended = seconds.groupBy("day").agg(F.max("hi").alias("last_hi"))
+    ended = ended.select("day", F.lag("last_hi").over(days).alias("before"))
+    previous = F.coalesce(F.lag("hi").over(within), F.col("before"))
+    quiet = previous.isNull() | (F.col("lo") > previous + F.expr(f"INTERVAL {gap}"))
+    opened = seconds.join(ended, "day").withColumn("opened", F.when(quiet, F.col("lo")))
+    running = opened.withColumn("start", F.last("opened", ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, 0)))
+    carried = opened.groupBy("day").agg(F.max("opened").alias("last_opened"))
+    carried = carried.select("day", F.last("last_opened", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    starts = running.join(carried, "day").select("day", "sec", F.coalesce("start", "carried").alias("batch_start"))
+    inside = events.withColumns({"day": F.to_date(ts), "sec": second}).join(starts, ["day", "sec"])
     return inside.groupBy("batch_start", key).agg(F.max_by(op, F.struct(F.col(ts), F.col(op))).alias(op))
 
 
@@ -121,10 +127,10 @@ def sessions(events: DataFrame, key: str, ts: str, op: str, gap: str = "6 second
 
 
 def debt(pages: DataFrame, prefix: str, tag: str) -> DataFrame:
-    """Pages below ``prefix`` with ``tag``, newest first: by created (missing last), time of change, path; with their place."""
+    """Pages below ``prefix`` with ``tag``, newest first: by created (missing last), time of change, path."""
     kept = pages.where(F.startswith("path", F.lit(prefix)) & F.array_contains("tags", tag))
-    order = W.partitionBy(F.lit(0)).orderBy(F.expr("nullif(created, '')").desc_nulls_last(), F.desc("mtime_ns"), "path")
-    return kept.select(F.row_number().over(order).alias("place"), F.col("path").alias("source"), C.directory(F.col("path")).alias("where"), F.coalesce("created", F.lit("")).alias("created"))
+    order = [F.expr("nullif(created, '')").desc_nulls_last(), F.desc("mtime_ns"), F.col("path")]
+    return kept.select("path", "mtime_ns", F.coalesce("created", F.lit("")).alias("created")).orderBy(*order).select(F.col("path").alias("source"), C.directory(F.col("path")).alias("where"), "created")
 
 
 def repo_states(catalog: DataFrame, probes: DataFrame) -> DataFrame:
@@ -175,5 +181,3 @@ def nearest_key(keys: DataFrame, known: list[str], most: int = 3) -> DataFrame:
     options = F.array_compact(F.array(*[F.when(F.levenshtein("key", F.lit(k), most) >= 0, F.struct(F.levenshtein("key", F.lit(k), most).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k"))) for i, k in enumerate(known)]))
     return keys.withColumn("nearest", F.array_min(options)["k"])
 
-
-__all__ = [n for n, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__] + ["literal_top"]

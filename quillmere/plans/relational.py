@@ -378,12 +378,12 @@ def domains_tree(spark, d):
     return R.domains_tree(R.tag_counts(page_tags(spark, d)))
 
 
-@query(_TAGS + " SELECT value, cnt, row_number() OVER (ORDER BY cnt DESC, value) AS place FROM c WHERE prefix = 'type'")
+@query(_TAGS + " SELECT value, cnt FROM c WHERE prefix = 'type'")
 def domains_show(spark, d):
     return R.domains_show(R.tag_counts(page_tags(spark, d)), "type")
 
 
-@query(f"WITH {_PAGES} SELECT row_number() OVER (ORDER BY created DESC NULLS LAST, mtime_ns DESC, path) AS place, path AS source, regexp_replace(path, '/?[^/]*$', '') AS where, coalesce(created, '') AS created FROM (SELECT path, mtime_ns, tags, CASE WHEN page_id % 5 <> 0 THEN strftime(created_at, '%Y-%m-%d') END AS created FROM pages) WHERE starts_with(path, 'wiki/sources') AND list_contains(tags, 'type/source')".replace("AS where", 'AS "where"'))
+@query(f"WITH {_PAGES} SELECT path AS source, regexp_replace(path, '/?[^/]*$', '') AS where, coalesce(created, '') AS created FROM (SELECT path, mtime_ns, tags, CASE WHEN page_id % 5 <> 0 THEN strftime(created_at, '%Y-%m-%d') END AS created FROM pages) WHERE starts_with(path, 'wiki/sources') AND list_contains(tags, 'type/source')".replace("AS where", 'AS "where"'))
 def debt_list(spark, d):
     p = pages(spark, d).withColumn("created", F.when(F.col("page_id") % 5 != 0, F.date_format("created_at", "yyyy-MM-dd")))
     return R.debt(p, "wiki/sources", "type/source")
@@ -421,7 +421,7 @@ def suppressed_findings(spark, d):
     return R.suppressed(table(spark, d, "findings_fresh").select("rule_id", "file_path", "line_no"), ignores)
 
 
-@query("WITH r AS (SELECT p_partkey AS pos, p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '**/*.md' WHEN 1 THEN '*/x.md' ELSE 'dir' || (p_partkey % 41) || '/**' END AS glob, regexp_extract(glob, '^([^/*?\\[{]+)/', 1) AS top FROM part WHERE p_brand = 'Brand#7') SELECT a.id AS rule_a, b.id AS rule_b FROM r a JOIN r b ON a.pos < b.pos AND (a.top = '' OR b.top = '' OR a.top = b.top)")
+@query("WITH r AS (SELECT p_partkey AS pos, p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '**/*.md' WHEN 1 THEN '*/x.md' ELSE 'dir' || (p_partkey % 41) || '/**' END AS pattern, regexp_extract(pattern, '^([^/*?\\[{]+)/', 1) AS top FROM part WHERE p_brand = 'Brand#7') SELECT a.id AS rule_a, b.id AS rule_b FROM r a JOIN r b ON a.pos < b.pos AND (a.top = '' OR b.top = '' OR a.top = b.top)")
 def rule_overlaps(spark, d):
     """Pairs of rules that one page could meet."""
     k = F.col("p_partkey")
@@ -565,6 +565,70 @@ def satellite_domains(spark, d):
     return table(spark, d, "domain_counts").distinct().where(F.col("prefix").isNotNull()).groupBy("wiki", "prefix").agg(F.countDistinct("scan_id").alias("n_scans"), F.sum("cnt").alias("total"))
 
 
+def _corpus(spark, d):
+    """The wiki's pages as a corpus of files: body and place."""
+    return pages(spark, d).where(F.col("path").isNotNull()).select("path", F.octet_length(F.coalesce("body", F.lit(""))).cast("long").alias("length"), F.coalesce("mtime_ns", F.lit(0)).alias("mtime_ns"), F.coalesce("body", F.lit("")).alias("content"))
+
+
+def _documents(spark, d):
+    from quillmere.sources.corpus import scan
+
+    return scan(_corpus(spark, d))
+
+
+@query(f"WITH {_PAGES}, l AS (SELECT path, unnest(regexp_extract_all(body, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', 1)) AS raw FROM pages WHERE body IS NOT NULL AND NOT contains(body, '`') AND NOT contains(body, '~~~')) SELECT path, regexp_replace(regexp_replace(split_part(trim(raw), '#', 1), '\\\\+$', ''), '/+$', '') AS target, count(*) AS n FROM l GROUP BY ALL")
+def fact_links(spark, d):
+    """Links extracted from bodies, of pages without code."""
+    from quillmere.operators.facts import Facts, extract
+
+    plain = _documents(spark, d).where(~F.contains("body", F.lit("`")) & ~F.contains("body", F.lit("~~~")))
+    return Facts(extract(plain)).links.groupBy("path", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_PAGES}, lines AS ({_LINES}), heads AS (SELECT page_id, line, trim(text, ' ' || chr(9) || chr(13)) AS t FROM lines WHERE regexp_matches(trim(text, ' ' || chr(9) || chr(13)), '^#{{1,6}}( |$)')) SELECT path, line, CAST(strlen(regexp_extract(t, '^#+')) AS INTEGER) AS level, trim(regexp_replace(t, '^#+', ''), ' ' || chr(9)) AS text FROM heads JOIN pages USING (page_id)")
+def fact_headings(spark, d):
+    """Headings extracted from bodies, of pages without fences."""
+    from quillmere.operators.facts import Facts, extract
+
+    plain = _documents(spark, d).where(~F.col("body").rlike("```|~~~"))
+    return Facts(extract(plain)).headings.select("path", "line", "level", "text")
+
+
+@query(f"WITH {_PAGES} SELECT path, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(body, ''), '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n{{2,}}', chr(10)), '\\n+$', '') || chr(10)) AS slice_hash FROM pages")
+def fact_body_hash(spark, d):
+    """Hashes of whole bodies by the slice grammar."""
+    from quillmere.operators.facts import Facts, extract
+
+    return Facts(extract(_documents(spark, d))).slices.where("anchor = ''").select("path", "slice_hash")
+
+
+RULES = [
+    ("backticked-wikilink", {}), ("table-wikilink-pipe", {}), ("heading-structure", {}), ("wiki-navlink", {}), ("broken-wikilink", {"skip-prefixes": ["http", "sources/"]}), ("ambiguous-wikilink", {}), ("wikilink-canonicalize", {}), ("pattern", {"target": "filename", "match": "^[a-z0-9-]+\\.md$"}),
+]
+
+
+@query()
+def engine_check(spark, d):
+    """A pack of rules over the wiki's pages as a corpus, end to end."""
+    from quillmere.plans.engine import Engine
+    from quillmere.sources.rules import Rule
+
+    engine = Engine(spark, _corpus(spark, d), extra_paths=table(spark, d, "repo_pages").select("path"))
+    rules = [Rule(name, name, "warn", ["**"], params, "{{.Target}}{{.Match}}{{.Issue}}{{.Wikilinks}}") for name, params in RULES]
+    return engine.check(rules).drop("column")
+
+
+@query()
+def merkle_tree_hash(spark, d):
+    """Hashes of all nodes of a heap-shaped tree, each over its children's."""
+    from quillmere.operators.graph import compose_levels
+
+    part = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("node"))
+    leaves = part.select("node", F.sha2(F.col("node").cast("string"), 256).alias("leaf"))
+    tree = part.where("node > 1").select(F.floor(F.col("node") / 2).alias("node"), F.col("node").alias("pos"), F.col("node").alias("child"))
+    return compose_levels(leaves, tree)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Broken and ambiguous links."""
     b = broken_links(spark, d).select("link_id", "target", F.lit("broken-wikilink").alias("rule_id"))
