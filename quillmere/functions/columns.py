@@ -77,7 +77,7 @@ def selector(path: Column, tags: Column, on: list[str]) -> Column:
     """A rule's selector: excludes (any) first, then any path glob, then all tags."""
     excluded = [s[1:] for s in on if s.startswith("!")]
     globs = [s for s in on if not s.startswith(("!", "#"))]
-    tags = F.coalesce(tags, F.array().cast("array<string>"))
+    tags = F.array_compact(F.coalesce(tags, F.array().cast("array<string>")))  # a null among them would make a miss unknown
     out = F.lit(True)
     for e in excluded:
         out = out & ~(F.array_contains(tags, e[1:]) if e.startswith("#") else path.rlike(glob_regex(e)))

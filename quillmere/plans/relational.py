@@ -555,7 +555,7 @@ def findings_order(spark, d):
 def title_and_repo(spark, d):
     """Title and repository facts."""
     p = pages(spark, d).where(F.col("title").isNotNull())
-    repo = F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), "type/repo") | F.startswith("path", F.lit("wiki/sources/git/"))
+    repo = F.array_contains(F.array_compact(F.coalesce("tags", F.array().cast("array<string>"))), "type/repo") | F.startswith("path", F.lit("wiki/sources/git/"))
     return p.select("page_id", F.trim("title").alias("title"), repo.alias("is_repo"))
 
 

@@ -41,6 +41,13 @@ def test_paths_and_links(spark):
     assert one(spark, C.in_scope(F.col("p"), "a/b"), p="a/b.md") and not one(spark, C.in_scope(F.col("p"), "a/b"), p="a/bc.md")
 
 
+def test_selector(spark):
+    df = spark.createDataFrame([("a/x.md", ["t", None]), ("a/y.md", [None]), ("a/z.md", None), ("b/x.md", ["t"])], "p string, tags array<string>")
+    hit = lambda *on: sorted(r.p for r in df.where(C.selector(F.col("p"), F.col("tags"), list(on))).collect())
+    assert hit("a/**") == ["a/x.md", "a/y.md", "a/z.md"] and hit("#t") == ["a/x.md", "b/x.md"] and hit("!#t") == ["a/y.md", "a/z.md"]
+    assert hit("a/**", "b/**", "#t", "!b/x.md") == ["a/x.md"] and hit() == ["a/x.md", "a/y.md", "a/z.md", "b/x.md"]
+
+
 def test_dates(spark):
     for path, kind, value in (("x/2024/02/30/a.md", None, None), ("x/2024/12/30/a.md", "daily", "2024-12-30"), ("2025-W01/a.md", "weekly", "2025-W01"), ("2025-W54/a.md", None, None), ("x/2024/02/a.md", "monthly", "2024-02"), ("year=2024/month=02/a.md", None, None)):
         k, v = C.path_date(F.col("p"))
