@@ -91,3 +91,15 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = neardup.components(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "a long, b long"))
     assert {r.id: r.group_id for r in got.collect()} == {n: root(n) for n in nodes}
+
+
+def test_texts_longer_than_a_chunk(monkeypatch):
+    import pyarrow as pa
+
+    text = "Some words, and É more of them. " * 40
+    whole = neardup.shingles(pa.array([text, "", None, text + "end"]))
+    monkeypatch.setattr(neardup, "CHUNK", 256)
+    neardup._powers.cache_clear()
+    cut = neardup.shingles(pa.array([text, "", None, text + "end"]))
+    neardup._powers.cache_clear()
+    assert [len(s) for s in whole] == [len(s) for s in cut] and all(np.array_equal(a, b) for a, b in zip(whole, cut)) and len(whole[1]) == len(whole[2]) == 0
