@@ -346,9 +346,13 @@ def suppressions(body: str, offset: int) -> tuple[dict[int, set[str]], list[str]
 
 
 class ChainItem(NamedTuple):
+    """A declared input: its ref and hash, the file lines of both keys (0 for no hash), the column of the ref key."""
+
     ref: str
     hash: str
     line: int
+    hash_line: int = 0
+    column: int = 0
 
 
 def chain_block(block: Slice) -> tuple[list[ChainItem], str]:
@@ -372,14 +376,15 @@ def chain_block(block: Slice) -> tuple[list[ChainItem], str]:
         if isinstance(entry, yaml.MappingNode):
             found = {k.value: (v, k) for k, v in entry.value if isinstance(k, yaml.ScalarNode)}
             ref, key = found.get("ref", (None, None))
-            value = found.get("hash", (None, None))[0]
+            value, hash_key = found.get("hash", (None, None))
             text = ref.value if isinstance(ref, yaml.ScalarNode) else ""
             if not text and isinstance(ref, yaml.SequenceNode):  # an unquoted [[link]] is a list in a list for YAML
                 inner = ref.value[0] if ref.value and isinstance(ref.value[0], yaml.SequenceNode) else None
                 text = f"[[{inner.value[0].value}]]" if inner and inner.value else ""
             if text:
                 null = value is None or value.tag.endswith(":null")
-                items.append(ChainItem(text, "" if null else value.value, block.start + 1 + key.start_mark.line))
+                first = block.start + 1
+                items.append(ChainItem(text, "" if null else value.value, first + key.start_mark.line, first + hash_key.start_mark.line if hash_key else 0, key.start_mark.column))
     return items, algo
 
 

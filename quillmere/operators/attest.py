@@ -40,3 +40,26 @@ def promote(draws: DataFrame, hashes: DataFrame) -> DataFrame:
     rows = draws.join(hashes, "node", "left").select("path", "pos", item.alias("item"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "\n")
     return rows.groupBy("path").agg(F.concat(listed, F.lit("\nhash-algo: v1\n")).alias("block"))
+
+
+def write_hashes(content: str, hashes: dict[int, str]) -> str:
+    """A page with the hashes of its declared inputs set, by place in the block; all other bytes stay.
+
+    An input without a hash line gets one below its ref. Raises ValueError if the page has no such input.
+    """
+    from quillmere.functions import markdown as M
+
+    block = next((s for s in M.slices(content) if s.anchor == "^inputs" and s.fence), None)
+    items = M.chain_block(block)[0] if block else []
+    lines = content.split("\n")
+    for pos in sorted(hashes, reverse=True):
+        if pos >= len(items):
+            raise ValueError(f"no declared input at place {pos}")
+        item = items[pos]
+        at = (item.hash_line or item.line) - 1
+        end = "\r" if lines[at].endswith("\r") else ""
+        if item.hash_line:
+            lines[at] = f"{lines[at][: lines[at].index('hash:')]}hash: {hashes[pos]}{end}"
+        else:
+            lines.insert(at + 1, " " * item.column + f"hash: {hashes[pos]}{end}")
+    return "\n".join(lines)

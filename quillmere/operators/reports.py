@@ -67,10 +67,8 @@ def suppressed(findings: DataFrame, ignores: DataFrame) -> DataFrame:
 
 def unsuppressed(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Findings but those whose line switches off their rule or '*'; ``lines``: (file_path, line, rule_id)."""
-    match = (F.col("f.file_path") == F.col("l.file_path")) & (F.col("f.line") == F.col("l.line")) & F.col("l.rule_id").isin("*") | (
-        (F.col("f.file_path") == F.col("l.file_path")) & (F.col("f.line") == F.col("l.line")) & (F.col("l.rule_id") == F.col("f.rule_id"))
-    )
-    return findings.alias("f").join(lines.alias("l"), match, "left_anti")
+    same = (F.col("f.file_path") == F.col("l.file_path")) & (F.col("f.line") == F.col("l.line"))
+    return findings.alias("f").join(lines.alias("l"), same & ((F.col("l.rule_id") == "*") | (F.col("l.rule_id") == F.col("f.rule_id"))), "left_anti")
 
 
 # Windows.
@@ -176,6 +174,18 @@ def overlaps(rules: DataFrame) -> DataFrame:
     return same.unionByName(wide).unionByName(rest)
 
 
+def conflicts(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Overlapping rules that ask for different things: patterns on one target with other expressions.
+
+    ``pairs``: (rule_a, rule_b); ``rules``: (id, check, severity, target, match). Rules that are off, other
+    checks and equal expressions are no conflict.
+    """
+    side = lambda x: rules.select(F.col("id").alias(f"rule_{x}"), F.col("check").alias(f"check_{x}"), F.col("severity").alias(f"severity_{x}"), F.col("target").alias(f"target_{x}"), F.col("match").alias(f"match_{x}"))
+    both = pairs.join(side("a"), "rule_a").join(side("b"), "rule_b").where("severity_a <> 'off' AND severity_b <> 'off' AND check_a = 'pattern' AND check_b = 'pattern'")
+    found = both.where(F.col("target_a").eqNullSafe(F.col("target_b")) & ~F.col("match_a").eqNullSafe(F.col("match_b")))
+    return found.select("rule_a", "rule_b", F.col("target_a").alias("target"), F.lit("warn").alias("severity"))
+
+
 def nearest_key(keys: DataFrame, known: list[str], most: int = 3) -> DataFrame:
     """``keys`` with the known key of least edit distance, at most ``most``; ties go to the earlier one."""
     options = F.array_compact(F.array(*[F.when(F.levenshtein("key", F.lit(k), most) >= 0, F.struct(F.levenshtein("key", F.lit(k), most).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k"))) for i, k in enumerate(known)]))

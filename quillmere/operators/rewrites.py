@@ -227,6 +227,13 @@ def canonical_targets(page_links: DataFrame, paths: DataFrame, new_files: DataFr
     return page_links.select("path", "target").distinct().join(both, "target").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("target", "canonical"))).alias("canonical"))
 
 
+def check_universe(chosen: DataFrame, paths: DataFrame) -> None:
+    """Raise ValueError if paths were chosen for another universe: some are given and none is there."""
+    given = chosen.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if given and not chosen.join(paths.select("path"), "path", "left_semi").head(1):
+        raise ValueError(f"none of the {given} chosen paths is in the corpus")
+
+
 def fix_plan(documents: DataFrame, findings: DataFrame, rules: list[Rule], today: str, canonical: DataFrame | None = None) -> DataFrame:
     """``PLAN`` rows of the pages with findings that fixers change; pages of rules without a fixer stay."""
     validate(rules)

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
 from quillmere.functions.templates import column
-from quillmere.operators import reports
+from quillmere.operators import graph, reports, rewrites
+from quillmere.operators import links as link_operators
+from quillmere.operators import tasks as task_operators
 from quillmere.operators.checks import CHECKS, Context
 from quillmere.operators.facts import Facts
 from quillmere.sources import corpus
-from quillmere.sources.rules import Rule
 from quillmere.session import stage
+from quillmere.sources.rules import Rule
 
 FINDINGS = "rule_id string, severity string, file_path string, line int, column int, message string, seq int"
 
@@ -72,7 +74,8 @@ class Engine:
             return self.spark.createDataFrame([], FINDINGS)
         found = reduce(DataFrame.unionByName, parts)
         lines = self.documents.select(F.col("path").alias("file_path"), F.explode("inline_suppress").alias("s")).select("file_path", "s.line", "s.rule_id")
-        return reports.ordered(reports.unsuppressed(found, lines))
+        # written once: a global order samples its input first, which would run all checks twice
+        return reports.ordered(stage(reports.unsuppressed(found, lines), "findings"))
 
     def subjects(self, rule: Rule, scope: str = ".") -> DataFrame:
         """The documents a rule looks at: not foreign, in scope, selected, and not ignoring it."""
@@ -97,6 +100,50 @@ class Engine:
         created = F.coalesce(F.substring(F.try_element_at(F.from_json("fm", "map<string,string>"), F.lit("created")), 1, 10), F.lit(""))
         return reports.debt(self.documents.withColumn("created", created), prefix, tag)
 
+    def fix_plan(self, rules: list[Rule], today: str, scope: str = ".", new_files: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
+        """What fixers would change for the findings of ``rules``; see ``rewrites.fix_plan``. Write it with ``sinks.apply_plan``."""
+        canonical = rewrites.canonical_targets(self.facts.links.where("target <> ''"), self.paths, new_files, chosen)
+        return rewrites.fix_plan(self.documents, self.check(rules, scope), rules, today, canonical)
+
+    def move_plan(self, source: str, dest: str) -> DataFrame:
+        return rewrites.move_plan(self.documents, source, dest)
+
+    def resolve(self, links: list[str] | None = None, page: str | None = None, depth: int = 1, max_nodes: int = graph.MAX_NODES) -> DataFrame:
+        """The pages that links or a page's links lead to, ``depth`` further, with their hashes; exactly one of both is given."""
+        if (links is None) == (page is None):
+            raise ValueError("either links or page")
+        if page is not None:
+            targets = self.facts.links.where(F.col("path") == page).select("target").where("target <> ''")
+        else:
+            targets = self.spark.createDataFrame([(x.strip("[]").split("|")[0].split("#")[0],) for x in links], "target string")
+        found = link_operators.resolve(targets.distinct(), self.paths).where("resolved IS NOT NULL").select(F.col("resolved").alias("path")).distinct()
+        walked = graph.walk(found, self.facts, self.paths, depth, max_nodes)
+        roots = walked.select("path", F.lit("").alias("anchor")).distinct()
+        hashes = graph.compose(roots, self.facts, self.paths, max_nodes).select(F.col("root_path").alias("path"), "hash", "cause")
+        return walked.join(hashes, "path", "left")
+
+    def read(self, target: str, embeds: bool = False, strict: bool = False) -> str:
+        """The text of one page, section or block on the driver, with its embeds if asked; ValueError if it isn't one."""
+        from quillmere.functions import markdown as M
+
+        def fetch(name: str, anchor: str) -> tuple[tuple[str, str], str] | None:
+            wanted = self.spark.createDataFrame([(name,)], "target string")
+            places = [r["path"] for r in link_operators.resolve_note(wanted, self.paths).limit(2).collect()]
+            if len(places) != 1:
+                return None
+            content = self.documents.where(F.col("path") == places[0]).select("content").first()["content"]
+            found = [s for s in M.slices(content) if s.anchor == anchor] or [s for s in M.slices(content) if s.kind == "section" and s.anchor.casefold() == anchor.casefold()]
+            return ((places[0], anchor), found[0].text) if found else None
+
+        inner = target.strip().removeprefix("[[").removesuffix("]]").split("|")[0]
+        got = fetch(M.link_target(inner), M.link_fragment(inner))
+        if got is None:
+            raise ValueError(f"{target} names no single page or part")
+        return graph.expand(got[1], fetch, (got[0],), strict) if embeds else got[1]
+
+    def tasks(self) -> DataFrame:
+        return task_operators.tasks(self.documents)
+
     def response(self, findings: DataFrame, strict: bool = False) -> str:
         """The result as JSON: findings, counts by rule, exit code. For results that fit the driver."""
         counts = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id").collect()
