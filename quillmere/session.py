@@ -27,6 +27,25 @@ def local_session(app: str = "quillmere", cpus: int | str = "*", **conf: object)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it as the driver does, by the working folder or PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = {os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    app = spark.sparkContext.applicationId
+    if root in known or app in _shipped:
+        return
+    import shutil
+    import tempfile
+
+    _shipped.add(app)
+    folder = tempfile.mkdtemp()  # of the driver, who serves the file while the session lives
+    atexit.register(shutil.rmtree, folder, True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "quillmere"), "zip", root, "quillmere"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
