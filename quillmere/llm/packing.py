@@ -50,28 +50,48 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most_waste: in
     """Undominated fillings of ``room`` with a waste of at most ``most_waste``, as (waste, sizes in falling order).
 
     ``sizes`` ascend. A filling is dominated if an item left outside could take the place of one inside
-    that is smaller, or fit beside; so each branch takes the largest size that fits or leaves that size
-    out for good, and a filling with room for a size it left out and that is still there is none.
+    that is smaller, or fit beside; so each branch takes the largest size that fits, as often as it
+    fits or less often and then leaves it out for good, and a filling with room for a size it left out and that is still there is none.
     """
-    budget = [steps]
-
-    def search(room: int, top: int, taken: list[int], left_out: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-        budget[0] -= 1
+    # a node: room, sizes still allowed, sizes taken as a chain of (chain before, size, how often), smallest size left out
+    todo: list[tuple] = [(room, len(sizes), None, 1 << 60)]
+    # nodes whose size can be taken less often: the node, its size, how often next
+    less: list[tuple] = []
+    while todo or less:
+        if not todo:
+            (room, top, taken, left_out), size, times = less.pop()
+            if times:
+                less.append(((room, top, taken, left_out), size, times - 1))
+            room -= times * size
+            if room - size <= 0:
+                continue
+            # with one less of this size the rest must fill more than it would: what is taken instead is smaller
+            todo.append((room, top - 1, (taken, size, times) if times else taken, min(left_out, size)))
+        room, top, taken, left_out = todo.pop()
+        steps -= 1
         top = bisect_right(sizes, room, 0, top)
-        while top and counts[sizes[top - 1]] <= taken.count(sizes[top - 1]):
+        while top and not counts[sizes[top - 1]]:
             top -= 1
-        if not top or budget[0] <= 0:
+        if not top or steps <= 0:
             # the smallest size that was left out must not fit, nor replace a smaller one taken after it
             if room <= most_waste and room < left_out:
-                yield room, tuple(taken)
-            return
+                yield room, _unchained(taken)
+            if steps <= 0:
+                return
+            continue
         size = sizes[top - 1]
-        yield from search(room - size, top, [*taken, size], left_out)
-        if budget[0] > 0 and (room - size) > 0 and top > 1:
-            # without this size the rest must fill more than it would: what is taken instead is smaller
-            yield from search(room, top - 1, taken, min(left_out, size))
+        times = min(counts[size], room // size)
+        if top > 1:
+            less.append(((room, top, taken, left_out), size, times - 1))
+        todo.append((room - times * size, top - 1, (taken, size, times), left_out))
+
 
-    yield from search(room, len(sizes), [], 1 << 60)
+def _unchained(taken: tuple | None) -> tuple[int, ...]:
+    parts: list[tuple[int, ...]] = []
+    while taken:
+        taken, size, times = taken
+        parts.append((size,) * times)
+    return tuple(size for part in reversed(parts) for size in part)
 
 
 def best_filling(room: int, sizes: list[int], counts: dict[int, int]) -> tuple[int, ...]:
@@ -200,22 +220,24 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     # one row for each size below the capacity
     histogram = {r["rest"]: r["count"] for r in placed.where("rest > 0").groupBy("rest").count().collect()}
 
-    # the slots of a size in order of its items' ranks, as runs: first rank, rank after the last, container of the first, start
-    slots: list[tuple[int, int, int, int, int]] = []
+    # the slots of a size in order of its items' ranks, as runs, one for each filling with it: first rank, rank after the last,
+    # containers, the first of them, start; a size that a filling has more than once goes through the containers again
+    slots: list[tuple[int, int, int, int, int, int]] = []
     used: Counter = Counter()
     container = 0
     for filling, times in plan(histogram, capacity):
         start = 0
-        for size in filling:
-            slots.append((size, used[size], used[size] + times, container, start))
-            used[size] += times
-            start += size
+        for size, n_size in Counter(filling).items():
+            slots.append((size, used[size], used[size] + n_size * times, times, container, start))
+            used[size] += n_size * times
+            start += n_size * size
         container += times
-    runs = spark.createDataFrame(slots, "rest long, first long, until long, container long, container_start long")
+    runs = spark.createDataFrame(slots, "rest long, first long, until long, times long, container long, container_start long")
     ranked = _before(placed.where("rest > 0"), ["rest"], F.lit(1))
     mine = (F.col("before") >= F.col("first")) & (F.col("before") < F.col("until"))
+    at = F.col("before") - F.col("first")
     tails = ranked.join(runs, "rest").where(mine)
-    tails = tails.select("id", F.floor(n / capacity).alias("piece"), (F.col("container") + F.col("before") - F.col("first")).alias("container"), "container_start", (n - F.col("rest")).alias("token_start"), n.alias("token_end"))
+    tails = tails.select("id", F.floor(n / capacity).alias("piece"), (F.col("container") + at % F.col("times")).alias("container"), (F.col("container_start") + F.floor(at / F.col("times")) * F.col("rest")).alias("container_start"), (n - F.col("rest")).alias("token_start"), n.alias("token_end"))
     full = _before(placed.where(n >= capacity).withColumn("k", F.floor(n / capacity)).withColumn("all", F.lit(0)), ["all"], F.col("k"))
     start = F.col("piece") * capacity
     full = full.select("id", "before", F.explode(F.sequence(zero, F.col("k") - 1)).alias("piece")).select(

@@ -90,3 +90,27 @@ def test_one_size_and_empty(spark):
     assert len({r.container for r in rows}) == 134
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), "doc_id", "n_tokens", 100).collect() == []
     assert packing.pack(spark.createDataFrame([(None, 200), (None, 200)], "doc_id long, n_tokens long"), "doc_id", "n_tokens", 100).count() == 4
+
+
+def test_many_of_the_smallest_sizes():
+    assert sum(times for _, times in packing.plan({1: 50_000}, 2048)) == 25
+    counts = {1: 30_001, 2: 30_000, 3: 5, 2000: 40}
+    used = Counter()
+    for filling, times in packing.plan(counts, 2048):
+        assert sum(filling) <= 2048
+        for size in filling:
+            used[size] += times
+    assert used == counts
+
+
+def test_fillings_with_a_long_chain_of_sizes_left_out():
+    sizes = list(range(683, 2047))
+    found = list(packing.fillings(2047, sizes, dict.fromkeys(sizes, 1), 2047, 4_000))
+    assert found[0] == (1, (2046,)) and len(found) > 1
+
+
+def test_pack_many_of_one_token(spark):
+    ones = [(i, 1) for i in range(50_000)] + [(50_000 + i, 2) for i in range(3)]
+    rows = packing.pack(spark.createDataFrame(ones, "doc_id long, n_tokens long").repartition(4), "doc_id", "n_tokens", 2048).collect()
+    check(rows, ones, 2048)
+    assert len({r.container for r in rows}) == 25
