@@ -6,13 +6,15 @@ Where the tables hold what an operator works on, they are used as they are; inpu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
+from quillmere.functions import markdown as M
 from quillmere.operators import links as L
 from quillmere.operators import reports as R
 from quillmere.operators.copydiff import multiset_diff
@@ -143,6 +145,29 @@ def table_islands(spark, d):
     return R.islands(lines, "page_id", "line", F.startswith(F.trim("text", F.lit(" \t")), F.lit("|")))
 
 
+def _headings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [(i, h["line"], h["level"]) for i, body in frame[["page_id", "body"]].itertuples(index=False) for h in M.body_facts(body, 1)[1]]
+        yield pd.DataFrame(rows, columns=["page_id", "line", "level"])
+
+
+@query()
+def heading_jumps_all(spark, d):
+    """Second top headings and skipped levels, on all pages; lines in fences are no headings."""
+    body = pages(spark, d).select("page_id", "body").where(F.col("body").isNotNull())
+    return R.heading_jumps(body.mapInPandas(_headings, "page_id long, line int, level int"), "page_id", "line")
+
+
+@query(
+    f"""WITH {_PAGES}, lines AS (SELECT page_id, i AS line, l[i] AS text FROM (SELECT page_id, string_split(body, chr(10)) AS l FROM pages WHERE body IS NOT NULL), unnest(generate_series(1, len(l))) AS s(i)), rows AS (SELECT page_id, line, line - row_number() OVER (PARTITION BY page_id ORDER BY line) AS run FROM lines WHERE starts_with(trim(text, ' ' || chr(9)), '|'))
+SELECT page_id, min(line) AS first, max(line) AS last, count(*) AS size FROM rows GROUP BY page_id, run HAVING count(*) >= 2"""
+)
+def table_islands_all(spark, d):
+    """Tables of all pages; a fence is no exception, as in the check of links in tables."""
+    lines = pages(spark, d).where(F.col("body").isNotNull()).select("page_id", F.posexplode(F.split("body", "\n", -1)).alias("at", "text")).withColumn("line", F.col("at") + 1)
+    return R.islands(lines, "page_id", "line", F.startswith(F.trim("text", F.lit(" \t")), F.lit("|")))
+
+
 _ORDER_DATES = "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS field, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY * (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS moment FROM orders"
 
 
@@ -594,6 +619,22 @@ def fact_headings(spark, d):
     return Facts(extract(plain)).headings.select("path", "line", "level", "text")
 
 
+@query()
+def fact_links_all(spark, d):
+    """Links extracted from the bodies of all pages, outside fences and code spans."""
+    from quillmere.operators.facts import Facts, extract
+
+    return Facts(extract(_documents(spark, d))).links.groupBy("path", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def fact_headings_all(spark, d):
+    """Headings extracted from the bodies of all pages, outside fences."""
+    from quillmere.operators.facts import Facts, extract
+
+    return Facts(extract(_documents(spark, d))).headings.select("path", "line", "level", "text")
+
+
 @query(f"WITH {_PAGES} SELECT path, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(body, ''), '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n{{2,}}', chr(10)), '\\n+$', '') || chr(10)) AS slice_hash FROM pages")
 def fact_body_hash(spark, d):
     """Hashes of whole bodies by the slice grammar."""
