@@ -174,6 +174,21 @@ def overlaps(rules: DataFrame) -> DataFrame:
     return same.unionByName(wide).unionByName(rest)
 
 
+def overlap_classes(rules: DataFrame) -> DataFrame:
+    """``overlaps`` without its pairs, a row per rule: ``(id, top, wide, n_meets)``; ``rules``: (id, glob).
+
+    A rule's class is its literal first directory, '' for wide ones. Two rules can meet if they are of
+    one class or either is wide; ``n_meets`` counts the others that a rule can meet.
+    """
+    top = F.regexp_extract("glob", r"^([^/*?\[{]+)/", 1)
+    r = rules.select("id", F.when(F.coalesce("glob", F.lit("")) == "", "").otherwise(top).alias("top"))
+    sizes = r.groupBy("top").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.agg(F.sum("n").alias("n_all"), F.coalesce(F.sum(F.when(F.col("top") == "", F.col("n"))), F.lit(0)).alias("n_wide"))
+    wide = F.col("top") == ""
+    meets = F.when(wide, F.col("n_all") - 1).otherwise(F.col("n") - 1 + F.col("n_wide"))
+    return r.join(sizes.crossJoin(F.broadcast(whole)), "top").select("id", "top", wide.alias("wide"), meets.alias("n_meets"))  # whole: one row
+
+
 def conflicts(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     """Overlapping rules that ask for different things: patterns on one target with other expressions.
 

@@ -454,6 +454,17 @@ def rule_overlaps(spark, d):
     return R.overlaps(table(spark, d, "part").where("p_brand = 'Brand#7'").select(k.alias("pos"), k.alias("id"), glob.alias("glob")))
 
 
+_GLOBS = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '**/*.md' WHEN 1 THEN '*/x.md' ELSE 'dir' || (p_partkey % 41) || '/**' END AS pattern, regexp_extract(pattern, '^([^/*?\\[{]+)/', 1) AS top FROM part"
+
+
+@query(f"WITH r AS ({_GLOBS}), n AS (SELECT top, count(*) AS n FROM r GROUP BY top) SELECT id, top, top = '' AS wide, CASE WHEN top = '' THEN (SELECT count(*) FROM r) - 1 ELSE n - 1 + (SELECT count(*) FROM r WHERE top = '') END AS n_meets FROM r JOIN n USING (top)")
+def rule_overlap_classes(spark, d):
+    """The overlaps of all rules, as classes with their members: two rules can meet if they share a class or either is wide."""
+    k = F.col("p_partkey")
+    glob = F.when(k % 5 == 0, "**/*.md").when(k % 5 == 1, "*/x.md").otherwise(F.concat(F.lit("dir"), (k % 41).cast("string"), F.lit("/**")))
+    return R.overlap_classes(table(spark, d, "part").select(k.alias("id"), glob.alias("glob")))
+
+
 @query(f"WITH {_PAGES} SELECT page_id, tag, d AS path_domain FROM (SELECT page_id, unnest(tags) AS tag, regexp_extract(path, '^wiki/([^/]+)/', 1) AS d FROM pages) WHERE starts_with(tag, 'domain/') AND tag <> 'domain/' || d")
 def tag_mismatch(spark, d):
     """Domain tags that differ from the page's place."""
@@ -471,6 +482,14 @@ def nearest_param(spark, d):
     return R.nearest_key(keys, _NEAR, 2)
 
 
+# DuckDB's levenshtein counts bytes; no known key has a '~', so it may stand for any character that isn't ASCII.
+@query(f"WITH {_PAGES}, k AS (SELECT DISTINCT split_part(trim(tag, ' ' || chr(9)), '/', 1) AS key FROM (SELECT unnest(tags) AS tag FROM pages) WHERE tag IS NOT NULL), n AS (SELECT key, name, i, levenshtein(regexp_replace(key, '[^ -~]', '~', 'g'), name) AS d FROM k, (VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(_NEAR))}) AS v(i, name)) SELECT k.key, (SELECT arg_min(name, d * 10 + i) FROM n WHERE n.key = k.key AND d <= 2) AS nearest FROM k")
+def nearest_param_all(spark, d):
+    """The nearest known key of each key of all tags, in any script."""
+    keys = page_tags(spark, d).select(F.substring_index(F.trim("tag", F.lit(" \t")), "/", 1).alias("key")).distinct()
+    return R.nearest_key(keys, _NEAR, 2)
+
+
 @query("SELECT rule_id, count(*) AS n, count(*) FILTER (line_no > 0) AS hits, round(avg(CASE WHEN line_no > 0 THEN 1.0 ELSE 0.0 END), 9) AS hit_rate FROM findings_cache GROUP BY rule_id")
 def mean_hit_rate(spark, d):
     """Counts and shares of a run."""
@@ -487,6 +506,14 @@ def stale_records(spark, d):
     return tasks.join(records, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", issue.alias("issue")).where(F.col("issue").isNotNull())
 
 
+@query("SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'no record' WHEN lines <> o_orderkey % 7 THEN 'stale' END AS issue FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2) ON l_orderkey = o_orderkey WHERE l_orderkey IS NULL OR lines <> o_orderkey % 7")
+def stale_records_all(spark, d):
+    """Tasks whose run record is missing or of another content, of all orders."""
+    records = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines")).where("lines > 2")
+    issue = F.when(F.col("l_orderkey").isNull(), "no record").when(F.col("lines") != F.col("o_orderkey") % 7, "stale")
+    return table(spark, d, "orders").select("o_orderkey").join(records, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", issue.alias("issue")).where(F.col("issue").isNotNull())
+
+
 @query(
     """WITH s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 300 SECOND THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS batch FROM (SELECT ts, event_id, user_id, event_type, ts - lag(ts) OVER (ORDER BY ts, event_id) AS gap FROM events WHERE ts IS NOT NULL))
 SELECT (SELECT min(ts) FROM s x WHERE x.batch = s.batch) AS batch_start, user_id, arg_max(event_type, (ts, event_type)) AS event_type FROM s GROUP BY batch, user_id"""

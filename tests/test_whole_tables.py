@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from quillmere import catalogue
+from quillmere.operators import reports as R
 
 FENCED = """# One
 
@@ -74,3 +75,29 @@ def test_plain_pages_as_by_sql(spark, sf, name, key, code):
     assert Counter({r: n for r, n in found.items() if r[at] not in coded}) == rows(part, *part.columns)
     if name != "heading_jumps":
         assert any(r[at] in coded for r in found)
+
+
+def test_overlap_classes_stand_for_all_pairs(spark):
+    globs = ["a/**", "a/b/*.md", "b/*", "**/*.md", "*/x.md", "", None, "b/c", "c/**"]
+    rules = spark.createDataFrame([(i, i, g) for i, g in enumerate(globs)], "pos long, id long, glob string")
+    classes = R.overlap_classes(rules).collect()
+    pairs = {(a.id, b.id) for a in classes for b in classes if a.id < b.id and (a.wide or b.wide or a.top == b.top)}
+    assert pairs == {tuple(r) for r in R.overlaps(rules).collect()}
+    assert {c.id: c.n_meets for c in classes} == {i: sum(i in p for p in pairs) for i in range(len(globs))}
+
+
+def test_rules_of_the_whole_table(spark, sf):
+    assert catalogue.QUERIES["rule_overlap_classes"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_records_of_the_whole_table(spark, sf):
+    part, whole = (rows(catalogue.QUERIES[n](spark, sf), "o_orderkey", "issue") for n in ("stale_records", "stale_records_all"))
+    assert {k for k in whole if k[0] % 2 == 0} == set(part) and any(k[0] % 2 for k in whole)
+
+
+def test_nearest_of_tags_in_any_script(spark, tmp_path):
+    tags = ["t\u00fdpe/a", "st\u00e4t\u00fcs/b", "\u00e9\u00e9\u00e9\u00e9/c", "topics/d", None]
+    columns = "page_id long, path string, title string, tags array<string>, body string, lint_ignore array<string>, size_bytes long, mtime_ns long, created_at string, scanned_at long"
+    spark.createDataFrame([(1, "wiki/1.md", "t", tags, "", [], 0, 0, "", 1)], columns).write.parquet(f"{tmp_path}/wiki_pages.parquet")
+    got = {r.key: r.nearest for r in catalogue.QUERIES["nearest_param_all"](spark, str(tmp_path)).collect()}
+    assert got == {"t\u00fdpe": "type", "st\u00e4t\u00fcs": "status", "\u00e9\u00e9\u00e9\u00e9": None, "topics": "topic"}
