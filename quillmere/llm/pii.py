@@ -58,7 +58,8 @@ _P = "(?:" + "|".join(p for q in PARTICLES for p in (q, q.upper())) + rf")(?![{_
 _I = rf"[{_UP}]\."
 
 _sign = re.compile("[@＠]")
-_disguise = re.compile(r"[\[({] ?[aA][tT] ?[\])}]| [aA][tT] (?=[\w-]+ [dD][oO][tT] )")
+_disguise = re.compile(r"[\[({] ?[aA][tT] ?[\])}]| [aA][tT] (?=[\w-]+(?: [dD][oO][tT] |\.[\w-]))")
+_mail_cue = re.compile(r"(?:\b(?:e-?mail|mail|contact|write|wrote|reach|ask|cc|message|send|sent)\b)[^.\n]*$")
 _local = re.compile(r"[\w.%+\-�]+ ?$")
 _domain = re.compile(r" ?[\w�-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[\w�-]+)+", re.I)
 _number = re.compile(r"(?<![\w.-])(?:[A-Z]{1,3}[ -]?)?[+(]?[0-9]+(?:(?:[ .\-/ ‑]|(?= ?\()) ?\(?[0-9]+\)?|\)[ .\-/]?[0-9]+){0,14}(?:-[A-Z](?![\w])|[A-Z](?!\w))?(?![\w-])")
@@ -90,8 +91,7 @@ class Span:
 
 def emails(text: str) -> Iterator[Span]:
     separators = list(_sign.finditer(text)) if "@" in text or "＠" in text else []
-    if "(" in text or "[" in text or "{" in text or " dot " in text or " DOT " in text:
-        separators += _disguise.finditer(text)
+    separators += _disguise.finditer(text)
     for m in separators:
         left = _local.search(text, max(0, m.start() - 90), m.start())
         right = _domain.match(text, m.end())
@@ -109,13 +109,17 @@ def emails(text: str) -> Iterator[Span]:
         after, before = text[end : end + 1], text[max(0, start - 1) : start]
         ending = re.split(r"[.\s\])}]+", value)[-1]
         plain = m.group() in "@＠"
+        # 'name at mail.example' is also how a place is told, so what stands before decides
+        bare = m.group().lower() == " at " and not re.search(r"\bdot\b", host, re.I)
+        cue = bare and bool(_mail_cue.search(text[_line_start(text, start) : start].lower()))
+        good = len(ending) >= 2 and (cue or not bare)
         yield Span(
             "email", start, end,
             [
                 plain, local.lower() == "git", after == ":" and text[end + 1 : end + 2].isalnum(), ending.isdigit(), any(c.isdigit() for c in ending), len(ending), host.count("."), len(local), before == "<", after == ">",
-                bool(re.search(r"dot", host, re.I)) and not plain, "." in local, host[:1].isdigit(), before == ":", before == "/", after == "/", m.group() == " at ",
+                bool(re.search(r"dot", host, re.I)) and not plain, "." in local, host[:1].isdigit(), before == ":", before == "/", after == "/", m.group() == " at ", bare, cue,
             ],
-            0 if (after == ":" and text[end + 1 : end + 2].isalnum()) or ending.isdigit() or any(c.isdigit() for c in ending) else 1 if len(ending) >= 2 else None,
+            0 if (after == ":" and text[end + 1 : end + 2].isalnum()) or ending.isdigit() or any(c.isdigit() for c in ending) else 1 if good else 0 if bare else None,
         )
 
 
@@ -365,6 +369,10 @@ def phrases(n: int = 400, seed: int = 7) -> list[str]:
         mail = rng.choice(["{0}.{1}@{2}.example", "{0}@{2}.example.org", "{0} [at] {2} [dot] example", "{0}(at){2}.example", "{0} at {2} dot example"]).format(word(), word(), word())
         out.append(rng.choice(_BLOCKS.split("|")).format(e=mail, p=digit(rng.choice(phones)), i=digit(rng.choice(ids)), a=street, w=rng.choice(labels)))
         out.append(digit(rng.choice(["Ticket OPS-999999 and build 2024.99.999.", "Host 192.0.2.99 answered 99 of 999 probes.", "Fetched git@git.example:a/b.git at 99ab.", f"Pinned {word()}@9.99.9 for now.", f"Pinned{word()}-{word()}@9.99.9fornow.", f"Fetchedgit@git.example:{word()}/{word()}.git", "At 2024-11-12T10:99:99Z it stopped.", "Invoice 999999 covers 99 Main items.", "[99:99:99] done 99999 9999ms", "Run 99999999-9999-9999 took 999,999 bytes.", "Fetched git@git.example:a/b.git at 999999999999.", "[99:99:99] moved a-b 9999999999 9999ms"])))
+    for _ in range(n // 8):
+        end = rng.choice(["example", "example.org", "example.com"])
+        out.append(rng.choice(["mail", "write to", "please contact", "ask", "E-mail:", "cc"]) + f" {word()} at {word()}.{end} " + rng.choice(["", "please", "today", "about it"]))
+        out.append(rng.choice(["The desk answers", "It was hosted", "We looked", "Read more", "The page moved"]) + f" at {word()}.{end} " + rng.choice(["", "now", "today", "last week"]))
     return out
 
 

@@ -85,3 +85,12 @@ def test_long_texts_take_time_in_proportion(model):
         began = time.process_time()
         pii.find([unit * (60_000 // len(unit))], model)
         assert time.process_time() - began < 10, unit
+
+
+def test_addresses_spoken_with_at_and_a_plain_dot(model):
+    cases = {"please write to ada at post.example today": "ada at post.example", "mail ada at post.example dot org please": "ada at post.example dot org", "cc ada at post Dot example Dot org, then": "ada at post Dot example Dot org"}
+    for text, value in cases.items():
+        assert value in [text[s.start : s.end] for s in pii.emails(text)], text
+        assert [text[s.start : s.end] for s in pii.find([text], model)[0] if s.kind == "email"] == [value], text
+    for text in ("The desk answers at post.example now", "The help desk answers at 01.99.00.71.35, ext. 4"):
+        assert [s.kind for s in pii.find([text], model)[0] if s.kind == "email"] == [], text
