@@ -15,15 +15,21 @@ ones, where one shared token says little but several by chance are rare.
    many records is spread over blocks of records, a task for each pair of blocks.
 4. Matches are added up per pair, again in packed arrays, and pairs with L matches remain.
 5. Groups are expanded to classes, and these verified by their whole sets.
+
+Postings and matches go to buckets, a task each, and within a bucket to parts. Spark sorts a bucket's
+packed rows by part, on disk if need be, and the task holds one part at a time. The numbers of both
+follow from the postings and from the sketch's estimate of matches; memory is bounded by a part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +39,25 @@ from quillmere.session import stage
 SKETCH_BITS = 20
 SKETCH_RANGES = 16
 LARGE_SET, LARGE_L = 24, 4
-#: A token in more records than this, by the sketch, is spread over blocks of about so many.
-HOT_LIST = 5_000
-#: Packed rows are flushed at this many pairs, so a task's memory doesn't grow with its lists.
-FLUSH_PAIRS = 2_000_000
-#: Prefix tokens of one task, about.
-TASK_POSTINGS = 1_000_000
+
+
+class Limits(NamedTuple):
+    """Sizes of work; no result depends on them."""
+
+    #: A token in more records than this, by the sketch, is spread over blocks of about so many.
+    hot_list: int = 5_000
+    #: Matches are packed and sent on at this many, so a task's memory doesn't grow with its lists.
+    flush_pairs: int = 400_000
+    #: Postings and matches of a bucket, a task's whole work, and of a part, what it holds at once; about.
+    bucket_postings: int = 2_000_000
+    part_postings: int = 100_000
+    bucket_matches: int = 8_000_000
+    part_matches: int = 400_000
+
+
+MOST_BUCKETS, MOST_PARTS = 100_000, 256
+#: Bytes of payloads, and prefix tokens, that are worked on at once.
+SLICE_BYTES, SLICE_POSTINGS = 4 << 20, 200_000
 
 _U = np.uint64
 _K = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
@@ -130,12 +149,21 @@ def listed(lists: pa.Array) -> list[np.ndarray]:
     return [np.unique(_mix(np.array([v for v in values if v is not None], np.int64).view(_U))) if values else np.zeros(0, _U) for values in lists.to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES of a column."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column(column).nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on
+
+
 # 1. The order.
 
 
 def _sketch(tokens: Tokens, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << bits, np.int32)
-    for batch in batches:
+    for batch in _slices(batches, 1):
         held = tokens(batch.column(1))
         if held:
             counts += np.bincount((np.concatenate(held) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
@@ -165,6 +193,16 @@ def sketch(sets: DataFrame, tokens: Tokens, bits: int = SKETCH_BITS) -> np.ndarr
     return counts
 
 
+def expected(counts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """About how many records have a token of each cell.
+
+    Most tokens are rare, so the median cell tells what other tokens add to a cell by chance; a cell
+    counts as far as it stands out from that by more than their spread.
+    """
+    chance = float(np.median(counts))
+    return np.maximum(counts[cells] - chance - 4 * chance**0.5, 1)
+
+
 # 2. Records, classes and groups.
 
 
@@ -176,11 +214,12 @@ def _up(x: np.ndarray | float) -> np.ndarray:
     return np.ceil(np.asarray(x) - 1e-9).astype(np.int64)
 
 
-def _records(tokens: Tokens, order, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, payload, version) to (id, version, n, s1, s2, prefix_hash, prefix)."""
+def _records(tokens: Tokens, order, threshold: float, hot_list: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, payload, version) to (id, version, n, s1, s2, prefix_hash, prefix) and the postings and matches to expect."""
     counts = order.value
     shift = _U(64 - (len(counts).bit_length() - 1))
-    for batch in batches:
+    likely = expected(counts, slice(None))
+    for batch in _slices(batches, 1):
         sets = tokens(batch.column(1))
         at = np.flatnonzero([len(own) for own in sets])
         if not len(at):
@@ -192,19 +231,22 @@ def _records(tokens: Tokens, order, threshold: float, batches: Iterator[pa.Recor
         rank = counts[(flat >> shift).astype(np.int64)]
         s1, s2 = np.add.reduceat(_mix(flat), first), np.add.reduceat(_mix(flat ^ _K[2]), first)
         length = np.minimum(n, n - _up(threshold * n) + _matches_wanted(n))
-        prefixes, prints = [], []
+        prefixes, prints, postings, matches = [], [], [], []
         for own, start, size, cut in zip(sets, first.tolist(), n.tolist(), length.tolist()):
             prefix = own[np.argsort(rank[start : start + size], kind="stable")[:cut]]
             prints.append(xxhash.xxh3_64_intdigest(prefix.tobytes()))
             prefixes.append((prefix >> _U(32)).astype(np.uint32).tobytes())
+            lists = likely[(prefix >> shift).astype(np.int64)]
+            postings.append(int(_blocks(lists, hot_list).sum()))
+            matches.append(int((lists - 1).sum() / 2))
         at = pa.array(at)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(2).take(at), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.array(prints, _U).view(np.int64)), pa.array(prefixes, pa.binary())],
-            names=["id", "version", "n", "s1", "s2", "prefix_hash", "prefix"],
+            [batch.column(0).take(at), batch.column(2).take(at), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.array(prints, _U).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(postings, pa.int64()), pa.array(matches, pa.int64())],
+            names=["id", "version", "n", "s1", "s2", "prefix_hash", "prefix", "postings", "matches"],
         )
 
 
-_RECORD = "id long, version long, n long, s1 long, s2 long, prefix_hash long, prefix binary"
+_RECORD = "id long, version long, n long, s1 long, s2 long, prefix_hash long, prefix binary, postings long, matches long"
 
 
 # 3. Postings and the pairs of a token's list.
@@ -227,134 +269,160 @@ def _unpack(blob: bytes, types: list) -> list[np.ndarray]:
 
 _POSTING = [np.uint32, np.int64, np.int32, np.int32, np.int32, np.int32]  # key, id, size, position; of a hot token the task's pair of blocks and the own block, else -1
 _MOST_BLOCKS = 46_000  # so that a pair of blocks fits an int32
+_PACKED = "bucket int, part int, blob binary"
 
 
-def _postings(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (id, n, prefix) to packed postings by bucket."""
-    counts = order.value
-    shift = 32 - (len(counts).bit_length() - 1)
+def _blocks(lists: np.ndarray, hot_list: int) -> np.ndarray:
+    """Blocks over which tokens in so many records are spread."""
+    return np.minimum(np.ceil(lists / hot_list), _MOST_BLOCKS).astype(np.int64)
+
+
+def _cut(columns: list[np.ndarray], where: np.ndarray, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of arrays, in an order that their parts keep, to packed rows by bucket and part, as their hash ``where`` says."""
+    slot = (where % _U(buckets * parts)).astype(np.int64)
+    by = np.argsort(slot, kind="stable")
+    slots, first = np.unique(slot[by], return_index=True)
+    blobs = [_pack([c[by[a:b]] for c in columns]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)])]
+    yield pa.RecordBatch.from_arrays([pa.array(slots // parts, pa.int32()), pa.array(slots % parts, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "part", "blob"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[list[np.ndarray]]:
+    """Packed rows in order of bucket and part to the arrays of one part after the other."""
+    now, held = None, []
     for batch in batches:
-        ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        prefixes = [np.frombuffer(p, np.uint32) for p in batch.column(2).to_pylist()]
-        if not prefixes:
-            continue
-        length = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
-        key = np.concatenate(prefixes)
-        own = np.repeat(np.arange(len(length)), length)
-        position = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
-        blocks = np.minimum(-(-counts[key >> np.uint32(shift)].astype(np.int64) // HOT_LIST), _MOST_BLOCKS)
-        block, home = np.full(len(key), -1, np.int64), np.full(len(key), -1, np.int64)
-        hot = np.flatnonzero(blocks > 1)
-        if len(hot):
-            # a record of block b meets every block c in the task of (min, max) of b and c
-            times = blocks[hot]
-            again = np.repeat(hot, times)
-            mine = (_mix(ids[own[again]].view(_U)) % blocks[again].astype(_U)).astype(np.int64)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-            rest = np.flatnonzero(blocks <= 1)
-            pair = np.minimum(mine, other) * _MOST_BLOCKS + np.maximum(mine, other)
-            at = np.concatenate([rest, again])
-            block, home = np.concatenate([block[rest], pair]), np.concatenate([home[rest], mine])
-            key, own, position = key[at], own[at], position[at]
-        bucket = (_mix(key.astype(_U) + _K[2] * (block + 1).astype(_U)) % _U(buckets)).astype(np.int64)
-        by = np.lexsort((key, bucket))
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for number in np.unique(bucket).tolist():
-            part = by[cuts[number] : cuts[number + 1]]
-            columns = [key[part], ids[own[part]], sizes[own[part]].astype(np.int32), position[part].astype(np.int32), block[part].astype(np.int32), home[part].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([_pack(columns)], pa.binary())], names=["bucket", "blob"])
-
-
-_MATCH = [np.int64, np.int64, np.int8]  # a, b, whether one match is enough
-
-
-def _lists(threshold: float, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's postings to packed matches by bucket of a."""
-    blobs: dict[int, list[list[np.ndarray]]] = {}
+        for at in range(batch.num_rows):
+            place = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            if place != now and held:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            now = place
+            held.append(_unpack(batch.column(2)[at].as_buffer(), types))
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+    pa.default_memory_pool().release_unused()  # the worker lives on
+
+
+def _postings(order, hot_list: int, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (id, n, prefix) to packed postings."""
+    blocks = _blocks(expected(order.value, slice(None)), hot_list).astype(np.int32)
+    shift = 32 - (len(blocks).bit_length() - 1)
     for batch in batches:
-        for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            blobs.setdefault(number, []).append(_unpack(blob, _POSTING))
-    for number in list(blobs):
-        key, ids, size, position, block, home = (np.concatenate(c) for c in zip(*blobs.pop(number)))
-        # equal keys meet: sorted by key, then size, as one number; tokens of one record are left out
-        sort = (key.astype(_U) << _U(32)) | size.astype(_U)
-        by = np.argsort(sort)
-        sorted_key = key[by]
-        alone = np.ones(len(by), bool)
-        alone[:-1] &= sorted_key[1:] != sorted_key[:-1]
-        alone[1:] &= sorted_key[1:] != sorted_key[:-1]
-        by = by[~alone]
-        if (block[by] >= 0).any():
-            by = by[np.lexsort((size[by], block[by], key[by]))]
-        key, ids, size, position, block, home = key[by], ids[by], size[by].astype(np.int64), position[by].astype(np.int64), block[by], home[by]
-        if not len(key):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-        end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
-        # a pair needs (rest of a) + L - 1 >= share * (both sizes), and so for b: room is what a posting has for it, cost what it asks
-        share = threshold / (1 + threshold)
-        wanted = _matches_wanted(size)
-        room, cost = size - position - share * size + 1e-9, share * size
-        spread = (block >= 0).any()
-        across = (block >= 0) & (block // _MOST_BLOCKS != block % _MOST_BLOCKS)
-        most = room + wanted - 1
-        active, step, held, n_held = np.flatnonzero(np.arange(len(key)) + 1 < end), 1, [], 0
-        while len(active):
-            other = active + step
-            # sizes rise along a list: who is too small or short of room for this partner is so for all that follow
-            fits = (size[active] >= threshold * size[other] - 1e-9) & (most[active] >= cost[other])
-            active, other = active[fits], other[fits]
-            want = np.minimum(wanted[active], wanted[other])
-            ok = (room[other] + want - 1 >= cost[active]) & (room[active] + want - 1 >= cost[other])
-            if spread:
-                ok &= ~across[active] | (home[active] != home[other])  # pairs of one block have a task of their own
-            a, b, want = ids[active[ok]], ids[other[ok]], want[ok]
-            held.append((np.minimum(a, b), np.maximum(a, b), want.astype(np.int8)))
-            n_held += len(a)
-            if n_held >= FLUSH_PAIRS:
-                yield from _flush(held, buckets)
+        length = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4
+        cuts = np.searchsorted(np.cumsum(length), np.arange(SLICE_POSTINGS, int(length.sum()) + SLICE_POSTINGS, SLICE_POSTINGS)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if part := batch.slice(a, max(0, b - a)):
+                yield from _posted(part, blocks, shift, buckets, parts)
+
+
+def _posted(batch: pa.RecordBatch, blocks: np.ndarray, shift: int, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    prefixes = [np.frombuffer(p, np.uint32) for p in batch.column(2).to_pylist()]
+    length = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+    key = np.concatenate(prefixes)
+    own = np.repeat(np.arange(len(length)), length)
+    position = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+    times = blocks[key >> np.uint32(shift)].astype(np.int64)
+    block, home = np.full(len(key), -1, np.int64), np.full(len(key), -1, np.int64)
+    rest, hot = np.flatnonzero(times <= 1), np.flatnonzero(times > 1)
+    if len(hot):
+        # a record of block b meets every block c in the task of (min, max) of b and c; slices of hot postings, as each is repeated
+        for mine in np.array_split(hot, max(1, -(-int(times[hot].sum()) // SLICE_POSTINGS))):
+            n = times[mine]
+            again = np.repeat(mine, n)
+            at_home = (_mix(ids[own[again]].view(_U)) % times[again].astype(_U)).astype(np.int64)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.minimum(at_home, other) * _MOST_BLOCKS + np.maximum(at_home, other)
+            yield from _sent(key[again], ids[own[again]], sizes[own[again]], position[again], pair, at_home, buckets, parts)
+    if len(rest):
+        yield from _sent(key[rest], ids[own[rest]], sizes[own[rest]], position[rest], block[rest], home[rest], buckets, parts)
+
+
+def _sent(key, ids, size, position, block, home, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    by = np.argsort(key, kind="stable")
+    key, block = key[by], block[by]
+    columns = [key, ids[by], size[by].astype(np.int32), position[by].astype(np.int32), block.astype(np.int32), home[by].astype(np.int32)]
+    yield from _cut(columns, _mix(key.astype(_U) + _K[2] * (block + 1).astype(_U)), buckets, parts)
+
+
+_MATCH = [np.int64, np.int64, np.int8, np.int8]  # a, b, how often (LARGE_L at most), whether one match is enough
+
+
+def _lists(threshold: float, flush_pairs: int, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's postings to packed matches by pair."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n_held = 0
+    for postings in _parts(batches, _POSTING):
+        for found in _list_pairs(threshold, *postings):
+            held.append(found)
+            n_held += len(found[0])
+            if n_held >= flush_pairs:
+                yield from _flush(held, buckets, parts)
                 held, n_held = [], 0
-            step += 1
-            active = active[active + step < end[active]]
-        yield from _flush(held, buckets)
-
-
-def _flush(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Matches to packed rows by bucket of a: sorted, as often as they occur, with a sign where one is enough."""
-    a, b, want = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
-    if not len(a):
+    if n_held:
+        yield from _flush(held, buckets, parts)
+
+
+def _list_pairs(threshold: float, key, ids, size, position, block, home) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b, matches wanted), a < b, of a part's token lists."""
+    # equal keys meet: sorted by key, then size, as one number; tokens of one record are left out
+    by = np.argsort((key.astype(_U) << _U(32)) | size.astype(_U))
+    sorted_key = key[by]
+    alone = np.ones(len(by), bool)
+    alone[:-1] &= sorted_key[1:] != sorted_key[:-1]
+    alone[1:] &= sorted_key[1:] != sorted_key[:-1]
+    by = by[~alone]
+    if (block[by] >= 0).any():
+        by = by[np.lexsort((size[by], block[by], key[by]))]
+    key, ids, size, position, block, home = key[by], ids[by], size[by].astype(np.int64), position[by].astype(np.int64), block[by], home[by]
+    if not len(key):
         return
-    keep = a != b
-    a, b, want = a[keep], b[keep], want[keep]
-    bucket = (_mix(a.view(_U)) % _U(buckets)).astype(np.int64)
-    if int(b.max(initial=0)) < 1 << 31:
-        by = np.argsort((a << 32) | b)
-        by = by[np.argsort(bucket[by].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
-    else:
-        by = np.lexsort((b, a, bucket))
-    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    for number in np.unique(bucket).tolist():
-        part = by[cuts[number] : cuts[number + 1]]
-        blob = _pack([np.diff(a[part], prepend=0), b[part], (want[part] == 1).astype(np.int8)])
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+    end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+    # a pair needs (rest of a) + L - 1 >= share * (both sizes), and so for b: room is what a posting has for it, cost what it asks
+    share = threshold / (1 + threshold)
+    wanted = _matches_wanted(size)
+    room, cost = size - position - share * size + 1e-9, share * size
+    spread = (block >= 0).any()
+    across = (block >= 0) & (block // _MOST_BLOCKS != block % _MOST_BLOCKS)
+    most = room + wanted - 1
+    active, step = np.flatnonzero(np.arange(len(key)) + 1 < end), 1
+    while len(active):
+        other = active + step
+        # sizes rise along a list: who is too small or short of room for this partner is so for all that follow
+        fits = (size[active] >= threshold * size[other] - 1e-9) & (most[active] >= cost[other])
+        active, other = active[fits], other[fits]
+        want = np.minimum(wanted[active], wanted[other])
+        ok = (room[other] + want - 1 >= cost[active]) & (room[active] + want - 1 >= cost[other]) & (ids[active] != ids[other])
+        if spread:
+            ok &= ~across[active] | (home[active] != home[other])  # pairs of one block have a task of their own
+        a, b = ids[active[ok]], ids[other[ok]]
+        yield np.minimum(a, b), np.maximum(a, b), want[ok].astype(np.int8)
+        step += 1
+        active = active[active + step < end[active]]
+
+
+def _summed(a: np.ndarray, b: np.ndarray, times: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matches in order of their pair, each pair once with its number of matches."""
+    by = np.argsort((a << 32) | b) if 0 <= int(a.min()) and int(b.max()) < 1 << 31 else np.lexsort((b, a))
+    a, b = a[by], b[by]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.add.reduceat(times[by].astype(np.int64), first), one[by][first]
+
+
+def _flush(held: list, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Matches to packed rows by pair, so that no record's partners have to fit a task."""
+    a, b, want = (np.concatenate(c) for c in zip(*held))
+    a, b, times, one = _summed(a, b, np.ones(len(a), np.int8), (want == 1).astype(np.int8))
+    # LARGE_L matches are as good as more
+    columns = [a, b, np.minimum(times, LARGE_L).astype(np.int8), one]
+    yield from _cut(columns, _mix(_mix(a.view(_U)) + b.view(_U)), buckets, parts)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's matches to pairs with as many as wanted."""
-    blobs: dict[int, list[list[np.ndarray]]] = {}
-    for batch in batches:
-        for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b, one = _unpack(blob, _MATCH)
-            blobs.setdefault(number, []).append([np.cumsum(a), b, one])
-    for number in list(blobs):
-        a, b, one = (np.concatenate(c) for c in zip(*blobs.pop(number)))
-        if not len(a):
-            continue
-        by = np.argsort((a << 32) | b) if int(b.max()) < 1 << 31 else np.lexsort((b, a))
-        a, b, one = a[by], b[by], one[by]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        matches = np.diff(np.append(first, len(a)))
-        ok = first[(matches >= LARGE_L) | (one[first] == 1)]
+    for part in _parts(batches, _MATCH):
+        a, b, times, one = _summed(*part)
+        ok = (times >= LARGE_L) | (one == 1)
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
@@ -362,13 +430,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_sets(tokens: Tokens, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches, 1):
         sets = tokens(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
 
 
 def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches, 2):
         left, right = ([np.frombuffer(x, _U) for x in batch.column(i).to_pylist()] for i in (2, 3))
         similarity = np.zeros(batch.num_rows)
         for i, (x, y) in enumerate(zip(left, right)):
@@ -379,7 +447,13 @@ def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*kept, pa.array(similarity).filter(ok)], names=["a", "b", "similarity"])
 
 
-def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets") -> tuple[DataFrame, DataFrame]:
+def _layout(rows: int, tasks: int, bucket_rows: int, part_rows: int) -> tuple[int, int]:
+    """Buckets and parts of each for so many rows."""
+    buckets = min(MOST_BUCKETS, max(tasks, -(-rows // bucket_rows)))
+    return buckets, min(MOST_PARTS, max(1, -(-rows // (buckets * part_rows))))
+
+
+def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets", limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Membership ``(id, class_id)`` and pairs of classes ``(a, b, similarity)``, a < b, from ``threshold`` on.
 
     ``sets``: (id long, payload, version long); of several rows of an id the one with the highest
@@ -389,7 +463,7 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     spark = sets.sparkSession
     sets = sets.where(F.col("id").isNotNull()).select("id", "payload", "version")
     order = spark.sparkContext.broadcast(sketch(sets.select("id", "payload"), tokens))
-    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold), _RECORD).withColumn("row", F.monotonically_increasing_id()), f"{name}-records")
+    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold, limits.hot_list), _RECORD).withColumn("row", F.monotonically_increasing_id()), f"{name}-records")
     # a version without tokens has no record and may be the last, so versions are compared before
     last = sets.groupBy("id").agg(F.max(F.coalesce("version", F.lit(-(1 << 62)))).alias("version"))
     oldest = F.lit(-(1 << 62))
@@ -407,12 +481,14 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     grouped = stage(classes.join(groups, ["n", "prefix_hash"]).select("class_id", "group_id"), f"{name}-groups")
     heads = grouped.where(F.col("class_id") == F.col("group_id")).select(F.col("class_id").alias("id"))
     picked = held.join(heads, "id", "left_semi").select("row")
-    prefixes = records.select("row", "id", "n", "prefix").join(picked, "row", "left_semi")
-    total = records.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2  # prefixes are about half of the sets
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_POSTINGS))
-    packed = "bucket int, blob binary"
-    matches = prefixes.select("id", "n", "prefix").mapInArrow(partial(_postings, order, buckets), packed).repartitionById(buckets, "bucket").mapInArrow(partial(_lists, threshold, buckets), packed)
-    pairs = matches.repartitionById(buckets, "bucket").mapInArrow(_candidates, "a long, b long")
+    prefixes = records.select("row", "id", "n", "prefix").join(picked, "row", "left_semi").select("id", "n", "prefix")
+    # decimals, as the sums of estimates may be beyond a long
+    work = records.agg(*[F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)) for c in ("postings", "matches")]).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists, sums = _layout(int(work[0]), tasks, limits.bucket_postings, limits.part_postings), _layout(int(work[1]), tasks, limits.bucket_matches, limits.part_matches)
+    postings = prefixes.mapInArrow(partial(_postings, order, limits.hot_list, *lists), _PACKED).repartitionById(lists[0], "bucket").sortWithinPartitions("bucket", "part")
+    matches = postings.mapInArrow(partial(_lists, threshold, limits.flush_pairs, *sums), _PACKED).repartitionById(sums[0], "bucket").sortWithinPartitions("bucket", "part")
+    pairs = matches.mapInArrow(_candidates, "a long, b long")
     return members, _verified(sets, tokens, threshold, stage(pairs, f"{name}-pairs"), grouped, name)
 
 
@@ -440,6 +516,10 @@ def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.unionByName(own).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+#: Rounds grow with the logarithm of a group's size.
+ROUNDS = 200
+
+
 def components(nodes: DataFrame, pairs: DataFrame, name: str = "groups") -> DataFrame:
     """``(id, group_id)``: the smallest id that each node is linked to, over whatever many links.
 
@@ -448,7 +528,7 @@ def components(nodes: DataFrame, pairs: DataFrame, name: str = "groups") -> Data
     """
     edges = stage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     signature = None
-    for i in range(1, 1000):
+    for i in range(1, ROUNDS + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -459,4 +539,6 @@ def components(nodes: DataFrame, pairs: DataFrame, name: str = "groups") -> Data
         if now == signature:
             break
         signature = now
+    else:
+        raise RuntimeError(f"groups are not settled after {ROUNDS} rounds")
     return nodes.select("id").join(edges.select(F.col("u").alias("id"), "v"), "id", "left").groupBy("id").agg(F.coalesce(F.min("v"), F.col("id")).alias("group_id"))

@@ -18,9 +18,9 @@ def brute(sets, threshold):
     return out
 
 
-def run(spark, rows, threshold, monkeypatch=None):
+def run(spark, rows, threshold, limits=neardup.Limits()):
     df = spark.createDataFrame([(i, t, None, 1) for i, t in rows], "id long, payload array<long>, version long, class_id int")
-    return neardup.similar(df, neardup.listed, threshold)
+    return neardup.similar(df, neardup.listed, threshold, limits=limits)
 
 
 @pytest.mark.parametrize("size,threshold", [(6, 0.5), (40, 0.5), (40, 0.8)])
@@ -40,13 +40,30 @@ def test_finds_all_pairs(spark, size, threshold):
     assert got == brute({i: set(t) for i, t in rows}, threshold)
 
 
-def test_hot_tokens_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT_LIST", 7)
+SMALL = neardup.Limits(hot_list=7, flush_pairs=50, bucket_postings=60, part_postings=9, bucket_matches=80, part_matches=11)
+
+
+def test_hot_tokens_are_spread(spark):
     rows = [(i, [1, 2, i % 5 + 10]) for i in range(60)]
-    members, pairs = run(spark, rows, 0.5)
+    members, pairs = run(spark, rows, 0.5, SMALL)
     assert {tuple(r) for r in neardup.expanded(members, pairs).collect()} == brute({i: set(t) for i, t in rows}, 0.5)
 
 
+def test_small_buckets_and_parts(spark):
+    rng = random.Random(9)
+    base = [[rng.randrange(300) for _ in range(45)] for _ in range(6)]
+    rows = [(i, [t if rng.random() < 0.8 else rng.randrange(300) for t in base[i % 6]] + [7]) for i in range(70)]
+    members, pairs = run(spark, rows, 0.5, SMALL)
+    assert {tuple(r) for r in neardup.expanded(members, pairs).collect()} == brute({i: set(t) for i, t in rows}, 0.5)
+
+
+def test_chance_in_the_sketch_makes_no_token_hot():
+    counts = np.random.default_rng(1).poisson(4_000, 1 << 12)
+    counts[5] += 50_000
+    blocks = neardup._blocks(neardup.expected(counts, slice(None)), 5_000)
+    assert blocks[5] >= 9 and (np.delete(blocks, 5) == 1).all()
+
+
 def test_bodies(spark):
     text = "The quick brown fox jumps over the lazy dog and then it sleeps for a very long while"
     rows = [
