@@ -22,13 +22,12 @@ def hot_keys(rows: DataFrame, key: str) -> dict[str, int]:
 def salted(big: DataFrame, small: DataFrame, key: str, by: str, hot: dict[str, int], salt: str = "__salt") -> tuple[DataFrame, DataFrame]:
     """Both sides with a column ``salt``; joining on ``[key, salt]`` equals joining on ``key``.
 
-    Rows of ``big`` with a hot key are cut into parts by the column ``by``; rows of ``small`` with such
-    a key are repeated once per part. Other rows have salt 0.
+    Rows of ``big`` with a hot key are cut into parts by the column ``by``, as many as that key's rows
+    ask for; rows of ``small`` with such a key are repeated once per part. Other rows have salt 0.
     """
     if not hot:
         return big.withColumn(salt, F.lit(0)), small.withColumn(salt, F.lit(0))
-    parts = min(MAX_PARTS, max(MIN_PARTS, -(-max(hot.values()) // ROWS_PER_PART)))
-    is_hot = F.col(key).isin(list(hot))
-    left = big.withColumn(salt, F.when(is_hot, F.pmod(F.hash(by), F.lit(parts))).otherwise(0).cast("int"))
-    spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    return left, small.withColumn(salt, F.explode(spread))
+    entries = [F.lit(x) for k, n in hot.items() for x in (k, min(MAX_PARTS, max(MIN_PARTS, -(-n // ROWS_PER_PART))))]
+    parts = F.coalesce(F.try_element_at(F.create_map(*entries), F.col(key)), F.lit(1))
+    left = big.withColumn(salt, F.pmod(F.hash(by), parts).cast("int"))
+    return left, small.withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1)))

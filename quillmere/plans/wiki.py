@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.operators import copydiff
 from quillmere.operators import hierarchy as trees
 from quillmere.operators.names import last_delivery, page_keys, target_key
+from quillmere.operators import copydiff, orphans
 from quillmere.operators.orphans import orphan_references, orphan_report, references
 from quillmere.operators.skew import hot_keys, salted
 from quillmere.session import stage, table
@@ -37,6 +37,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(refs, table(spark, d, "wiki_pages"), table(spark, d, "repo_pages"))
 
 
+def p4_current(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are referred to and no page answers by now, with their references: counts kept up over batches of changes."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    tables = {"page_links": (table(spark, d, "page_links"), "link_id"), "page_embeds": (table(spark, d, "page_embeds"), "embed_id")}
+    batches = [orphans.keyed_references(references({name: rows})).select("ref_table", "ref_id", "key").distinct().select("key", one.alias("refs"), zero.alias("existing")) for name, rows in tables.items()]
+    named = orphans.named_pages(table(spark, d, "wiki_pages"), table(spark, d, "repo_pages"))
+    state = spark.createDataFrame([], orphans.STATE)
+    for deltas in [*batches, orphans.existence_deltas(named).select("key", zero.alias("refs"), "existing")]:
+        state = orphans.apply_deltas(state, deltas)
+    return orphans.current_orphans(state)
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(p4_found(spark, d))
 
@@ -91,7 +103,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return below.select(_hierarchy_of("node").alias("hierarchy"), F.shiftright("node", 1).alias("page_id"), F.shiftright("descendant", 1).alias("descendant_id"), "distance")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p4_current": p4_current, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
 
 _KEYS = """
 pages AS (SELECT page_id, arg_max(path, scanned_at) AS path, arg_max(created_at, scanned_at) AS created_at, max(deleted_at) AS deleted_at FROM wiki_pages GROUP BY page_id),
@@ -156,5 +168,7 @@ SQL = {
     "p3_found": _P3,
     "p4_found": _P4 + "SELECT * FROM orphans",
     "p4_report": _P4 + "SELECT ref_table, period, reason, count(*) AS n FROM orphans GROUP BY ref_table, period, reason",
+    "p4_current": _P4 + """SELECT key, count(*) AS refs FROM (SELECT DISTINCT ref_table, ref_id, key FROM refs WHERE key IS NOT NULL) r
+WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.key = r.key AND k.created_at IS NOT NULL AND k.deleted_at IS NULL) GROUP BY key""",
     "p5_found": _P5,
 }

@@ -1,4 +1,6 @@
+import random
 from datetime import datetime as D
+from datetime import timedelta
 
 from quillmere.operators.orphans import STATE, apply_deltas, current_orphans, orphan_references
 
@@ -48,6 +50,22 @@ def test_hot_key(spark):
     assert len(found) == sum(i % 28 < 7 or i % 28 >= 20 for i in range(3000))
 
 
+def test_changes_within_an_hour(spark):
+    rng = random.Random(5)
+    at = lambda: D(2025, 1, 1) + timedelta(minutes=rng.randrange(240)) if rng.random() < 0.95 else None
+    pages = [(i, f"wiki/{rng.choice('abc')}/{rng.choice('xyz')}.md", at(), at() if rng.random() < 0.7 else None, DAY[0]) for i in range(40)]
+    refs = [(i, rng.choice(["x", "y", "a/z", "b/x", "none", "wiki/c/y"]), at()) for i in range(600)]
+    want = set()
+    for i, key, seen in refs:
+        named = [p for p in pages if ("/" + p[1][:-3]).endswith("/" + key)]
+        made = [p[2] for p in named if p[2]]
+        if seen is not None and any(p[2] and p[2] <= seen and (p[3] is None or p[3] > seen) for p in named):
+            continue
+        reason = "missing" if not named else "late" if seen is not None and any(m > seen for m in made) else "deleted"
+        want.add((i, seen and "2025-01", reason))
+    assert set(orphans(spark, refs, pages)) == want
+
+
 def test_deltas(spark):
     make = lambda rows: spark.createDataFrame(rows, STATE)
     state = apply_deltas(make([]), make([("a", 1, 1), ("b", 2, 0), (None, 1, 0)]))
