@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.marked_terms(_t(spark, d, "wiki_pages"), _t(spark, d, "domain_counts")).drop("term_id")
+    return terms.marked_terms(_t(spark, d, "wiki_pages"), _t(spark, d, "domain_counts"))
 
 
 #: Similarity of page bodies, by runs of three words, and of page slices.
@@ -90,9 +90,9 @@ WITH rows AS (
   FROM (SELECT DISTINCT * FROM domain_counts)
   WHERE trim(prefix, ' ' || chr(9) || chr(160)) <> '' AND trim(value, ' ' || chr(9) || chr(160)) <> ''
 ), terms AS (
-  SELECT field, term, CAST(sum(weight) AS BIGINT) AS occurrences, count(DISTINCT record) AS records FROM rows WHERE term <> '' GROUP BY field, term
+  SELECT field, term, row_number() OVER (ORDER BY field, term) - 1 AS term_id, CAST(sum(weight) AS BIGINT) AS occurrences, count(DISTINCT record) AS records FROM rows WHERE term <> '' GROUP BY field, term
 ), marked AS (
-  SELECT field, term, occurrences, records,
+  SELECT field, term, term_id, occurrences, records,
     CASE field WHEN 'tags' THEN records ELSE occurrences END <= 2 AS is_rare,
     CASE field WHEN 'tags' THEN records * 20 >= (SELECT count(DISTINCT page_id) FROM wiki_pages)
                ELSE records * 2 >= (SELECT count(DISTINCT scan_id) FROM domain_counts) END AS is_common

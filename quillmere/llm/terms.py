@@ -1,113 +1,132 @@
 """How often every distinct term occurs, and in how many records.
 
-Equal terms of a record are added up before the shuffle. Each block of the result, a partition,
-encodes its terms by a dictionary of its own and keeps two count arrays, of occurrences and of
-records; what it sends on is one row per term it holds, however often the term occurs there. The
-global dictionary is cut into identifier ranges by the term's hash: the task of a range gives its
-terms dense ids in order, and adds the blocks' arrays into its own by id. No task holds more than the
-distinct terms of a block or of a range, and a term that every record has arrives once from each block.
+1. The global dictionary gives every distinct (field, term) its rank in order of both as its id. It is
+   sorted by ranges on the executors and numbered within each; only the ranges' sizes meet on the
+   driver.
+2. Rows, one per record and term with its weight added up, are encoded to ids: by a broadcast of the
+   dictionary as long as its measured size allows that, else by a join in which hot terms are salted.
+   From here on no term travels.
+3. Each block of encoded rows is counted into arrays of occurrences and of records by id, and sends
+   for every range of ids those that are not zero.
+4. The task of a range adds the blocks' arrays into its own. A term that every record has arrives once
+   from each block.
+5. The ids are decoded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ids of a range begin at its number shifted by this.
-RANGE_BITS = 40
-_BLOCK = "field string, term string, occurrences long, records long"
-_TERMS = "field string, term string, term_id long, occurrences long, records long"
-
-
-class _Counts:
-    """A dictionary that grows, and two arrays by its codes."""
-
-    def __init__(self) -> None:
-        self.codes: dict[tuple[str, str], int] = {}
-        self.arrays = np.zeros((2, 64), np.int64)
-
-    def add(self, fields: pa.Array, terms: pa.Array, occurrences: np.ndarray, records: np.ndarray) -> None:
-        code = np.fromiter((self.codes.setdefault(pair, len(self.codes)) for pair in zip(fields.to_pylist(), terms.to_pylist())), np.int64, len(terms))
-        if len(self.codes) > self.arrays.shape[1]:
-            self.arrays = np.pad(self.arrays, ((0, 0), (0, 2 * len(self.codes) - self.arrays.shape[1])))
-        np.add.at(self.arrays[0], code, occurrences)
-        np.add.at(self.arrays[1], code, records)
-
-
-def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (field, term, weight), one per record and term, to the block's dictionary and arrays."""
-    counts = _Counts()
+from quillmere.operators.skew import hot_keys, salted
+from quillmere.session import stage
+
+#: Ids of a range, the arrays that a task sums at once.
+RANGE_IDS = 1 << 13
+#: Encoded rows that a block counts at once.
+BLOCK_ROWS = 1 << 19
+#: The largest dictionary that is broadcast, in bytes of its terms and entries.
+BROADCAST_BYTES = 16 << 20
+_ENTRY_BYTES = 64
+#: Positions in a partition, of Spark's increasing ids.
+_PLACE = (1 << 33) - 1
+_ARRAYS = "range int, offsets binary, occurrences binary, records binary"
+_SUMS = "term_id long, occurrences long, records long"
+
+
+def dictionary(terms: DataFrame) -> tuple[DataFrame, int, int]:
+    """``(field, term, term_id)``, how many these are, and their bytes: ids are ranks from 0 in order of field and term."""
+    spark = terms.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = terms.select("field", "term").distinct().repartitionByRange(parts, "field", "term").sortWithinPartitions("field", "term")
+    placed = stage(ranges.withColumn("place", F.monotonically_increasing_id()).select("field", "term", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit(_PLACE)).alias("at")), "dictionary")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("bytes")).orderBy("part").collect()  # a row for each range
+    ahead = np.cumsum([0, *(r["n"] for r in sizes)]).tolist()
+    firsts = spark.createDataFrame([(r["part"], first) for r, first in zip(sizes, ahead)], "part long, first long")
+    numbered = placed.join(F.broadcast(firsts), "part").select("field", "term", (F.col("first") + F.col("at")).alias("term_id"))
+    return numbered, ahead[-1], sum(r["bytes"] for r in sizes) + _ENTRY_BYTES * ahead[-1]
+
+
+def encode(rows: DataFrame, numbered: DataFrame, size: int, broadcast_bytes: int) -> DataFrame:
+    """Rows ``(field, term, weight)`` as ``(term_id, weight)``."""
+    if size <= broadcast_bytes:
+        joined = rows.join(F.broadcast(numbered), ["field", "term"])
+    else:
+        left, right = salted(rows, numbered, "term", "record", hot_keys(rows, "term"))
+        joined = left.join(right, ["field", "term", "__salt"])
+    return joined.select("term_id", "weight")
+
+
+def _block(range_ids: int, block_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded rows, one per record and term, to count arrays by range of ids."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n_held = 0
     for batch in batches:
-        weights = batch.column(2).to_numpy(zero_copy_only=False)
-        counts.add(batch.column(0), batch.column(1), weights, np.ones(len(weights), np.int64))
-    if n := len(counts.codes):
-        fields, terms = zip(*counts.codes)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(fields, pa.string()), pa.array(terms, pa.string()), pa.array(counts.arrays[0, :n]), pa.array(counts.arrays[1, :n])],
-            names=["field", "term", "occurrences", "records"],
-        )
-
-
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks' rows sorted by range to the ranges' dictionary slices and summed arrays."""
-    counts, current = _Counts(), None
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        n_held += batch.num_rows
+        if n_held >= block_rows:
+            yield _counted(range_ids, held)
+            held, n_held = [], 0
+    if n_held:
+        yield _counted(range_ids, held)
+
+
+def _counted(range_ids: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ids, weights = (np.concatenate(c) for c in zip(*held))
+    by = np.argsort(ids, kind="stable")
+    ids, first, records = np.unique(ids[by], return_index=True, return_counts=True)
+    occurrences = np.add.reduceat(weights[by], first)
+    ranges, cuts = np.unique(ids // range_ids, return_index=True)
+    cuts = [*cuts.tolist(), len(ids)]
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), cut((ids % range_ids).astype(np.int32)), cut(occurrences), cut(records)], names=["range", "offsets", "occurrences", "records"])
+
+
+def _summed(range_ids: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks' arrays in order of their range to the ranges' sums."""
+    now, sums = None, np.zeros((2, range_ids), np.int64)
     for batch in batches:
-        numbers = batch.column(4).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if current is not None and numbers[a] != current:
-                yield _range(counts, current)
-                counts = _Counts()
-            current = int(numbers[a])
-            part = batch.slice(a, b - a)
-            counts.add(*(part.column(i) for i in (0, 1)), *(part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)))
-    if current is not None:
-        yield _range(counts, current)
-
-
-def _range(counts: _Counts, number: int) -> pa.RecordBatch:
-    pairs = sorted(counts.codes)
-    order = np.fromiter((counts.codes[p] for p in pairs), np.int64, len(pairs))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([p[0] for p in pairs], pa.string()),
-            pa.array([p[1] for p in pairs], pa.string()),
-            pa.array((number << RANGE_BITS) + np.arange(len(pairs))),
-            pa.array(counts.arrays[0][order]),
-            pa.array(counts.arrays[1][order]),
-        ],
-        names=["field", "term", "term_id", "occurrences", "records"],
-    )
+        for number, offsets, *counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if number != now:
+                yield from _sums(range_ids, now, sums)
+                now = number
+                sums[:] = 0
+            at = np.frombuffer(offsets, np.int32)
+            for total, own in zip(sums, counts):
+                total[at] += np.frombuffer(own, np.int64)
+    yield from _sums(range_ids, now, sums)
+
+
+def _sums(range_ids: int, number: int | None, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if number is not None:
+        at = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(number * range_ids + at), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["term_id", "occurrences", "records"])
 
 
-def count_terms(rows: DataFrame, ranges: int | None = None) -> DataFrame:
+def count_terms(rows: DataFrame, range_ids: int = RANGE_IDS, block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(field, term, term_id, occurrences, records)`` for rows ``(record, field, term, weight)``.
 
     A record may repeat a term: it then occurs as often as the weights say, in one record. Rows with a
     null field or term don't count; null records together are one record, a null weight is 0. An empty
-    table gives no rows, other columns are not read. Ids are unique, dense within a range and the same
-    for the same set of terms and number of ranges.
+    table gives no rows, other columns are not read. Ids are the ranks of the terms from 0, by field
+    and term; the other parameters change no result.
     """
-    ranges = ranges or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     combined = (
         rows.where(F.col("field").isNotNull() & F.col("term").isNotNull())
         .groupBy("record", "field", "term")
         .agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"))
     )
-    return (
-        combined.select("field", "term", "weight")
-        .mapInArrow(_block, _BLOCK)
-        .withColumn("range", F.pmod(F.xxhash64("field", "term"), F.lit(ranges)))
-        .repartition(ranges, "range")
-        .sortWithinPartitions("range")
-        .mapInArrow(_ranges, _TERMS)
-    )
+    combined = stage(combined, "terms")
+    numbered, n, size = dictionary(combined)
+    tasks = min(max(1, -(-n // range_ids)), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    arrays = encode(combined, numbered, size, broadcast_bytes).mapInArrow(partial(_block, range_ids, block_rows), _ARRAYS)
+    sums = arrays.repartitionById(tasks, F.col("range") % tasks).sortWithinPartitions("range").mapInArrow(partial(_summed, range_ids), _SUMS)
+    return sums.join(numbered, "term_id").select("field", "term", "term_id", "occurrences", "records")
 
 
 def clean_tag(tag: Column) -> Column:

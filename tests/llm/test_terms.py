@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 from datetime import datetime as D
 
+import pytest
+
 from quillmere.llm.terms import count_terms, found, marked_terms
 
 PAGES = "page_id long, tags array<string>, scanned_at timestamp, term string"
@@ -9,7 +11,8 @@ COUNTS = "scan_id long, wiki string, prefix string, value string, cnt long, scan
 T0, T1 = D(2025, 1, 1), D(2025, 1, 2)
 
 
-def test_counts_equal_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"range_ids": 2, "block_rows": 40, "broadcast_bytes": 0}])
+def test_counts_equal_brute_force(spark, limits):
     rng = random.Random(2)
     rows = [(rng.choice([None, *range(9)]), rng.choice(["a", "b", None]), rng.choice(["x", "y", "", None, "hot", "z" * 5000]), rng.choice([None, 1, 5])) for _ in range(3000)]
     occurrences, records = defaultdict(int), defaultdict(set)
@@ -18,9 +21,15 @@ def test_counts_equal_brute_force(spark):
             occurrences[field, term] += weight or 0
             records[field, term].add(record)
     df = spark.createDataFrame([(*r, 1) for r in rows], "record long, field string, term string, weight long, records int")
-    got = count_terms(df, ranges=5).collect()
+    got = count_terms(df, **limits).collect()
     assert {(r.field, r.term): (r.occurrences, r.records) for r in got} == {k: (n, len(records[k])) for k, n in occurrences.items()}
-    assert len({r.term_id for r in got}) == len(got)
+    assert [r.term_id for r in sorted(got, key=lambda r: (r.field, r.term))] == list(range(len(got)))
+
+
+def test_a_hot_term_is_salted(spark):
+    rows = [(i, "f", "hot" if i % 3 else f"t{i}", 1) for i in range(6000)]
+    got = count_terms(spark.createDataFrame(rows, "record long, field string, term string, weight long"), broadcast_bytes=0).where("term = 'hot'").collect()
+    assert [(r.occurrences, r.records) for r in got] == [(4000, 4000)]
 
 
 def test_marks(spark):
