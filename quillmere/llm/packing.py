@@ -2,12 +2,13 @@
 
 Items of equal size are interchangeable, so the packing is worked out on the histogram of sizes, which
 has at most as many entries as the capacity, however many items there are. A filling of a container is
-a set of sizes around the largest item left. ``plan`` takes fillings in bulk: for the largest size it
-enumerates undominated fillings, takes the one with the least waste as often as the counts allow, and
-so on, until few containers are left; these it searches exhaustively, branch and bound over
-undominated fillings, pruned by the waste that the best solution so far still allows, with best-fit
-decreasing as the first incumbent. The result is a list of (filling, repeats), again as short as the
-histogram, and the bound below which no packing can go.
+a set of sizes around the largest item left. ``plan`` takes best-fit decreasing over the whole
+histogram as the first incumbent and then branches over the undominated fillings around the largest
+item left, least waste first, each as often as the counts allow and then once. A branch ends where the
+waste so far leaves no better packing than the incumbent. The search ends with a proof, at the bound
+below which no packing can go or when nothing is left to try, or when its steps are used up; the plan
+tells which. It is never worse than best-fit. The result is a list of (filling, repeats), as short as
+the histogram.
 
 Items find their container by their rank among the items of their size, without a shuffle of more
 than one row per item.
@@ -15,41 +16,59 @@ than one row per item.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmere.session import stage
 
-#: Steps a search for one filling, and the search over the last containers, may take. The incumbent is whole at any time.
-FILL_STEPS, SEARCH_STEPS = 4_000, 60_000
-#: The last containers that are searched together.
-SEARCH_BINS = 12
+#: Steps that the search for fillings may take in all, and for the fillings around one item; None for no limit, which makes the plan exact.
+SEARCH_STEPS, FILL_STEPS = 1_000_000, 500
+
+
+class Plan(NamedTuple):
+    """Fillings with their repeats, how many containers these are, the least number any packing needs, and whether the plan is known to be best."""
+
+    fillings: list[tuple[tuple[int, ...], int]]
+    containers: int
+    bound: int
+    proven: bool
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Containers any packing needs: the volume bound and Martello and Toth's for items over half the capacity."""
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // capacity)
-    large = sorted(s for s in counts if 2 * s > capacity)
-    smalls = sorted(s for s in counts if 2 * s <= capacity)
-    for limit in [0, *smalls]:
-        over = sum(counts[s] for s in large if s > capacity - limit)
-        middle = sum(counts[s] for s in large if s <= capacity - limit)
-        room = middle * capacity - sum(s * counts[s] for s in large if s <= capacity - limit)
-        rest = sum(s * counts[s] for s in smalls if s >= limit)
-        best = max(best, over + middle + max(0, -(-(rest - room) // capacity)))
+    """Containers any packing needs: the volume bound, Martello and Toth's for items over half the capacity, and those of rounded sizes."""
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    volume = sizes * n
+    best = -(-int(volume.sum()) // capacity)
+    smalls = int(np.searchsorted(sizes, capacity // 2, "right"))
+    heads, volumes = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(volume)])
+    for at, limit in enumerate([0, *sizes[:smalls].tolist()]):
+        first = max(0, at - 1)  # the smallest size that counts
+        middle = max(smalls, int(np.searchsorted(sizes, capacity - limit, "right")))  # larger ones are alone
+        bins = int(heads[-1] - heads[smalls])
+        room = int(heads[middle] - heads[smalls]) * capacity - int(volumes[middle] - volumes[smalls])
+        best = max(best, bins + max(0, -(-(int(volumes[smalls] - volumes[first]) - room) // capacity)))
+    for k in range(1, 60):  # a size counts as a k-th part of how many (k+1)-th parts of the capacity it fills
+        scaled = (k + 1) * sizes
+        parts = np.where(scaled % capacity, (scaled // capacity) * capacity, sizes * k)
+        best = max(best, -(-int((parts * n).sum()) // (k * capacity)))
     return best
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], most_waste: int, steps: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+def fillings(room: int, sizes: list[int], counts: dict[int, int], most_waste: int, steps: list[float]) -> Iterator[tuple[int, tuple[int, ...]]]:
     """Undominated fillings of ``room`` with a waste of at most ``most_waste``, as (waste, sizes in falling order).
 
-    ``sizes`` ascend. A filling is dominated if an item left outside could take the place of one inside
+    ``sizes`` ascend; ``steps`` has what is left of them, and less than 0 after the last: then fillings
+    may be missing. A filling is dominated if an item left outside could take the place of one inside
     that is smaller, or fit beside; so each branch takes the largest size that fits, as often as it
     fits or less often and then leaves it out for good, and a filling with room for a size it left out and that is still there is none.
     """
@@ -68,16 +87,16 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most_waste: in
             # with one less of this size the rest must fill more than it would: what is taken instead is smaller
             todo.append((room, top - 1, (taken, size, times) if times else taken, min(left_out, size)))
         room, top, taken, left_out = todo.pop()
-        steps -= 1
+        steps[0] -= 1
+        if steps[0] < 0:
+            return
         top = bisect_right(sizes, room, 0, top)
         while top and not counts[sizes[top - 1]]:
             top -= 1
-        if not top or steps <= 0:
+        if not top:
             # the smallest size that was left out must not fit, nor replace a smaller one taken after it
             if room <= most_waste and room < left_out:
                 yield room, _unchained(taken)
-            if steps <= 0:
-                return
             continue
         size = sizes[top - 1]
         times = min(counts[size], room // size)
@@ -94,96 +113,133 @@ def _unchained(taken: tuple | None) -> tuple[int, ...]:
     return tuple(size for part in reversed(parts) for size in part)
 
 
-def best_filling(room: int, sizes: list[int], counts: dict[int, int]) -> tuple[int, ...]:
-    """The filling with least waste among those found in the allowed steps; the first of them is best-fit."""
-    best: tuple[int, tuple[int, ...]] = (room + 1, ())
-    for waste, taken in fillings(room, sizes, counts, room, FILL_STEPS):
-        if waste < best[0]:
-            best = waste, taken
-        if waste == 0:
-            break
-    return best[1]
-
-
-def best_fit(items: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Best-fit decreasing."""
-    bins: list[list[int]] = []
-    rooms: list[tuple[int, int]] = []
-    for size in sorted(items, reverse=True):
-        at = bisect_right(rooms, (size - 1, 1 << 60))
-        if at < len(rooms):
-            room, number = rooms.pop(at)
-        else:
-            room, number = capacity, len(bins)
-            bins.append([])
-        bins[number].append(size)
-        entry = (room - size, number)
-        rooms.insert(bisect_right(rooms, entry), entry)
-    return [tuple(b) for b in bins]
-
-
-def search(items: list[int], capacity: int, steps: int = SEARCH_STEPS) -> list[tuple[int, ...]]:
-    """Branch and bound by bin completion over a few containers' items; best-fit's packing if none is better."""
-    incumbent = best_fit(items, capacity)
-    bound = lower_bound(Counter(items), capacity)
-    total, budget = sum(items), [steps]
-
-    def complete(counts: Counter, bins: list[tuple[int, ...]], wasted: int) -> bool:
-        nonlocal incumbent
-        if not counts:
-            incumbent = list(bins)
-            return len(incumbent) <= bound
-        allowed = (len(incumbent) - 1) * capacity - total - wasted
-        if allowed < 0 or len(bins) + 1 >= len(incumbent):
-            return False
-        largest = max(counts)
-        rest = counts - Counter([largest])
-        sizes = sorted(rest)
-        options = sorted(fillings(capacity - largest, sizes, rest, allowed, 2_000), key=lambda o: o[0])
-        for waste, taken in options:
-            budget[0] -= 1
-            if budget[0] < 0:
-                return True
-            allowed = (len(incumbent) - 1) * capacity - total - wasted
-            if waste > allowed:
-                break
-            if complete(rest - Counter(taken), [*bins, (largest, *taken)], wasted + waste):
-                return True
-        return False
-
-    if len(incumbent) > bound:
-        complete(Counter(items), [], 0)
-    return incumbent
-
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing as fillings with repeats: equal containers are filled together.
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings with their repeats that take every item of ``histogram`` (size -> number, sizes 1 to capacity) once."""
+    The item goes where least room is left. A container that took one and has room for another is
+    then the fullest that has, so it takes as many as fit before the next.
+    """
+    bins: dict[int, list[tuple[tuple | None, int]]] = {}
+    rooms: list[int] = []
+    for size in sorted(counts, reverse=True):
+        left, moved = counts[size], []
+
+        def fill(room: int, taken: tuple | None, n: int) -> int:
+            """Put items into up to ``n`` equal containers; how many stay as they are."""
+            nonlocal left
+            each = room // size
+            whole = min(n, left // each)
+            if whole:
+                moved.append((room - each * size, (taken, size, each), whole))
+                left -= whole * each
+            if whole < n and left:
+                moved.append((room - left * size, (taken, size, left), 1))
+                left, whole = 0, whole + 1
+            return n - whole
+
+        while left and (at := bisect_left(rooms, size)) < len(rooms):
+            room = rooms[at]
+            taken, n = bins[room].pop()
+            if n := fill(room, taken, n):
+                bins[room].append((taken, n))
+            if not bins[room]:
+                del bins[room], rooms[at]
+        if left:
+            fill(capacity, None, -(-left // (capacity // size)))
+        for room, taken, n in moved:
+            if room not in bins:
+                bins[room] = []
+                insort(rooms, room)
+            bins[room].append((taken, n))
+    return [(_unchained(taken), n) for same in bins.values() for taken, n in same]
+
+
+class _Node:
+    """Fillings around the largest size left, in the order in which they are tried."""
+
+    def __init__(self, size: int, tries: list[tuple[int, tuple[int, ...], int]], whole: bool) -> None:
+        self.size, self.tries, self.whole = size, tries, whole
+        self.taken: tuple[tuple[int, ...], int, int] | None = None
+        self.known = {t[1:] for t in tries}
+
+
+def plan(histogram: dict[int, int], capacity: int, search_steps: int | None = SEARCH_STEPS, fill_steps: int | None = FILL_STEPS) -> Plan:
+    """A plan that takes every item of ``histogram`` (size -> number, sizes 1 to capacity) once.
+
+    Without limits of steps the search ends with the best plan there is, whatever time that takes.
+    """
     counts = {s: n for s, n in histogram.items() if n > 0}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("sizes must lie between 1 and the capacity")
-    sizes, result = sorted(counts), []
-    volume = sum(s * n for s, n in counts.items())
-
-    def take(filling: tuple[int, ...], times: int) -> None:
-        nonlocal volume
+    sizes, total = sorted(counts), sum(s * n for s, n in counts.items())
+    best = best_fit(counts, capacity)
+    fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity) if counts else 0
+    left = float("inf") if search_steps is None else search_steps
+    bins = wasted = 0
+    cut = False
+
+    def change(filling: tuple[int, ...], times: int, sign: int) -> None:
         for size, n in Counter(filling).items():
-            counts[size] -= n * times
-            volume -= size * n * times
-            if not counts[size]:
-                del counts[size]
-                sizes.remove(size)
-        result.append((filling, times))
-
-    while sizes and volume > SEARCH_BINS * capacity:
-        largest = sizes[-1]
-        counts[largest] -= 1
-        filling = (largest, *best_filling(capacity - largest, sizes, counts))
-        counts[largest] += 1
-        take(filling, min(counts[s] // n for s, n in Counter(filling).items()))
-    rest = [s for s in sizes for _ in range(counts[s])]
-    for filling, n in Counter(tuple(sorted(b, reverse=True)) for b in search(rest, capacity)).items():
-        result.append((filling, n))
-    return result
+            before = counts.get(size, 0)
+            counts[size] = before + sign * n * times
+            if not before:
+                insort(sizes, size)
+            elif not counts[size]:
+                del counts[size], sizes[bisect_left(sizes, size)]
+
+    def node(first: bool, known: set) -> tuple[list[tuple[int, tuple[int, ...], int]], bool]:
+        """Fillings not known yet that can lead to a better packing, and whether these are all; at first up to one without waste."""
+        nonlocal left, cut
+        size = sizes[-1]
+        steps = [min(left, float("inf") if fill_steps is None else fill_steps)]
+        given, found, whole = steps[0], [], True
+        counts[size] -= 1
+        for waste, taken in fillings(capacity - size, sizes, counts, (fewest - 1) * capacity - total - wasted, steps):
+            found.append((waste, (size, *taken)))
+            if first and waste == 0:
+                whole = False
+                break
+        counts[size] += 1
+        left -= given - max(0, steps[0]) if given != float("inf") else 0
+        cut = cut or steps[0] < 0
+        found.sort(key=lambda f: f[0])
+        most = [min(counts[s] // n for s, n in Counter(f).items()) for _, f in found]
+        tries = [(w, f, m) for (w, f), m in zip(found, most)] + [(w, f, 1) for (w, f), m in zip(found, most) if m > 1]
+        return [t for t in tries if t[1:] not in known], whole
+
+    path: list[_Node] = []
+    forward = True
+    while fewest > bound and left > 0 and (path or forward):
+        if forward:
+            if not sizes:
+                best, fewest = [n.taken[:2] for n in path], bins
+            elif (fewest - 1) * capacity - total - wasted >= 0:
+                tries, whole = node(True, set())
+                path.append(_Node(sizes[-1], tries, whole))
+                forward = False
+                continue
+            forward = False
+            if not path:
+                break
+            continue
+        top = path[-1]
+        if top.taken:
+            filling, times, waste = top.taken
+            change(filling, times, 1)
+            bins, wasted, top.taken = bins - times, wasted - waste * times, None
+        if not top.tries and not top.whole:
+            top.tries, top.whole = node(False, top.known)
+            top.known |= {t[1:] for t in top.tries}
+        while top.tries:
+            waste, filling, times = top.tries.pop(0)
+            if waste * times <= (fewest - 1) * capacity - total - wasted:
+                change(filling, times, -1)
+                bins, wasted, top.taken = bins + times, wasted + waste * times, (filling, times, waste)
+                forward = True
+                break
+        if not forward and top.whole:
+            path.pop()
+    return Plan(best, fewest, bound, fewest == bound or (left > 0 and not cut))
 
 
 def _placed(items: DataFrame) -> DataFrame:
@@ -204,40 +260,84 @@ def _before(placed: DataFrame, by: list[str], amount: Column) -> DataFrame:
     return placed.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(ahead, [*by, "__part"]).withColumn("before", F.col("__ahead") + F.col("__inside"))
 
 
-def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
+class _Runs(NamedTuple):
+    """The slots of each size in order of its items' ranks, as runs, one for each filling with it, sorted by size and first rank."""
+
+    rest: np.ndarray
+    first: np.ndarray
+    times: np.ndarray
+    container: np.ndarray
+    start: np.ndarray
+
+
+def _runs(fillings_: list[tuple[tuple[int, ...], int]]) -> _Runs:
+    """A size that a filling has more than once goes through the filling's containers again."""
+    slots: list[tuple[int, int, int, int, int]] = []
+    used: Counter = Counter()
+    container = 0
+    for filling, times in fillings_:
+        start = 0
+        for size, n_size in Counter(filling).items():
+            slots.append((size, used[size], times, container, start))
+            used[size] += n_size * times
+            start += n_size * size
+        container += times
+    return _Runs(*np.array(sorted(slots), np.int64).reshape(-1, 5).T)
+
+
+def _seat(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, rest, rank) to (id, n, rest, container, container_start), by a search in the sorted runs."""
+    runs: _Runs = held.value
+    firsts = np.searchsorted(runs.rest, np.arange(int(runs.rest.max(initial=0)) + 2))
+    for batch in batches:
+        rest, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        low, high = firsts[rest].copy(), firsts[rest + 1].copy()
+        while (open_ := high - low > 1).any():  # the last run of the size that begins at or before the rank
+            middle = (low + high) // 2
+            up = open_ & (runs.first[np.minimum(middle, len(runs.first) - 1)] <= rank)
+            low, high = np.where(up, middle, low), np.where(open_ & ~up, middle, high)
+        at = rank - runs.first[low]
+        container, start = runs.container[low] + at % runs.times[low], runs.start[low] + at // runs.times[low] * rest
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(container), pa.array(start)], names=["id", "n", "rest", "container", "container_start"])
+
+
+def _histogram(placed: DataFrame) -> dict[int, int]:
+    """How many items of each size below the capacity: at most as many rows as that."""
+    return {r["rest"]: r["count"] for r in placed.where("rest > 0").groupBy("rest").count().collect()}
+
+
+def summary(sizes: DataFrame, size_col: str, capacity: int, search_steps: int | None = SEARCH_STEPS, fill_steps: int | None = FILL_STEPS) -> DataFrame:
+    """``(containers, bound, gap, proven)`` of the packing that ``pack`` makes: one row."""
+    n = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
+    items = sizes.select(n.alias("n")).select(F.pmod("n", F.lit(capacity)).alias("rest"), F.floor(F.col("n") / capacity).alias("full"))
+    rows = items.groupBy("rest").agg(F.count(F.lit(1)).alias("count"), F.sum("full").alias("full")).collect()  # a row for each size below the capacity
+    made = plan({r["rest"]: r["count"] for r in rows if r["rest"]}, capacity, search_steps, fill_steps)
+    full = sum(r["full"] for r in rows)
+    out = (made.containers + full, made.bound + full, made.containers - made.bound, made.proven)
+    return sizes.sparkSession.createDataFrame([out], "containers long, bound long, gap long, proven boolean")
+
+
+def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, search_steps: int | None = SEARCH_STEPS, fill_steps: int | None = FILL_STEPS) -> DataFrame:
     """``(id, piece, container, container_start, token_start, token_end)`` for every piece of every item.
 
     An item of more than ``capacity`` is cut into full pieces, each a container of its own, and a rest;
     all others stay whole. Containers are numbered from 0 without gaps; pieces lie in them one after
     the other from ``container_start``. Items without a size, null, 0 or less, need no room: they have
     one piece with a null container and an empty range. Repeated rows are items of their own; a null
-    id is kept. An empty table gives no rows.
+    id is kept. An empty table gives no rows. Steps are those of ``plan``.
     """
     spark = sizes.sparkSession
     n, zero = F.col("n"), F.lit(0).cast("long")
     items = sizes.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     placed = _placed(items.withColumn("rest", F.pmod("n", F.lit(capacity))))
-    # one row for each size below the capacity
-    histogram = {r["rest"]: r["count"] for r in placed.where("rest > 0").groupBy("rest").count().collect()}
-
-    # the slots of a size in order of its items' ranks, as runs, one for each filling with it: first rank, rank after the last,
-    # containers, the first of them, start; a size that a filling has more than once goes through the containers again
-    slots: list[tuple[int, int, int, int, int, int]] = []
-    used: Counter = Counter()
-    container = 0
-    for filling, times in plan(histogram, capacity):
-        start = 0
-        for size, n_size in Counter(filling).items():
-            slots.append((size, used[size], used[size] + n_size * times, times, container, start))
-            used[size] += n_size * times
-            start += n_size * size
-        container += times
-    runs = spark.createDataFrame(slots, "rest long, first long, until long, times long, container long, container_start long")
-    ranked = _before(placed.where("rest > 0"), ["rest"], F.lit(1))
-    mine = (F.col("before") >= F.col("first")) & (F.col("before") < F.col("until"))
-    at = F.col("before") - F.col("first")
-    tails = ranked.join(runs, "rest").where(mine)
-    tails = tails.select("id", F.floor(n / capacity).alias("piece"), (F.col("container") + at % F.col("times")).alias("container"), (F.col("container_start") + F.floor(at / F.col("times")) * F.col("rest")).alias("container_start"), (n - F.col("rest")).alias("token_start"), n.alias("token_end"))
+    made = plan(_histogram(placed), capacity, search_steps, fill_steps)
+    # as long as the plan, which the capacity bounds
+    held = spark.sparkContext.broadcast(_runs(made.fillings))
+    container = made.containers
+    ranked = _before(placed.where("rest > 0"), ["rest"], F.lit(1)).select("id", "n", "rest", F.col("before").cast("long"))
+    kind = dict(placed.dtypes)["id"]
+    seated = ranked.mapInArrow(partial(_seat, held), f"id {kind}, n long, rest long, container long, container_start long")
+    tails = seated.select("id", F.floor(n / capacity).alias("piece"), "container", "container_start", (n - F.col("rest")).alias("token_start"), n.alias("token_end"))
     full = _before(placed.where(n >= capacity).withColumn("k", F.floor(n / capacity)).withColumn("all", F.lit(0)), ["all"], F.col("k"))
     start = F.col("piece") * capacity
     full = full.select("id", "before", F.explode(F.sequence(zero, F.col("k") - 1)).alias("piece")).select(

@@ -68,6 +68,11 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", P7_CAPACITY).withColumnRenamed("id", "doc_id")
 
 
+def p7_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, the bound below which no packing can go, and whether the packing is known to be best."""
+    return packing.summary(bpe.count_column(_t(spark, d, "documents")), "n_tokens", P7_CAPACITY)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = _t(spark, d, "documents")
     return pii.found(documents, pii.fit_model(documents, _t(spark, d, "known_names")))
@@ -78,7 +83,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(documents, pii.fit_model(documents, _t(spark, d, "known_names")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_groups": p2_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_plan": p7_plan, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 _P1 = """
 WITH rows AS (

@@ -11,20 +11,51 @@ def test_plans_are_whole_and_near_the_bound(seed):
     rng = random.Random(seed)
     counts = Counter(rng.randint(1, 100) for _ in range(rng.choice([0, 1, 7, 60, 3000])))
     plan = packing.plan(counts, 100)
+    whole(plan, counts, 100)
+    # not every set of items can reach the bound
+    assert plan.bound <= plan.containers <= plan.bound * 1.005 + 1
+
+
+def whole(plan, counts, capacity):
     used = Counter()
-    for filling, times in plan:
-        assert sum(filling) <= 100
+    for filling, times in plan.fillings:
+        assert sum(filling) <= capacity
         for size in filling:
             used[size] += times
-    assert used == counts
-    bins = sum(times for _, times in plan)
-    bound = packing.lower_bound(counts, 100)  # which not every set of items can reach
-    assert bound <= bins <= min(bound * 1.005 + 1, len(packing.best_fit(list(counts.elements()), 100)))
+    assert used == counts and plan.containers == sum(times for _, times in plan.fillings)
+
+
+def one_by_one(items, capacity):
+    rooms = []
+    for size in sorted(items, reverse=True):
+        fitting = [i for i, room in enumerate(rooms) if room >= size]
+        if fitting:
+            rooms[min(fitting, key=lambda i: rooms[i])] -= size
+        else:
+            rooms.append(capacity - size)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("low,high,n,capacity", [(500, 1000, 5000, 2048), (100, 1500, 5000, 2048), (1, 2047, 3000, 2048), (300, 1200, 4000, 2048), (683, 1024, 2000, 2048), (1, 40, 800, 100), (30, 60, 500, 100)])
+def test_never_worse_than_best_fit(low, high, n, capacity):
+    rng = random.Random(2)
+    items = [rng.randint(low, high) for _ in range(n)]
+    plan = packing.plan(Counter(items), capacity)
+    whole(plan, Counter(items), capacity)
+    assert plan.bound <= plan.containers <= one_by_one(items, capacity)
+    assert not plan.proven or plan.containers == plan.bound
+    assert sum(times for _, times in packing.best_fit(Counter(items), capacity)) == one_by_one(items, capacity)
 
 
 def test_search_beats_best_fit():
     items = [44, 6, 24, 6, 8, 40, 48, 12, 12, 8, 6, 12, 24, 20, 32, 8, 10, 24, 40, 16, 30, 50, 50, 20]
-    assert len(packing.search(items, 100)) == packing.lower_bound(Counter(items), 100) <= len(packing.best_fit(items, 100))
+    assert packing.plan(Counter(items), 100).containers == packing.lower_bound(Counter(items), 100) <= one_by_one(items, 100)
+    for seed in range(60):
+        rng = random.Random(seed)
+        items = [rng.randint(15, 60) for _ in range(30)]
+        if packing.plan(Counter(items), 100).containers < one_by_one(items, 100):
+            return
+    raise AssertionError("the search never found a better packing")
 
 
 def test_small_instances_are_optimal():
@@ -52,7 +83,8 @@ def test_small_instances_are_optimal():
 
     for _ in range(25):
         items = sorted((rng.randint(1, 20) for _ in range(8)), reverse=True)
-        assert len(packing.search(items, 20)) == optimum(items)
+        plan = packing.plan(Counter(items), 20, search_steps=None, fill_steps=None)
+        assert plan.containers == optimum(items) and plan.proven
 
 
 def check(rows, items, capacity):
@@ -88,24 +120,20 @@ def test_one_size_and_empty(spark):
     rows = packing.pack(spark.createDataFrame(same, "doc_id long, n_tokens long").repartition(4), "doc_id", "n_tokens", 100).collect()
     check(rows, same, 100)
     assert len({r.container for r in rows}) == 134
+    assert packing.summary(spark.createDataFrame([*same, (None, 205), (None, None)], "doc_id long, n_tokens long"), "n_tokens", 100).collect() == [(136, 136, 0, True)]
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), "doc_id", "n_tokens", 100).collect() == []
     assert packing.pack(spark.createDataFrame([(None, 200), (None, 200)], "doc_id long, n_tokens long"), "doc_id", "n_tokens", 100).count() == 4
 
 
 def test_many_of_the_smallest_sizes():
-    assert sum(times for _, times in packing.plan({1: 50_000}, 2048)) == 25
+    assert packing.plan({1: 50_000}, 2048).containers == 25
     counts = {1: 30_001, 2: 30_000, 3: 5, 2000: 40}
-    used = Counter()
-    for filling, times in packing.plan(counts, 2048):
-        assert sum(filling) <= 2048
-        for size in filling:
-            used[size] += times
-    assert used == counts
+    whole(packing.plan(counts, 2048), counts, 2048)
 
 
 def test_fillings_with_a_long_chain_of_sizes_left_out():
     sizes = list(range(683, 2047))
-    found = list(packing.fillings(2047, sizes, dict.fromkeys(sizes, 1), 2047, 4_000))
+    found = list(packing.fillings(2047, sizes, dict.fromkeys(sizes, 1), 2047, [4_000]))
     assert found[0] == (1, (2046,)) and len(found) > 1
 
 
