@@ -50,8 +50,22 @@ STREET_ENDS = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "
 PARTICLES = "van von de der den del della di du da dos das la le zu zur ten ter af al el bin ibn".split()
 TITLES = "mr mrs ms miss dr prof herr frau mme mlle sr sra srta sir madame monsieur doctor professor".split()
 
-_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĖĘĚĜĞĠĢĤĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŜŞŠŢŤŪŮŰŲŴŶŹŻŽ"
-_LET = "A-Za-zÀ-ÖØ-öø-ɏ̀-ͯ"
+
+
+def _letters_where(holds) -> str:
+    """The letters of scripts with capitals for which ``holds``, as ranges of a character class."""
+    out, first = [], None
+    for c in range(0x41, 0x2000):
+        if chr(c).isalpha() and holds(chr(c)):
+            first = c if first is None else first
+        elif first is not None:
+            out.append(chr(first) if first == c - 1 else f"{chr(first)}-{chr(c - 1)}")
+            first = None
+    return "".join(out)
+
+
+_UP = _letters_where(str.isupper)
+_LET = _letters_where(lambda c: c.lower() != c.upper()) + "\u0300-\u036f"
 _GAP = "[    ]"
 _T = rf"[{_UP}](?:[{_LET}]|['’](?=[{_UP}]))*(?:[-‐‑][{_UP}][{_LET}]*)*"
 _P = "(?:" + "|".join(p for q in PARTICLES for p in (q, q.upper())) + rf")(?![{_LET}])"
@@ -61,14 +75,20 @@ _sign = re.compile("[@＠]")
 _disguise = re.compile(r"[\[({] ?[aA][tT] ?[\])}]| [aA][tT] (?=[\w-]+(?: [dD][oO][tT] |\.[\w-]))")
 _mail_cue = re.compile(r"(?:\b(?:e-?mail|mail|contact|write|wrote|reach|ask|cc|message|send|sent)\b)[^.\n]*$")
 _local = re.compile(r"[\w.%+\-�]+ ?$")
+#: Characters before a sign that are searched for the local part at first; more while it goes on.
+LOCAL_WINDOW = 90
 _domain = re.compile(r" ?[\w�-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[\w�-]+)+", re.I)
-_number = re.compile(r"(?<![\w.-])(?:[A-Z]{1,3}[ -]?)?[+(]?[0-9]+(?:(?:[ .\-/ ‑]|(?= ?\()) ?\(?[0-9]+\)?|\)[ .\-/]?[0-9]+){0,14}(?:-[A-Z](?![\w])|[A-Z](?!\w))?(?![\w-])")
+_number = re.compile(r"(?<![\w.-])(?:[A-Z]{1,3}[ -]?)?[+(]?[0-9]+(?:(?:[ .\-/ ‑]|(?= ?\()) ?\(?[0-9]+\)?|\)[ .\-/]?[0-9]+)*(?:-[A-Z](?![\w])|[A-Z](?!\w))?(?![\w-])")
 _digits = re.compile(r"[0-9](?:[ .\-/()\u00a0\u2011]{0,2}[0-9]){6,}")
-_more_digits = re.compile(r"[ .\-/\u00a0\u2011]\(?[0-9]")  # a longer series is no number of a person
-_house_first = re.compile(rf"[0-9](?<![\w.,:/-].)[0-9]{{0,3}}[a-zA-Z]?,? (?:(?:[{_UP}][{_LET}'’-]{{0,40}}\.?|{'|'.join(w for w in STREET_WORDS if w.islower())}|de|du|des|la|le|les|del|los|las)(?![\w]) ?){{1,6}}")
-_house_last = re.compile(rf"[{_UP}](?<![\w-].)[{_LET}'’.-]{{0,40}}(?: (?:[{_UP}][{_LET}'’.-]{{0,40}}|de|du|des|la|le|les|del|los|las|der|dem|den|am|an|zum|zur)){{0,5}},? [0-9]{{1,4}}[a-zA-Z]?(?![\w.:/-]*[0-9])(?!\w)")
+_more_digits = re.compile(r"[ .\-/\u00a0\u2011]\(?[0-9]")  # of a word that begins with digits, so that where the number ends is open
+#: Digits, with those dialled to leave the country, and groups that a phone number may have.
+PHONE_DIGITS, PHONE_GROUPS = 18, 15
+#: Words that a street may have.
+STREET_PARTS = 12
+_house_first = re.compile(rf"[0-9](?<![\w.,:/-].)[0-9]{{0,3}}[a-zA-Z]?,? (?:(?:[{_UP}][{_LET}'’-]*\.?|{'|'.join(w for w in STREET_WORDS if w.islower())}|de|du|des|la|le|les|del|los|las)(?![\w]) ?){{1,{STREET_PARTS}}}")
+_house_last = re.compile(rf"[{_UP}](?<![\w-].)(?<![{_UP}]['’].)(?:[{_LET}'’-]|\.(?![{_UP}]))*(?: (?:[{_UP}](?:[{_LET}'’-]|\.(?![{_UP}]))*|de|du|des|la|le|les|del|los|las|der|dem|den|am|an|zum|zur)){{0,{STREET_PARTS - 1}}},? [0-9]{{1,4}}[a-zA-Z]?(?![\w.:/-]*[0-9])(?!\w)")
 _unit = rf"(?:{_I}|{_P}|{_T}(?!\.?[\w@]))"
-_names = re.compile(rf"[{_UP}](?<![{_LET}0-9@.+_/\-].)(?:\.|(?:[{_LET}]|['’](?=[{_UP}]))*(?:[-‐‑][{_UP}][{_LET}]*)*(?!\.?[\w@]))(?:,?{_GAP}{_unit}(?![{_LET}]))+")
+_names = re.compile(rf"[{_UP}](?<![{_LET}0-9@.+_/\-].)(?<![{_UP}]['’].)(?:\.|(?:[{_LET}]|['’](?=[{_UP}]))*(?:[-‐‑][{_UP}][{_LET}]*)*(?!\.?[\w@]))(?:,?{_GAP}{_unit}(?![{_LET}]))+")
 _units = re.compile(_unit)
 _particles_before = re.compile(rf"(?<![{_LET}])(?:{_P}{_GAP})+$")
 _words_before = re.compile(rf"[{_LET}]+")
@@ -89,11 +109,22 @@ class Span:
 # Generators. Each yields spans with features; ``strict`` is used in fitting only.
 
 
+def _local_part(text: str, end: int) -> re.Match | None:
+    """The local part that ends at ``end``, from its first character on however long it is."""
+    window = LOCAL_WINDOW
+    while True:
+        first = max(0, end - window)
+        found = _local.search(text, first, end)
+        if not found or found.start() > first or not first:
+            return found
+        window *= 2
+
+
 def emails(text: str) -> Iterator[Span]:
     separators = list(_sign.finditer(text)) if "@" in text or "＠" in text else []
     separators += _disguise.finditer(text)
     for m in separators:
-        left = _local.search(text, max(0, m.start() - 90), m.start())
+        left = _local_part(text, m.start())
         right = _domain.match(text, m.end())
         if not left or not right:
             continue
@@ -149,7 +180,7 @@ def numbers(text: str) -> Iterator[Span]:
             continue
         groups = _GROUPS.findall(value)
         digits = sum(map(len, groups))
-        if not 7 <= digits <= 18 or (len(groups) == 3 and len(groups[0]) == 4 and digits == 8 and value[4:5] == "-"):
+        if digits < 7 or (len(groups) == 3 and len(groups[0]) == 4 and digits == 8 and value[4:5] == "-"):
             continue
         spans = [(m.start(), m.end())]
         tail = re.search(r" \(?[0-9]+\)?$", value)
@@ -163,10 +194,11 @@ def numbers(text: str) -> Iterator[Span]:
             if label and label.group(1).lower() in ID_WORDS:  # the label isn't part of the number
                 start, own = start + label.end(), own[label.end() :]
                 own = own.rstrip(")") if own.count(")") > own.count("(") else own
-            yield from _number_spans(text, start, start + len(own), own, end < m.end())
+            yield from _number_spans(text, start, start + len(own), own, end < m.end(), digits <= PHONE_DIGITS and len(groups) <= PHONE_GROUPS)
 
 
-def _number_spans(text: str, start: int, end: int, value: str, cut: bool) -> Iterator[Span]:
+def _number_spans(text: str, start: int, end: int, value: str, cut: bool, short: bool) -> Iterator[Span]:
+    """A phone number has no more digits than numbering plans allow; a longer number can be one of a person if a label says so."""
     groups = _GROUPS.findall(value)
     sizes = list(map(len, groups))
     digits = sum(sizes)
@@ -186,8 +218,11 @@ def _number_spans(text: str, start: int, end: int, value: str, cut: bool) -> Ite
     ]
     dialled = not letters and ((plus and 8 <= digits <= 15) or (double and 10 <= digits <= 16) or (single and len(groups) > 1 and 9 <= digits <= 12 and not year) or sizes == [3, 3, 4])
     labelled = id_ >= 0.2
+    if not short and (not labelled or cut):
+        return
     good_phone = 1 if dialled and not labelled and not cut else 0 if not dialled or labelled or cut else None
-    yield Span("phone", start, end, features, good_phone)
+    if short:
+        yield Span("phone", start, end, features, good_phone)
     yield Span("id_number", start, end, features, 1 if labelled and not plus and not cut and (phone < id_) else 0)
 
 
@@ -277,6 +312,10 @@ def letter_odds(names: Iterable[str], others: dict[str, int]) -> dict[str, float
     return {t: math.log((ours[t] + 0.5) / a) - math.log((theirs[t] + 0.5) / b) for t in {*ours, *theirs}}
 
 
+#: Parts of the longest form a name can have below: given name, two initials, another name, two particles, family name.
+LONGEST_NAME = 7
+
+
 def people(text: str, model: Names, known: dict[str, set[str]] | None = None) -> Iterator[Span]:
     for m in _names.finditer(text):
         units = [u.span() for u in _units.finditer(text, m.start(), m.end())]
@@ -288,7 +327,7 @@ def people(text: str, model: Names, known: dict[str, set[str]] | None = None) ->
             word = text[a:b]
             kinds.append("i" if word.endswith(".") else "p" if word.lower() in PARTICLES else "x" if word.lower() in TITLES else "t")
         for i in range(len(units)):
-            for j in range(i + 2, min(i + 6, len(units)) + 1):
+            for j in range(i + 2, min(i + LONGEST_NAME, len(units)) + 1):
                 shape = "".join(kinds[i:j])
                 commas = [k for k in range(i, j - 1) if text[units[k][1] : units[k][1] + 1] == ","]
                 if not commas and re.fullmatch(r"[ti]i{0,2}t?p{0,2}t", shape):
@@ -520,16 +559,16 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def fit_model(documents: DataFrame, known_names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """``train`` on about SAMPLE_TEXTS texts of at most SAMPLE_CHARS characters, chosen by their hash, twice as many at most."""
+    """``train`` on about SAMPLE_TEXTS texts of at most SAMPLE_CHARS characters and MOST_NAMES names, both drawn by their hash."""
     n = documents.count()
     share = min(1.0, SAMPLE_TEXTS / max(n, 1))
     bound = int(share * (1 << 62))
     h = F.xxhash64(id_col, text_col).bitwiseAND((1 << 62) - 1)
     texts = documents.select(F.col(text_col).cast("string").alias("text"), h.alias("h")).where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.where(F.col("h") < bound).limit(2 * SAMPLE_TEXTS).collect()  # about SAMPLE_TEXTS, by their share of all
+    rows = texts.where(F.col("h") < bound).orderBy("h", "text").limit(2 * SAMPLE_TEXTS).collect()  # about SAMPLE_TEXTS, by their share of all
     rows = sorted(rows, key=lambda r: (r["h"], r["text"]))
-    names = known_names.select("name", "kind").where("name IS NOT NULL").orderBy("name", "kind").limit(MOST_NAMES).collect()
-    return train([r["text"] for r in rows], [(r["name"], r["kind"]) for r in names])
+    names = known_names.select("name", "kind").where("name IS NOT NULL").distinct().orderBy(F.xxhash64("name", "kind"), "name", "kind").limit(MOST_NAMES).collect()
+    return train([r["text"] for r in rows], sorted((r["name"], r["kind"]) for r in names))
 
 
 def found(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,7 +81,7 @@ def test_boosting_learns_and_calibrates():
 def test_long_texts_take_time_in_proportion(model):
     import time
 
-    for unit in ("A.", "Aa ", "1 ", "van Aa ", "a@", "Aa, ", "12 Aa "):
+    for unit in ("A.", "A'", "Aa ", "1 ", "van Aa ", "a@", "Aa, ", "12 Aa "):
         began = time.process_time()
         pii.find([unit * (60_000 // len(unit))], model)
         assert time.process_time() - began < 10, unit
@@ -94,3 +94,30 @@ def test_addresses_spoken_with_at_and_a_plain_dot(model):
         assert [text[s.start : s.end] for s in pii.find([text], model)[0] if s.kind == "email"] == [value], text
     for text in ("The desk answers at post.example now", "The help desk answers at 01.99.00.71.35, ext. 4"):
         assert [s.kind for s in pii.find([text], model)[0] if s.kind == "email"] == [], text
+
+
+def test_a_local_part_is_found_from_its_first_character(model):
+    local = "very.long-" * 60 + "name"
+    text = f"Mail: {local}@post.example now"
+    assert [text[s.start : s.end] for s in pii.find([text], model)[0] if s.kind == "email"] == [f"{local}@post.example"]
+
+
+def test_names_of_other_scripts_are_proposed():
+    for text in ("это Иван Петров сказал", "η Ελένη Παππά έγραψε", "Անի Գրիգորյան"):
+        assert list(pii.people(text, pii.Names()))
+
+
+#: Sentences that no phrase of the training uses.
+FRAMES = {
+    "phone": ["You can ring me on {} after six.", "our new line is {}", "text {} if the door is locked", "phone {} or come by"],
+    "email": ["ping {} when it is done", "the list owner ({}) agreed", "forwarded by {} at noon", "cc: {}"],
+    "id_number": ["her passport {} expires in May", "social security {} was printed", "identity number {} on page two", "the tax ID {} again"],
+    "address": ["we lived at {} for years", "the office at {} is closed", "deliver it to {} please", "her address was {} then"],
+}
+
+
+def test_frames_outside_the_training(model):
+    values = {kind: [v for v in VALUES[kind]] for kind in FRAMES}
+    cases = [(kind, frame.format(v), v) for kind, frames in FRAMES.items() for frame in frames for v in values[kind]]
+    found = [any(t[s.start : s.end] == v and s.kind == kind for s in pii.find([t], model)[0]) for kind, t, v in cases]
+    assert sum(found) / len(found) >= 0.9, [c for c, ok in zip(cases, found) if not ok]
