@@ -1,12 +1,14 @@
 """Parent-child links to full hierarchies by contraction of partition-local chains.
 
-A level of the recursion holds a forest as rows (node, parent, weight). Its nodes are spread over
-fragments, a node joining its parent's fragment by a coin that makes stars of neighbours. Each
-fragment follows its parent chains as far as they stay inside and gives every node its exit, the first
-ancestor outside, with the distance. Only nodes that are exits of others are needed outside; they are
-the nodes of the next level, their exits its parents. Leaves are never exits and every node with its
-only child in its own fragment is none, so each level is smaller by a constant share until one
-fragment holds it. Going back, a node's root and depth are its exit's, plus the distance.
+A level of the recursion holds a forest as rows (node, parent, weight), cut into fragments. The first
+level takes ranges of the nodes, as related rows are often near each other; on later levels a node
+joins its parent's fragment by a coin that makes stars of neighbours, unless the parent has more
+children than a fragment shall hold. Each fragment follows its parent chains as far as they stay
+inside and gives every node its exit, the first ancestor outside, with the distance. Only nodes that
+are exits of others are needed outside; they are the nodes of the next level, their exits its parents.
+Leaves are never exits and every node with its only child in its own fragment is none, so each level
+is smaller by a constant share until one fragment holds it. Going back, a node's root and depth are
+its exit's, plus the distance; the nodes of an exit that very many have are spread.
 
 Cycles inside a fragment are seen there. A cycle over fragments becomes a cycle of exits in a smaller
 level; going back, the chains between its exits are marked as lying on it.
@@ -21,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.session import stage
+from quillmere.operators.skew import hot_keys, salted
+from quillmere.session import stage, unstage
 
 #: Nodes of one fragment, about: what a task contracts in memory, and the size at which the recursion ends.
 FRAGMENT_NODES = 50_000
 
 _LEVEL = "node long, parent long, weight long, root long, depth long, cyclic boolean, trail array<long>"
-_LOCAL = "node long, exit long, distance long, root long, depth long, cyclic boolean, on_cycle boolean, trail array<long>"
-_EMPTY_TRAIL = "array()"
+_LOCAL = "node long, parent long, fragment long, exit long, distance long, root long, depth long, cyclic boolean, on_cycle boolean, trail array<long>"
 
 
 def _positions(nodes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -77,8 +79,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     depth = pa.array(_column(rows, "depth")[jump] + distance, mask=~settled)
     trails = _trails(rows, parent, jump, looping)
     yield from pa.Table.from_arrays(
-        [pa.array(node), exits, pa.array(distance), root, depth, pa.array(cyclic), pa.array(on_cycle), trails],
-        names=["node", "exit", "distance", "root", "depth", "cyclic", "on_cycle", "trail"],
+        [pa.array(node), original, rows.column("fragment"), exits, pa.array(distance), root, depth, pa.array(cyclic), pa.array(on_cycle), trails],
+        names=["node", "parent", "fragment", "exit", "distance", "root", "depth", "cyclic", "on_cycle", "trail"],
     ).to_batches(max_chunksize=10_000)
 
 
@@ -122,38 +124,51 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(marked)], names=["node", "on_cycle"])
 
 
-def _fragment(level: int) -> F.Column:
-    """Where a node belongs: to its parent's fragment if its own coin says so and the parent's says it stays."""
+def _fragments(level_rows: DataFrame, level: int, parts: int, fragment_nodes: int) -> DataFrame:
+    """The rows in partitions, one for each fragment or for several, with the fragment's number."""
+    if not level:
+        return level_rows.repartitionByRange(parts, "node").withColumn("fragment", F.spark_partition_id().cast("long"))
+    # at most 8 for each part
+    crowded = level_rows.where(F.col("parent").isNotNull()).groupBy("parent").count().where(F.col("count") > max(1, fragment_nodes // 8)).select("parent", F.lit(True).alias("crowded"))
     goes = F.pmod(F.xxhash64(F.lit(2 * level), "node"), F.lit(2)) == 1
     stays = F.pmod(F.xxhash64(F.lit(2 * level), "parent"), F.lit(2)) == 0
-    return F.xxhash64(F.lit(2 * level + 1), F.when(F.col("parent").isNotNull() & goes & stays, F.col("parent")).otherwise(F.col("node")))
+    joins = F.col("parent").isNotNull() & goes & stays & F.col("crowded").isNull()
+    placed = level_rows.join(F.broadcast(crowded), "parent", "left").withColumn("fragment", F.xxhash64(F.lit(2 * level + 1), F.when(joins, F.col("parent")).otherwise(F.col("node"))))
+    return placed.drop("crowded").repartition(parts, "fragment")
+
+
+#: Levels halve at worst every few; far more can't be needed.
+MOST_LEVELS = 200
 
 
 def _solve(level_rows: DataFrame, level: int, fragment_nodes: int) -> DataFrame:
     """``(node, root, depth, cyclic, on_cycle, trail)`` of a level."""
     n = level_rows.count()
     if n <= fragment_nodes:
-        local = level_rows.coalesce(1).mapInArrow(_contract, _LOCAL)
+        local = level_rows.withColumn("fragment", F.lit(0).cast("long")).coalesce(1).mapInArrow(_contract, _LOCAL)
         return local.select("node", "root", "depth", "cyclic", "on_cycle", "trail")
+    if level > MOST_LEVELS:
+        raise RuntimeError(f"the hierarchy is not contracted after {MOST_LEVELS} levels")
     parts = -(-n // fragment_nodes)
-    placed = level_rows.withColumn("__f", _fragment(level))
-    local = stage(placed.repartition(parts, "__f").drop("__f").mapInArrow(_contract, _LOCAL), f"hierarchy-{level}")
-    outer = local.where(F.col("exit").isNotNull()).select(F.col("exit").alias("node")).distinct()
+    local = stage(_fragments(level_rows, level, parts, fragment_nodes).mapInArrow(_contract, _LOCAL), f"hierarchy-{level}")
+    leaving = local.where(F.col("exit").isNotNull())
+    outer = leaving.select(F.col("exit").alias("node")).distinct()
     quotient = stage(
-        local.join(outer, "node").select("node", F.col("exit").alias("parent"), F.col("distance").alias("weight"), "root", "depth", "cyclic", "trail"),
+        local.join(outer.hint("merge"), "node").select("node", F.col("exit").alias("parent"), F.col("distance").alias("weight"), "root", "depth", "cyclic", "trail"),
         f"quotient-{level}",
     )
     above = stage(_solve(quotient, level + 1, fragment_nodes), f"solved-{level}")
+    unstage(quotient)
     inner = local.where(F.col("exit").isNull())
-    lifted = local.where(F.col("exit").isNotNull()).join(
-        above.select(F.col("node").alias("exit"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("cyclic").alias("c"), F.col("trail").alias("t")), "exit"
-    )
+    known = above.select(F.col("node").alias("exit"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("cyclic").alias("c"), F.col("trail").alias("t"))
+    left, right = salted(leaving, known, "exit", "node", hot_keys(leaving, "exit"))
+    lifted = left.join(right.hint("merge"), ["exit", "__salt"])
     straight = lifted.where(~F.col("c")).select(
         "node", F.col("r").alias("root"), (F.col("d") + F.col("distance")).alias("depth"), F.lit(False).alias("cyclic"), F.lit(False).alias("on_cycle"), F.concat("t", "trail").alias("trail")
     )
-    # the few nodes that reach a cycle over fragments meet in their fragments once more
-    looping = lifted.where("c").select("node").join(placed.select("node", "parent", "__f"), "node").join(above.select("node", "on_cycle"), "node", "left")
-    marked = looping.repartition(parts, "__f").select("node", "parent", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle")).mapInArrow(_mark, "node long, on_cycle boolean")
+    # the nodes that reach a cycle over fragments meet in their fragments once more
+    looping = lifted.where("c").select("node", "parent", "fragment").join(above.select("node", F.col("on_cycle").alias("looped")).hint("merge"), "node", "left")
+    marked = looping.repartition(parts, "fragment").select("node", "parent", F.coalesce("looped", F.lit(False)).alias("on_cycle")).mapInArrow(_mark, "node long, on_cycle boolean")
     loops = marked.select(
         "node", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("cyclic"), "on_cycle", F.lit(None).cast("array<long>").alias("trail")
     )
@@ -170,7 +185,7 @@ def hierarchy(edges: DataFrame, with_paths: bool = False, fragment_nodes: int =
     """
     links = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
     links = stage(links, "links")
-    roots = links.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
+    roots = links.select(F.col("parent").alias("node")).distinct().join(links.select("node").hint("merge"), "node", "left_anti")
     trail = F.array("node") if with_paths else F.lit(None).cast("array<long>")
     first = links.select("node", "parent", F.lit(1).cast("long").alias("weight"), F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("cyclic"), trail.alias("trail"))
     tops = roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("weight"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("cyclic"), trail.alias("trail"))

@@ -80,11 +80,12 @@ def _hierarchy_of(node: str) -> F.Column:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    solved = solved_pages(spark, d)
+    solved = stage(solved_pages(spark, d), "solved")
     paths = last_delivery(table(spark, d, "wiki_pages"), "page_id", ["path"], "scanned_at")
     named = solved.select(_hierarchy_of("node").alias("hierarchy"), F.shiftright("node", 1).alias("page_id"), F.shiftright("root", 1).alias("root_id"), "depth", "state")
-    named = named.join(paths.withColumnRenamed("path", "node"), "page_id")
-    named = named.join(paths.select(F.col("page_id").alias("root_id"), F.col("path").alias("root_node")), "root_id", "left")
+    named = named.join(paths.withColumnRenamed("path", "node").hint("merge"), "page_id")
+    left, right = salted(named, paths.select(F.col("page_id").alias("root_id"), F.col("path").alias("root_node")), "root_id", "page_id", hot_keys(named, "root_id"))
+    named = left.join(right.hint("merge"), ["root_id", "__salt"], "left")
     return named.select("hierarchy", "node", F.coalesce("root_node", F.lit("")).alias("root_node"), F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"), "state")
 
 
@@ -148,6 +149,21 @@ SELECT hierarchy, node, root_node, depth, 'tree' AS state FROM tree
 UNION ALL SELECT s.hierarchy, s.child, '', -1, CASE WHEN EXISTS (SELECT 1 FROM reach r WHERE r.hierarchy = s.hierarchy AND r.start = s.child AND r.at = s.child) THEN 'cycle' ELSE 'below_cycle' END FROM stuck s
 """
 
+_P5_IDS = f"""
+WITH RECURSIVE {_KEYS},
+uses AS (SELECT DISTINCT hierarchy, page_path, {_TARGET} FROM (
+  SELECT 'embeds' AS hierarchy, page_path, {_BARE} FROM page_embeds UNION ALL SELECT 'chain', page_path, {_BARE} FROM chain_edges)),
+edges AS (SELECT DISTINCT hierarchy, CASE hierarchy WHEN 'embeds' THEN k.page_id ELSE p.page_id END AS child, CASE hierarchy WHEN 'embeds' THEN p.page_id ELSE k.page_id END AS parent
+  FROM uses u JOIN keys k ON k.key = u.key AND k.page_id IS NOT NULL JOIN pages p ON p.path = u.page_path),
+nodes AS (SELECT hierarchy, child AS node FROM edges UNION SELECT hierarchy, parent FROM edges),
+tree AS (
+  SELECT n.hierarchy, n.node, n.node AS root_id, 0 AS depth, [n.node] AS path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.hierarchy = n.hierarchy AND e.child = n.node)
+  UNION ALL SELECT e.hierarchy, e.child, t.root_id, t.depth + 1, list_append(t.path, e.child) FROM tree t JOIN edges e ON e.hierarchy = t.hierarchy AND e.parent = t.node),
+below AS (SELECT hierarchy, path[i] AS page_id, node AS descendant_id, CAST(depth + 1 - i AS BIGINT) AS distance FROM tree, unnest(generate_series(1, depth)) AS s(i)),
+stuck AS (SELECT e.* FROM edges e WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.hierarchy = e.hierarchy AND t.node = e.child)),
+reach AS (SELECT hierarchy, child AS start, parent AS at FROM stuck UNION SELECT r.hierarchy, r.start, s.parent FROM reach r JOIN stuck s ON s.hierarchy = r.hierarchy AND s.child = r.at)
+"""
+
 _P3 = """
 WITH copies AS (
   SELECT 'cache' AS side, * FROM findings_cache UNION ALL SELECT 'fresh', * FROM findings_fresh),
@@ -171,4 +187,8 @@ SQL = {
     "p4_current": _P4 + """SELECT key, count(*) AS refs FROM (SELECT DISTINCT ref_table, ref_id, key FROM refs WHERE key IS NOT NULL) r
 WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.key = r.key AND k.created_at IS NOT NULL AND k.deleted_at IS NULL) GROUP BY key""",
     "p5_found": _P5,
+    "p5_paths": _P5_IDS + """SELECT t.hierarchy, t.node AS page_id, root_id, CAST(t.depth AS BIGINT) AS depth, 'tree' AS state, array_to_string(path, '/') AS path, coalesce(n, 0) AS n_descendants
+FROM tree t LEFT JOIN (SELECT hierarchy, page_id, count(*) AS n FROM below GROUP BY ALL) b ON b.hierarchy = t.hierarchy AND b.page_id = t.node
+UNION ALL SELECT s.hierarchy, s.child, NULL, NULL, CASE WHEN EXISTS (SELECT 1 FROM reach r WHERE r.hierarchy = s.hierarchy AND r.start = s.child AND r.at = s.child) THEN 'cycle' ELSE 'below_cycle' END, NULL, 0 FROM stuck s""",
+    "p5_descendants": _P5_IDS + "SELECT hierarchy, page_id, descendant_id, distance FROM below",
 }

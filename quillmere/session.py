@@ -68,13 +68,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result has no lineage before the files, so a lost executor costs only the reading tasks.
-    The files are removed when the session's process ends.
+    The files are removed by ``unstage``, or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmere-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._quillmere_path = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Remove the files of a staged table from which nothing will be read any more."""
+    path = getattr(staged, "_quillmere_path", None)
+    if path:
+        _remove(staged.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

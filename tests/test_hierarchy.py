@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.operators.hierarchy import descendants, hierarchy
 
@@ -28,7 +29,7 @@ def solved(df):
     return {r.node: (r.root, r.depth, r.state, tuple(r.path) if r.path is not None else None) for r in df.collect()}
 
 
-@pytest.mark.parametrize("kind", ["random", "chain", "star", "ring", "mixed"])
+@pytest.mark.parametrize("kind", ["random", "chain", "star", "star of chains", "ring", "mixed"])
 @pytest.mark.parametrize("fragment", [7, 1000])
 def test_equals_walk(spark, kind, fragment):
     rng = random.Random(3)
@@ -38,6 +39,8 @@ def test_equals_walk(spark, kind, fragment):
         edges = [(i, i + 1) for i in range(90)]
     elif kind == "star":
         edges = [(i, 0) for i in range(1, 90)]
+    elif kind == "star of chains":
+        edges = [(i, 0) for i in range(1, 60)] + [(100 + i, i) for i in range(1, 60)] + [(200 + i, 100 + i) for i in range(1, 60)]
     elif kind == "ring":
         edges = [(i, (i + 1) % 40) for i in range(40)] + [(100 + i, i) for i in range(20)] + [(200, 100), (300, 300), (301, 300)]
     else:
@@ -59,3 +62,13 @@ def test_empty(spark):
 def test_descendants(spark):
     df = hierarchy(spark.createDataFrame([(2, 1), (3, 2), (4, 2), (9, 9)], EDGES), with_paths=True)
     assert {tuple(r) for r in descendants(df).collect()} == {(1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 3, 1), (2, 4, 1)}
+
+
+def test_no_fragment_takes_all_children_of_a_hub(spark):
+    from quillmere.operators import hierarchy as module
+
+    rows = [(0, None), *((i, 0) for i in range(1, 40_001))]
+    df = spark.createDataFrame(rows, "node long, parent long")
+    for level in (0, 1, 2):
+        sizes = module._fragments(df, level, 40, 1_000).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert sizes < 2_500
