@@ -93,6 +93,8 @@ class Transducer:
                 known = self.merge(self.bytes_of[right]) == [right]
             else:
                 known = self._compatible(-1, right) and self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            if len(self._fits) >= KEEP:
+                self._fits.clear()
             self._fits[left, right] = known
         return known
 
