@@ -37,6 +37,18 @@ def facts_with_cache(spark: SparkSession, documents: DataFrame, root: str) -> Da
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
+def pruned(cached: DataFrame, documents: DataFrame) -> DataFrame:
+    """Cached rows of pages that are still there."""
+    return cached.join(documents.select("path"), "path", "left_semi")
+
+
+def stats(cached: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(documents, hits, misses, hit_rate)`` of a run: one row, the rate null without documents."""
+    held = valid(cached, documents).select("path", F.lit(1).alias("hit"))
+    n, hits = F.count(F.lit(1)), F.count("hit")
+    return documents.select("path").join(held, "path", "left").agg(n.alias("documents"), hits.alias("hits"), (n - hits).alias("misses"), F.round(F.try_divide(hits, n), 9).alias("hit_rate"))
+
+
 def inventory(cached: DataFrame) -> DataFrame:
     return cached.groupBy("shard").agg(F.count(F.lit(1)).alias("entries"), F.sum("length").alias("bytes"))
 

@@ -140,3 +140,10 @@ class Facts:
         e = self.links.where("is_embed").select("path", "pos", F.col("target").alias("child_target"), F.col("fragment").alias("child_anchor"), "line")
         s = self.slices.select("path", "anchor", "start_line", "end_line")
         return e.join(s, "path").where((F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("end_line"))).select("path", "anchor", "pos", "child_target", "child_anchor", "line")
+
+    @property
+    def outlinks(self) -> DataFrame:
+        """``(path, anchor, target)``: the distinct targets of each slice, a range join inside each page."""
+        found = self.links.where("target <> ''").select("path", "target", "line").distinct()
+        s = self.slices.select("path", "anchor", "start_line", "end_line")
+        return found.join(s, "path").where((F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("end_line"))).select("path", "anchor", "target").distinct()

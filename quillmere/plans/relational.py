@@ -68,20 +68,6 @@ def scan_paths(spark, d):
     return page_paths(spark, d).where(~C.skipped(F.col("path"), ["git", "talks", "wiki/domains"]))
 
 
-@query(
-    f"""WITH {_PATHS}, dirs AS (SELECT DISTINCT array_to_string(list_slice(p, 1, k), '/') AS dir, p[k] AS name, k FROM (SELECT string_split(path, '/') AS p FROM paths), unnest(generate_series(1, len(p) - 1)) AS s(k))
-SELECT name, count(*) FILTER (k > 2) AS n_nested, array_to_string(list_slice(list_sort(list(dir) FILTER (k > 2)), 1, 3), ', ') AS examples
-FROM dirs GROUP BY name HAVING count(*) FILTER (k <= 2) > 0 AND count(*) FILTER (k > 2) > 0"""
-)
-def skip_shadow(spark, d):
-    """Directory names that occur near the root and deeper as well: a bare skip entry hides both."""
-    dirs = page_paths(spark, d).select(F.explode(C.ancestors(F.col("path"))).alias("dir")).distinct()
-    dirs = dirs.withColumn("name", C.base(F.col("dir"))).withColumn("deep", F.size(F.split("dir", "/")) > 2)
-    nested = F.array_sort(F.collect_list(F.when(F.col("deep"), F.col("dir"))))
-    out = dirs.groupBy("name").agg(F.count(F.when(F.col("deep"), 1)).alias("n_nested"), F.count(F.when(~F.col("deep"), 1)).alias("n_top"), nested.alias("nested"))
-    return out.where("n_top > 0 AND n_nested > 0").select("name", "n_nested", F.array_join(F.slice("nested", 1, 3), ", ").alias("examples"))
-
-
 @query(f"WITH {_PAGES} SELECT page_id FROM pages WHERE (starts_with(path, 'wiki/sessions/') OR regexp_matches(path, '^wiki/inbox/[^/]*/[^/]*\\.md$')) AND list_contains(coalesce(tags, []), 'type/session') AND NOT regexp_matches(path, '^(?:[^/]+/)*w2[^/]*/.*$') AND NOT list_contains(coalesce(tags, []), 'status/open')")
 def selector_match(spark, d):
     """A rule's selector over paths and tags."""
@@ -89,85 +75,17 @@ def selector_match(spark, d):
     return pages(spark, d).where(C.selector(F.col("path"), F.col("tags"), on)).select("page_id")
 
 
-@query(f"WITH {_PAGES} SELECT page_id, f AS field FROM pages, unnest(['title', 'tags', 'body', 'lint_ignore']) AS u(f) WHERE CASE f WHEN 'title' THEN title IS NULL WHEN 'tags' THEN tags IS NULL WHEN 'body' THEN body IS NULL ELSE lint_ignore IS NULL END")
-def field_exists_missing(spark, d):
-    """Required fields that a page lacks."""
-    required = ["title", "tags", "body", "lint_ignore"]
-    present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in required]))
-    return pages(spark, d).select("page_id", F.explode(F.array_except(F.array(*map(F.lit, required)), present)).alias("field"))
-
-
 @query(f"WITH {_PAGES} SELECT page_id, tag, prefix FROM (SELECT page_id, tag, CASE WHEN instr(tag, '/') <= 1 THEN '(none)' ELSE split_part(tag, '/', 1) END AS prefix FROM (SELECT page_id, unnest(tags) AS tag FROM pages) WHERE tag IS NOT NULL) WHERE prefix = '(none)' OR prefix NOT IN ('type', 'status', 'domain', 'project')")
 def tag_format_bad(spark, d):
     return R.bad_tags(page_tags(spark, d), ["type", "status", "domain", "project"]).select("page_id", "tag", "prefix")
 
 
-@query(f"WITH {_PAGES} SELECT page_id, {_BASE.format('path')} AS filename FROM pages WHERE NOT regexp_matches({_BASE.format('path')}, '^[a-z0-9-]+\\.md$')")
-def pattern_filename(spark, d):
-    """File names that don't match a pattern."""
-    name = C.base(F.col("path"))
-    return pages(spark, d).where(~name.rlike(r"^[a-z0-9-]+\.md$")).select("page_id", name.alias("filename"))
-
-
-@query("SELECT doc_id, line, CASE WHEN strlen(m) > 8 THEN left(m, 8) || '…' ELSE m END AS found FROM (SELECT doc_id, i AS line, regexp_extract(l[i], '[0-9a-f]{10,}') AS m FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(generate_series(1, len(l))) AS s(i)) WHERE m <> ''")
-def pattern_content_masked(spark, d):
-    """Lines that match a content pattern, with the match masked."""
-    lines = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "l"))
-    m = F.regexp_extract("l", "[0-9a-f]{10,}", 0)
-    return lines.where(m != "").select("doc_id", (F.col("at") + 1).alias("line"), C.mask(m).alias("found"))
-
-
-_LINES = "SELECT page_id, i AS line, l[i] AS text FROM (SELECT page_id, string_split(body, chr(10)) AS l FROM pages WHERE body IS NOT NULL AND NOT regexp_matches(body, '```|~~~')), unnest(generate_series(1, len(l))) AS s(i)"
-
-
-@query(
-    f"""WITH {_PAGES}, lines AS ({_LINES}), heads AS (SELECT page_id, line, strlen(regexp_extract(trim(text, ' ' || chr(9) || chr(13)), '^#+')) AS level FROM lines WHERE regexp_matches(trim(text, ' ' || chr(9) || chr(13)), '^#{{1,6}}( |$)')),
-seen AS (SELECT *, max(level) OVER w AS deepest, count(*) FILTER (level = 1) OVER w AS h1 FROM heads WINDOW w AS (PARTITION BY page_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT page_id, line, level, deepest + 1 AS expected, 'multiple H1' AS issue FROM seen WHERE level = 1 AND h1 > 0
-UNION ALL SELECT page_id, line, level, deepest + 1, 'skipped level' FROM seen WHERE level > deepest + 1"""
-)
-def heading_jumps(spark, d):
-    """Second top headings and skipped levels, on pages without fences."""
-    body = pages(spark, d).where(F.col("body").isNotNull() & ~F.col("body").rlike("```|~~~"))
-    lines = body.select("page_id", F.posexplode(F.split("body", "\n", -1)).alias("at", "text")).withColumn("text", F.trim("text", F.lit(" \t\r")))
-    heads = lines.where(F.col("text").rlike("^#{1,6}( |$)")).select("page_id", (F.col("at") + 1).alias("line"), F.length(F.regexp_extract("text", "^#+", 0)).alias("level"))
-    return R.heading_jumps(heads, "page_id", "line")
-
-
-@query(
-    f"""WITH {_PAGES}, lines AS ({_LINES}), rows AS (SELECT page_id, line, line - row_number() OVER (PARTITION BY page_id ORDER BY line) AS run FROM lines WHERE starts_with(trim(text, ' ' || chr(9)), '|'))
-SELECT page_id, min(line) AS first, max(line) AS last, count(*) AS size FROM rows GROUP BY page_id, run HAVING count(*) >= 2"""
-)
-def table_islands(spark, d):
-    """Tables: runs of two or more table rows."""
-    body = pages(spark, d).where(F.col("body").isNotNull() & ~F.col("body").rlike("```|~~~"))
-    lines = body.select("page_id", F.posexplode(F.split("body", "\n", -1)).alias("at", "text")).withColumn("line", F.col("at") + 1)
-    return R.islands(lines, "page_id", "line", F.startswith(F.trim("text", F.lit(" \t")), F.lit("|")))
-
-
 def _headings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = [(i, h["line"], h["level"]) for i, body in frame[["page_id", "body"]].itertuples(index=False) for h in M.body_facts(body, 1)[1]]
         yield pd.DataFrame(rows, columns=["page_id", "line", "level"])
 
 
-@query()
-def heading_jumps_all(spark, d):
-    """Second top headings and skipped levels, on all pages; lines in fences are no headings."""
-    body = pages(spark, d).select("page_id", "body").where(F.col("body").isNotNull())
-    return R.heading_jumps(body.mapInPandas(_headings, "page_id long, line int, level int"), "page_id", "line")
-
-
-@query(
-    f"""WITH {_PAGES}, lines AS (SELECT page_id, i AS line, l[i] AS text FROM (SELECT page_id, string_split(body, chr(10)) AS l FROM pages WHERE body IS NOT NULL), unnest(generate_series(1, len(l))) AS s(i)), rows AS (SELECT page_id, line, line - row_number() OVER (PARTITION BY page_id ORDER BY line) AS run FROM lines WHERE starts_with(trim(text, ' ' || chr(9)), '|'))
-SELECT page_id, min(line) AS first, max(line) AS last, count(*) AS size FROM rows GROUP BY page_id, run HAVING count(*) >= 2"""
-)
-def table_islands_all(spark, d):
-    """Tables of all pages; a fence is no exception, as in the check of links in tables."""
-    lines = pages(spark, d).where(F.col("body").isNotNull()).select("page_id", F.posexplode(F.split("body", "\n", -1)).alias("at", "text")).withColumn("line", F.col("at") + 1)
-    return R.islands(lines, "page_id", "line", F.startswith(F.trim("text", F.lit(" \t")), F.lit("|")))
-
-
 _ORDER_DATES = "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS field, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY * (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS moment FROM orders"
 
 
@@ -276,50 +194,6 @@ def repo_uncataloged(spark, d):
     return R.uncataloged(uses, table(spark, d, "nation").where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("repo"), F.col("n_name").alias("path"))).select("s_suppkey", "repo")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN CAST(l_partkey % 40 AS INTEGER) <> p_size THEN 'mismatch' END AS cause FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 50 <> 0) ON p_partkey = l_partkey WHERE p_partkey IS NULL OR CAST(l_partkey % 40 AS INTEGER) <> p_size")
-def pin_checksum_mismatch(spark, d):
-    """Pinned values against an object table: missing objects and other values."""
-    objects = table(spark, d, "part").where("p_partkey % 50 <> 0").select("p_partkey", "p_size")
-    pins = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 40).cast("int").alias("pinned"))
-    joined = pins.join(objects, F.col("p_partkey") == F.col("l_partkey"), "left")
-    cause = F.when(F.col("p_partkey").isNull(), "missing").when(F.col("pinned") != F.col("p_size"), "mismatch")
-    return joined.select("l_orderkey", "l_linenumber", cause.alias("cause")).where(F.col("cause").isNotNull())
-
-
-@query("SELECT o_orderkey, count(*) AS n_drifted FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate + INTERVAL 60 DAY AND l_linestatus <> o_orderstatus GROUP BY o_orderkey")
-def pin_stale(spark, d):
-    """Pins that their origin has passed with other content."""
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linestatus")
-    passed = (F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 60 DAY")) & (F.col("l_linestatus") != F.col("o_orderstatus"))
-    return o.select("o_orderkey", "o_orderdate", "o_orderstatus").join(li, F.col("l_orderkey") == F.col("o_orderkey")).where(passed).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_drifted"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c_nationkey % 2 = 0 THEN 'transitional' WHEN c_acctbal < 0 THEN 'legacy' WHEN c_nationkey % 2 = 0 THEN 'receipt' ELSE 'none' END AS shape FROM customer WHERE c_mktsegment <> 'MACHINERY' AND NOT (c_acctbal < 0 AND c_nationkey % 2 = 1)")
-def unpinned_state(spark, d):
-    """Pages without a full pin, by the shape of what they have."""
-    from quillmere.operators.pins import shape
-
-    has_commit, has_inputs = F.col("c_acctbal") < 0, F.col("c_nationkey") % 2 == 0
-    c = table(spark, d, "customer").where(F.col("c_mktsegment") != "MACHINERY")
-    return c.select("c_custkey", shape(has_commit, has_inputs).alias("shape")).where("shape <> 'legacy'")
-
-
-@query(
-    """WITH tiers AS (SELECT n_nationkey, n_name, n_nationkey % 5 - 1 AS level FROM nation),
-touched AS (SELECT c_custkey, pos, (c_nationkey * (pos + 3) + c_custkey) % 25 AS src FROM customer, unnest([0, 1, 2]) AS u(pos)),
-top AS (SELECT c_custkey, n_name AS source, level FROM touched JOIN tiers ON n_nationkey = src WHERE level >= 0 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY level DESC, pos) = 1)
-SELECT c_custkey, source, level FROM top JOIN customer USING (c_custkey) WHERE level > c_nationkey % 4"""
-)
-def tier_downgrade(spark, d):
-    """Pages of a tier below the highest they draw from; of equal ones the first counts."""
-    names = F.element_at(F.array(*[F.lit(t) for t in ["unknown", *C.TIERS]]), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    tiers = table(spark, d, "nation").select("n_nationkey", "n_name", C.tier_level(names).alias("level")).where("level >= 0")
-    touched = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"))
-    touched = touched.withColumn("n_nationkey", ((F.col("c_nationkey") * (F.col("pos") + 3) + F.col("c_custkey")) % 25).cast("int"))
-    best = touched.join(tiers, "n_nationkey").groupBy("c_custkey", "c_nationkey").agg(F.max_by(F.struct("n_name", "level"), F.struct("level", -F.col("pos"))).alias("b"))
-    return best.where(F.col("b.level") > F.col("c_nationkey") % 4).select("c_custkey", F.col("b.n_name").alias("source"), F.col("b.level").alias("level"))
-
-
 @query("SELECT DISTINCT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9a-f]{7,}')) AS t, substr(sha1(CAST(doc_id AS VARCHAR)), 1, 40) AS v FROM documents) WHERE starts_with(v, t) OR starts_with(t, left(v, 1)) OR (strlen(t) >= 12 AND contains(v, t))")
 def hex_echo(spark, d):
     """Hex tokens of a text that echo a value."""
@@ -328,20 +202,6 @@ def hex_echo(spark, d):
     return tokens.where(F.exists(F.array(F.col("v"), F.substring("v", 1, 1)), lambda n: C.hex_echoes(n, F.col("t")))).select("doc_id", F.col("t").alias("token")).distinct()
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS b FROM part WHERE p_partkey % 37 <> 0),
-r AS (SELECT a AS start, b AS here FROM e UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.here) SELECT DISTINCT start AS node FROM r WHERE start = here"""
-)
-def effect_cycles(spark, d):
-    """Nodes that lie on a cycle, where each has one successor."""
-    from quillmere.operators.hierarchy import hierarchy
-
-    part = table(spark, d, "part")
-    n = part.count()
-    edges = part.where("p_partkey % 37 <> 0").select(F.col("p_partkey").alias("child"), ((F.col("p_partkey") * 7 + 3) % n).alias("parent"))
-    return hierarchy(edges).where("state = 'cycle'").select("node")
-
-
 @query("SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text))) || chr(0)::BLOB || encode(text)) AS sha FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(0))")
 def blob_sha(spark, d):
     return table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.decode(F.unhex(F.lit("00")), "UTF-8"))).select("doc_id", C.blob_sha(F.col("text")).alias("sha"))
@@ -358,27 +218,6 @@ def slice_norm_hash(spark, d):
     return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.sha2(C.norm_v1(F.col("text")), 256).alias("sha"))
 
 
-_SLICES = "slices AS (SELECT DISTINCT page_id, page_path, anchor, kind, start_line, end_line, slice_hash FROM page_slices)"
-_EMBEDS = "embeds AS (SELECT DISTINCT embed_id, page_path, target, line_no FROM page_embeds WHERE anchor = '' AND line_no IS NOT NULL)"
-
-
-@query(f"WITH {_SLICES}, {_EMBEDS} SELECT page_path, anchor, count(*) AS n_embeds FROM embeds JOIN slices USING (page_path) WHERE line_no >= start_line AND line_no < end_line GROUP BY page_path, anchor")
-def embed_buckets(spark, d):
-    """Embeds by the slices they stand in: an equi-join with a range inside each page."""
-    s = table(spark, d, "page_slices").select("page_path", "anchor", "start_line", "end_line", "kind", "slice_hash").distinct()
-    e = table(spark, d, "page_embeds").where("anchor = '' AND line_no IS NOT NULL").select("embed_id", "page_path", "line_no").distinct()
-    inside = (F.col("line_no") >= F.col("start_line")) & (F.col("line_no") < F.col("end_line"))
-    return e.join(s, "page_path").where(inside).groupBy("page_path", "anchor").agg(F.count(F.lit(1)).alias("n_embeds"))
-
-
-@query(f"WITH {_SLICES}, l AS (SELECT DISTINCT link_id, page_path, target, line_no FROM page_links) SELECT page_path, anchor, count(DISTINCT target) AS n_targets FROM l JOIN slices USING (page_path) WHERE kind <> 'body' AND line_no >= start_line AND line_no < end_line GROUP BY page_path, anchor")
-def slice_outlinks(spark, d):
-    """Distinct link targets of each slice."""
-    s = table(spark, d, "page_slices").where("kind <> 'body'").select("page_path", "anchor", "start_line", "end_line").distinct()
-    inside = (F.col("line_no") >= F.col("start_line")) & (F.col("line_no") < F.col("end_line"))
-    return table(spark, d, "page_links").select("page_path", "target", "line_no").distinct().join(s, "page_path").where(inside).groupBy("page_path", "anchor").agg(F.countDistinct("target").alias("n_targets"))
-
-
 @query("SELECT edge_id, bool_or(coalesce((lower(trim(hash)) = s.h) OR (regexp_matches(regexp_replace(lower(trim(hash)), '^.*:', ''), '^[0-9a-f]{8,}$') AND starts_with(s.h, regexp_replace(lower(trim(hash)), '^.*:', ''))), false)) AS matches FROM (SELECT DISTINCT edge_id, page_path, hash FROM chain_edges WHERE hash IS NOT NULL) c JOIN (SELECT DISTINCT page_path, slice_hash AS h FROM page_slices WHERE kind = 'body') s USING (page_path) GROUP BY edge_id")
 def recorded_hash_match(spark, d):
     """Recorded hashes against those of the declaring page's body."""
@@ -414,16 +253,6 @@ def debt_list(spark, d):
     return R.debt(p, "wiki/sources", "type/source")
 
 
-@query(
-    """SELECT 'rule' AS by, rule_id, NULL AS severity, count(*) AS n FROM findings_fresh GROUP BY rule_id UNION ALL SELECT 'severity', NULL, severity, count(*) FROM findings_fresh GROUP BY severity UNION ALL SELECT 'all', NULL, NULL, count(*) FROM findings_fresh"""
-)
-def finding_counts(spark, d):
-    """Counts by rule, by severity and in all, by grouping sets."""
-    f = table(spark, d, "findings_fresh").select("rule_id", "severity")
-    out = f.groupingSets([[F.col("rule_id")], [F.col("severity")], []], "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
-    return out.select(F.when(F.col("g") == 1, "rule").when(F.col("g") == 2, "severity").otherwise("all").alias("by"), "rule_id", "severity", "n")
-
-
 _F = "rule_id, severity, file_path, line_no, col_no, message"
 
 
@@ -434,9 +263,9 @@ def findings_diff(spark, d):
     return multiset_diff(table(spark, d, "findings_cache").select(*cols), table(spark, d, "findings_fresh").select(*cols), ("cache", "fresh"))
 
 
-@query("SELECT max(CASE WHEN severity IN ('error', 'warn') THEN 1 ELSE 0 END) AS exit_code FROM findings_fresh WHERE rule_id = 'missing-owner'")
+@query("SELECT max(CASE WHEN severity IN ('error', 'warn') THEN 1 ELSE 0 END) AS exit_code FROM findings_fresh")
 def exit_code_strict(spark, d):
-    return R.exit_code(table(spark, d, "findings_fresh").where("rule_id = 'missing-owner'").select("severity"), strict=True)
+    return R.exit_code(table(spark, d, "findings_fresh").select("severity"), strict=True)
 
 
 @query(f"WITH {_PAGES}, i AS (SELECT DISTINCT path, trim(unnest(lint_ignore)) AS r FROM pages) SELECT f.rule_id, f.file_path, f.line_no FROM findings_fresh f WHERE EXISTS (SELECT 1 FROM i WHERE i.path = f.file_path AND (r = f.rule_id OR r = '*'))")
@@ -446,14 +275,6 @@ def suppressed_findings(spark, d):
     return R.suppressed(table(spark, d, "findings_fresh").select("rule_id", "file_path", "line_no"), ignores)
 
 
-@query("WITH r AS (SELECT p_partkey AS pos, p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '**/*.md' WHEN 1 THEN '*/x.md' ELSE 'dir' || (p_partkey % 41) || '/**' END AS pattern, regexp_extract(pattern, '^([^/*?\\[{]+)/', 1) AS top FROM part WHERE p_brand = 'Brand#7') SELECT a.id AS rule_a, b.id AS rule_b FROM r a JOIN r b ON a.pos < b.pos AND (a.top = '' OR b.top = '' OR a.top = b.top)")
-def rule_overlaps(spark, d):
-    """Pairs of rules that one page could meet."""
-    k = F.col("p_partkey")
-    glob = F.when(k % 5 == 0, "**/*.md").when(k % 5 == 1, "*/x.md").otherwise(F.concat(F.lit("dir"), (k % 41).cast("string"), F.lit("/**")))
-    return R.overlaps(table(spark, d, "part").where("p_brand = 'Brand#7'").select(k.alias("pos"), k.alias("id"), glob.alias("glob")))
-
-
 _GLOBS = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '**/*.md' WHEN 1 THEN '*/x.md' ELSE 'dir' || (p_partkey % 41) || '/**' END AS pattern, regexp_extract(pattern, '^([^/*?\\[{]+)/', 1) AS top FROM part"
 
 
@@ -465,55 +286,17 @@ def rule_overlap_classes(spark, d):
     return R.overlap_classes(table(spark, d, "part").select(k.alias("id"), glob.alias("glob")))
 
 
-@query(f"WITH {_PAGES} SELECT page_id, tag, d AS path_domain FROM (SELECT page_id, unnest(tags) AS tag, regexp_extract(path, '^wiki/([^/]+)/', 1) AS d FROM pages) WHERE starts_with(tag, 'domain/') AND tag <> 'domain/' || d")
-def tag_mismatch(spark, d):
-    """Domain tags that differ from the page's place."""
-    domain = C.top_domain(F.col("path"))
-    return page_tags(spark, d).where(F.startswith("tag", F.lit("domain/")) & (F.col("tag") != F.concat(F.lit("domain/"), domain))).select("page_id", "tag", domain.alias("path_domain"))
-
-
 _NEAR = ["type", "status", "domain", "project", "topic"]
 
 
-@query(f"WITH {_PAGES}, k AS (SELECT DISTINCT split_part(trim(tag, ' ' || chr(9)), '/', 1) AS key FROM (SELECT unnest(tags) AS tag FROM pages) WHERE regexp_matches(tag, '^[ -~]*$')), n AS (SELECT key, name, i, levenshtein(key, name) AS d FROM k, (VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(_NEAR))}) AS v(i, name)) SELECT k.key, (SELECT arg_min(name, d * 10 + i) FROM n WHERE n.key = k.key AND d <= 2) AS nearest FROM k")
-def nearest_param(spark, d):
-    """The nearest known key of each key, for suggestions."""
-    keys = page_tags(spark, d).where(F.col("tag").rlike("^[ -~]*$")).select(F.substring_index(F.trim("tag", F.lit(" \t")), "/", 1).alias("key")).distinct()
-    return R.nearest_key(keys, _NEAR, 2)
-
-
 # DuckDB's levenshtein counts bytes; no known key has a '~', so it may stand for any character that isn't ASCII.
 @query(f"WITH {_PAGES}, k AS (SELECT DISTINCT split_part(trim(tag, ' ' || chr(9)), '/', 1) AS key FROM (SELECT unnest(tags) AS tag FROM pages) WHERE tag IS NOT NULL), n AS (SELECT key, name, i, levenshtein(regexp_replace(key, '[^ -~]', '~', 'g'), name) AS d FROM k, (VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(_NEAR))}) AS v(i, name)) SELECT k.key, (SELECT arg_min(name, d * 10 + i) FROM n WHERE n.key = k.key AND d <= 2) AS nearest FROM k")
-def nearest_param_all(spark, d):
+def nearest_param(spark, d):
     """The nearest known key of each key of all tags, in any script."""
     keys = page_tags(spark, d).select(F.substring_index(F.trim("tag", F.lit(" \t")), "/", 1).alias("key")).distinct()
     return R.nearest_key(keys, _NEAR, 2)
 
 
-@query("SELECT rule_id, count(*) AS n, count(*) FILTER (line_no > 0) AS hits, round(avg(CASE WHEN line_no > 0 THEN 1.0 ELSE 0.0 END), 9) AS hit_rate FROM findings_cache GROUP BY rule_id")
-def mean_hit_rate(spark, d):
-    """Counts and shares of a run."""
-    hit = F.when(F.col("line_no") > 0, 1.0).otherwise(0.0)
-    return table(spark, d, "findings_cache").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("line_no") > 0, 1)).alias("hits"), F.round(F.avg(hit), 9).alias("hit_rate"))
-
-
-@query("SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'no record' WHEN lines <> o_orderkey % 7 THEN 'stale' END AS issue FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2) ON l_orderkey = o_orderkey WHERE l_orderkey IS NULL OR lines <> o_orderkey % 7")
-def stale_records(spark, d):
-    """Tasks whose run record is missing or of another content."""
-    records = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines")).where("lines > 2")
-    tasks = table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey")
-    issue = F.when(F.col("l_orderkey").isNull(), "no record").when(F.col("lines") != F.col("o_orderkey") % 7, "stale")
-    return tasks.join(records, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", issue.alias("issue")).where(F.col("issue").isNotNull())
-
-
-@query("SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'no record' WHEN lines <> o_orderkey % 7 THEN 'stale' END AS issue FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2) ON l_orderkey = o_orderkey WHERE l_orderkey IS NULL OR lines <> o_orderkey % 7")
-def stale_records_all(spark, d):
-    """Tasks whose run record is missing or of another content, of all orders."""
-    records = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines")).where("lines > 2")
-    issue = F.when(F.col("l_orderkey").isNull(), "no record").when(F.col("lines") != F.col("o_orderkey") % 7, "stale")
-    return table(spark, d, "orders").select("o_orderkey").join(records, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", issue.alias("issue")).where(F.col("issue").isNotNull())
-
-
 @query(
     """WITH s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 300 SECOND THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS batch FROM (SELECT ts, event_id, user_id, event_type, ts - lag(ts) OVER (ORDER BY ts, event_id) AS gap FROM events WHERE ts IS NOT NULL))
 SELECT (SELECT min(ts) FROM s x WHERE x.batch = s.batch) AS batch_start, user_id, arg_max(event_type, (ts, event_type)) AS event_type FROM s GROUP BY batch, user_id"""
@@ -523,50 +306,6 @@ def session_debounce(spark, d):
     return R.sessions(table(spark, d, "events").select("ts", "user_id", "event_type"), "user_id", "ts", "event_type", "300 seconds")
 
 
-@query("SELECT event_type, hour, count(*) AS n, max(ts) AS last_at FROM (SELECT event_type, date_trunc('hour', ts) AS hour, ts FROM events) GROUP BY event_type, hour")
-def event_counters(spark, d):
-    """Counters of a watch run by kind and hour."""
-    e = table(spark, d, "events").select("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts")
-    return e.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_at"))
-
-
-@query("SELECT event_id, hook FROM events JOIN (VALUES ('click', 'rebuild', 3.0), ('view', 'index', 5.0), ('purchase', 'notify', 0.0)) AS h(kind, hook, least) ON kind = event_type AND value > least")
-def hook_dispatch(spark, d):
-    """Events with the hooks that they fire."""
-    hooks = spark.createDataFrame([("click", "rebuild", 3.0), ("view", "index", 5.0), ("purchase", "notify", 0.0)], "kind string, hook string, least double")
-    e = table(spark, d, "events").select("event_id", "event_type", "value")
-    return e.join(F.broadcast(hooks), (F.col("kind") == F.col("event_type")) & (F.col("value") > F.col("least"))).select("event_id", "hook")  # three hooks
-
-
-_STATE = "SELECT page_id, path, CASE WHEN page_id % 11 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size, mtime_ns FROM pages WHERE page_id % 13 <> 0"
-
-
-@query(f"WITH {_PAGES}, c AS ({_STATE}) SELECT CASE WHEN c.size = p.size_bytes AND c.mtime_ns = p.mtime_ns AND c.mtime_ns < 1760000000000000000 THEN 'hit' WHEN c.page_id IS NULL THEN 'new' ELSE 'changed' END AS state, count(*) AS n FROM pages p LEFT JOIN c USING (path) GROUP BY 1")
-def cache_hits(spark, d):
-    """Cached against current pages: size and time alike, and older than the cache's writing."""
-    p = pages(spark, d).select("page_id", "path", "size_bytes", "mtime_ns")
-    c = p.where("page_id % 13 <> 0").select("path", F.when(F.col("page_id") % 11 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size"), F.col("mtime_ns").alias("cached_ns"), F.lit(True).alias("cached"))
-    trusted = (F.col("size") == F.col("size_bytes")) & (F.col("cached_ns") == F.col("mtime_ns")) & (F.col("cached_ns") < 1760000000000000000)
-    state = F.when(trusted, "hit").when(F.col("cached").isNull(), "new").otherwise("changed")
-    return p.join(c, "path", "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("WITH a AS (SELECT page_path, anchor, min(slice_hash) AS h FROM page_slices GROUP BY ALL), b AS (SELECT page_path, anchor, CASE WHEN strlen(anchor) = 9 THEN NULL ELSE h END AS h FROM a WHERE strlen(page_path) % 19 <> 0) SELECT page_path, anchor, CASE WHEN b.page_path IS NULL THEN 'gone' ELSE 'differs' END AS kind FROM a LEFT JOIN b USING (page_path, anchor) WHERE b.page_path IS NULL OR a.h IS DISTINCT FROM b.h")
-def fact_divergence(spark, d):
-    """Stored against fresh facts, field by field."""
-    a = table(spark, d, "page_slices").groupBy("page_path", "anchor").agg(F.min("slice_hash").alias("h"))
-    b = a.where(F.octet_length("page_path") % 19 != 0).select("page_path", "anchor", F.when(F.octet_length("anchor") != 9, F.col("h")).alias("stored"), F.lit(True).alias("kept"))
-    joined = a.join(b, ["page_path", "anchor"], "left").where(F.col("kept").isNull() | ~F.col("h").eqNullSafe(F.col("stored")))
-    return joined.select("page_path", "anchor", F.when(F.col("kept").isNull(), "gone").otherwise("differs").alias("kind"))
-
-
-@query("SELECT page_path, count(*) AS n FROM (SELECT DISTINCT page_path, anchor FROM page_slices) s WHERE page_path IN (SELECT path FROM wiki_pages WHERE deleted_at IS NULL) GROUP BY page_path")
-def cache_prune(spark, d):
-    """Cached entries of pages that still exist."""
-    live = table(spark, d, "wiki_pages").where("deleted_at IS NULL").select(F.col("path").alias("page_path"))
-    return table(spark, d, "page_slices").select("page_path", "anchor").distinct().join(live, "page_path", "left_semi").groupBy("page_path").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {_PATHS}, d AS (SELECT path, regexp_extract(path, '/(\\d{{4}})/w(\\d{{2}})/', ['y', 'w']) AS m FROM paths) SELECT m['y'] || '-W' || m['w'] AS week, count(*) AS n FROM d WHERE m['y'] <> '' GROUP BY 1")
 def path_weeks(spark, d):
     """Pages by the week in their path."""
@@ -603,14 +342,6 @@ def findings_order(spark, d):
     return table(spark, d, "findings_fresh").select("rule_id", "file_path", "line_no", F.row_number().over(w).alias("seq"))
 
 
-@query(f"WITH {_PAGES} SELECT page_id, trim(title) AS title, list_contains(coalesce(tags, []), 'type/repo') OR starts_with(path, 'wiki/sources/git/') AS is_repo FROM pages WHERE title IS NOT NULL")
-def title_and_repo(spark, d):
-    """Title and repository facts."""
-    p = pages(spark, d).where(F.col("title").isNotNull())
-    repo = F.array_contains(F.array_compact(F.coalesce("tags", F.array().cast("array<string>"))), "type/repo") | F.startswith("path", F.lit("wiki/sources/git/"))
-    return p.select("page_id", F.trim("title").alias("title"), repo.alias("is_repo"))
-
-
 @query("SELECT wiki, prefix, count(DISTINCT scan_id) AS n_scans, CAST(sum(cnt) AS BIGINT) AS total FROM (SELECT DISTINCT * FROM domain_counts) WHERE prefix IS NOT NULL GROUP BY wiki, prefix")
 def satellite_domains(spark, d):
     """Tag namespaces of satellite wikis over their snapshots."""
@@ -619,7 +350,12 @@ def satellite_domains(spark, d):
 
 def _corpus(spark, d):
     """The wiki's pages as a corpus of files: body and place."""
-    return pages(spark, d).where(F.col("path").isNotNull()).select("path", F.octet_length(F.coalesce("body", F.lit(""))).cast("long").alias("length"), F.coalesce("mtime_ns", F.lit(0)).alias("mtime_ns"), F.coalesce("body", F.lit("")).alias("content"))
+    return corpus_of(pages(spark, d))
+
+
+def corpus_of(rows: DataFrame, *more: str) -> DataFrame:
+    """Pages as files: (path, length, mtime_ns, content) and what else is named."""
+    return rows.where(F.col("path").isNotNull()).select("path", F.octet_length(F.coalesce("body", F.lit(""))).cast("long").alias("length"), F.coalesce("mtime_ns", F.lit(0)).alias("mtime_ns"), F.coalesce("body", F.lit("")).alias("content"), *more)
 
 
 def _documents(spark, d):
@@ -628,40 +364,80 @@ def _documents(spark, d):
     return scan(_corpus(spark, d))
 
 
-@query(f"WITH {_PAGES}, l AS (SELECT path, unnest(regexp_extract_all(body, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', 1)) AS raw FROM pages WHERE body IS NOT NULL AND NOT contains(body, '`') AND NOT contains(body, '~~~')) SELECT path, regexp_replace(regexp_replace(split_part(trim(raw), '#', 1), '\\\\+$', ''), '/+$', '') AS target, count(*) AS n FROM l GROUP BY ALL")
-def fact_links(spark, d):
-    """Links extracted from bodies, of pages without code."""
-    from quillmere.operators.facts import Facts, extract
-
-    plain = _documents(spark, d).where(~F.contains("body", F.lit("`")) & ~F.contains("body", F.lit("~~~")))
-    return Facts(extract(plain)).links.groupBy("path", "target").agg(F.count(F.lit(1)).alias("n"))
+def _outside_fences(source: str, key: str = "path") -> str:
+    """CTEs from ``src`` (key, body): ``plain`` has the lines outside fences.
 
+    Only lines that begin with a fence change the state, so a recursion goes from one to the next: the
+    first opens, one of the same sign that begins with the opening run closes; all are no text.
+    """
+    return f"""src AS ({source}), lines AS (SELECT {key}, i AS line, l[i] AS text FROM (SELECT {key}, string_split(body, chr(10)) AS l FROM src WHERE body IS NOT NULL), unnest(generate_series(1, len(l))) AS s(i)),
+marks AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY line) AS k, regexp_extract(text, '^\\s*(`{{3,}}|~{{3,}})', 1) AS run, ltrim(text) AS t FROM lines WHERE regexp_matches(text, '^\\s*(```|~~~)')),
+states AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS k, '' AS open FROM marks UNION ALL SELECT s.{key}, m.k, CASE WHEN open = '' THEN run WHEN starts_with(t, open) THEN '' ELSE open END FROM states s JOIN marks m ON m.{key} = s.{key} AND m.k = s.k + 1),
+counted AS (SELECT *, count(*) FILTER (regexp_matches(text, '^\\s*(```|~~~)')) OVER (PARTITION BY {key} ORDER BY line) AS k FROM lines),
+plain AS (SELECT c.{key}, c.line, c.text, trim(c.text, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM counted c LEFT JOIN states s ON s.{key} = c.{key} AND s.k = c.k WHERE NOT regexp_matches(c.text, '^\\s*(```|~~~)') AND coalesce(open, '') = '')"""
 
-@query(f"WITH {_PAGES}, lines AS ({_LINES}), heads AS (SELECT page_id, line, trim(text, ' ' || chr(9) || chr(13)) AS t FROM lines WHERE regexp_matches(trim(text, ' ' || chr(9) || chr(13)), '^#{{1,6}}( |$)')) SELECT path, line, CAST(strlen(regexp_extract(t, '^#+')) AS INTEGER) AS level, trim(regexp_replace(t, '^#+', ''), ' ' || chr(9)) AS text FROM heads JOIN pages USING (page_id)")
-def fact_headings(spark, d):
-    """Headings extracted from bodies, of pages without fences."""
-    from quillmere.operators.facts import Facts, extract
 
-    plain = _documents(spark, d).where(~F.col("body").rlike("```|~~~"))
-    return Facts(extract(plain)).headings.select("path", "line", "level", "text")
+_BODIES = "SELECT path, body FROM pages WHERE path IS NOT NULL"
+_HEADS = "heads AS (SELECT *, CAST(strlen(regexp_extract(t, '^#+')) AS INTEGER) AS level FROM plain WHERE regexp_matches(t, '^#{1,6}( |$)'))"
 
 
-@query()
-def fact_links_all(spark, d):
+@query(f"WITH RECURSIVE {_PAGES}, {_outside_fences(_BODIES)}, l AS (SELECT path, unnest(regexp_extract_all(regexp_replace(text, '`[^`]+`', '', 'g'), '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', 1)) AS raw FROM plain) SELECT path, regexp_replace(regexp_replace(split_part(trim(raw), '#', 1), '\\\\+$', ''), '/+$', '') AS target, count(*) AS n FROM l GROUP BY ALL")
+def fact_links(spark, d):
     """Links extracted from the bodies of all pages, outside fences and code spans."""
     from quillmere.operators.facts import Facts, extract
 
     return Facts(extract(_documents(spark, d))).links.groupBy("path", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def fact_headings_all(spark, d):
+@query(f"WITH RECURSIVE {_PAGES}, {_outside_fences(_BODIES)}, {_HEADS} SELECT path, CAST(line AS INTEGER) AS line, level, trim(regexp_replace(t, '^#+', ''), ' ' || chr(9)) AS text FROM heads")
+def fact_headings(spark, d):
     """Headings extracted from the bodies of all pages, outside fences."""
     from quillmere.operators.facts import Facts, extract
 
     return Facts(extract(_documents(spark, d))).headings.select("path", "line", "level", "text")
 
 
+def _headings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [(i, h["line"], h["level"]) for i, body in frame[["path", "body"]].itertuples(index=False) for h in M.body_facts(body, 1)[1]]
+        yield pd.DataFrame(rows, columns=["path", "line", "level"])
+
+
+_LEVELS = {3: "#### ", 5: "# "}  # what texts whose id it divides have for '## '
+_BENT = "CASE WHEN {0} % 3 = 0 THEN replace({1}, chr(10) || '## ', chr(10) || '#### ') WHEN {0} % 5 = 0 THEN replace({1}, chr(10) || '## ', chr(10) || '# ') ELSE {1} END"
+_TEXTS = f"SELECT 'p' || page_id AS path, {_BENT.format('page_id', 'body')} AS body FROM pages UNION ALL SELECT 'd' || doc_id, {_BENT.format('doc_id', 'text')} FROM documents"
+
+
+@query(
+    f"""WITH RECURSIVE {_PAGES}, {_outside_fences(_TEXTS)}, {_HEADS},
+seen AS (SELECT *, max(level) OVER w AS deepest, count(*) FILTER (level = 1) OVER w AS h1 FROM heads WINDOW w AS (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT path, CAST(line AS INTEGER) AS line, level, deepest + 1 AS expected, 'multiple H1' AS issue FROM seen WHERE level = 1 AND h1 > 0
+UNION ALL SELECT path, CAST(line AS INTEGER), level, deepest + 1, 'skipped level' FROM seen WHERE level > deepest + 1"""
+)
+def heading_jumps(spark, d):
+    """Second top headings and skipped levels of all pages and documents, with levels changed in some; lines in fences are no headings."""
+
+    def bent(rows: DataFrame, sign: str, key: str, body: str) -> DataFrame:
+        out = F.col(body)
+        for by, level in reversed(_LEVELS.items()):
+            out = F.when(F.col(key) % by == 0, F.replace(F.col(body), F.lit("\n## "), F.lit(f"\n{level}"))).otherwise(out)
+        return rows.select(F.concat(F.lit(sign), F.col(key).cast("string")).alias("path"), out.alias("body")).where("body IS NOT NULL")
+
+    texts = bent(pages(spark, d), "p", "page_id", "body").unionByName(bent(table(spark, d, "documents"), "d", "doc_id", "text"))
+    return R.heading_jumps(texts.mapInPandas(_headings, "path string, line int, level int"), "path", "line")
+
+
+@query(
+    f"""WITH {_PAGES}, lines AS (SELECT page_id, i AS line, l[i] AS text FROM (SELECT page_id, string_split(body, chr(10)) AS l FROM pages WHERE body IS NOT NULL), unnest(generate_series(1, len(l))) AS s(i)), rows AS (SELECT page_id, line, line - row_number() OVER (PARTITION BY page_id ORDER BY line) AS run FROM lines WHERE starts_with(trim(text, ' ' || chr(9)), '|'))
+SELECT page_id, min(line) AS first, max(line) AS last, count(*) AS size FROM rows GROUP BY page_id, run HAVING count(*) >= 2"""
+)
+def table_islands(spark, d):
+    """Tables of all pages; a fence is no exception, as in the check of links in tables."""
+    lines = pages(spark, d).where(F.col("body").isNotNull()).select("page_id", F.posexplode(F.split("body", "\n", -1)).alias("at", "text")).withColumn("line", F.col("at") + 1)
+    return R.islands(lines, "page_id", "line", F.startswith(F.trim("text", F.lit(" \t")), F.lit("|")))
+
+
+
 @query(f"WITH {_PAGES} SELECT path, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(body, ''), '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n{{2,}}', chr(10)), '\\n+$', '') || chr(10)) AS slice_hash FROM pages")
 def fact_body_hash(spark, d):
     """Hashes of whole bodies by the slice grammar."""

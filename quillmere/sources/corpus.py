@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
@@ -90,7 +91,9 @@ def skip_shadows(universe: DataFrame, skip: list[str]) -> DataFrame:
     """Bare skip entries that hide directories of the same name deeper down: ``(name, examples, n)``, three examples at most."""
     names = [s for s in skip if "/" not in s]
     dirs = universe.select(F.explode(C.ancestors(F.col("path"))).alias("dir")).distinct().withColumn("name", C.base(F.col("dir"))).where(F.col("name").isin(names) if names else F.lit(False))
-    top, nested = F.max(~F.contains("dir", F.lit("/"))), F.array_sort(F.collect_list(F.when(F.contains("dir", F.lit("/")), F.col("dir"))))
-    out = dirs.groupBy("name").agg(top.alias("top"), nested.alias("nested")).where(F.col("top") & (F.size("nested") > 0))
-    more = F.when(F.size("nested") > 3, F.concat(F.lit(", +"), (F.size("nested") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    return out.select("name", F.concat(F.array_join(F.slice("nested", 1, 3), ", "), more).alias("examples"), F.size("nested").alias("n"))
+    deep = F.contains("dir", F.lit("/"))
+    counts = dirs.groupBy("name").agg(F.max(~deep).alias("top"), F.count(F.when(deep, 1)).cast("int").alias("n")).where("top AND n > 0")
+    # at most three rows of a name are kept, before the shuffle too
+    first = dirs.where(deep).withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy("dir"))).where("rank <= 3").groupBy("name").agg(F.array_sort(F.collect_list("dir")).alias("shown"))
+    more = F.when(F.col("n") > 3, F.concat(F.lit(", +"), (F.col("n") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    return counts.join(first, "name").select("name", F.concat(F.array_join("shown", ", "), more).alias("examples"), "n")

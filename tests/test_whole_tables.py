@@ -1,4 +1,4 @@
-"""The queries over whole tables: small tables with what the queries with SQL leave out, and their agreement with those."""
+"""Queries over whole tables, on small tables with fences, code spans and any script."""
 
 from collections import Counter
 
@@ -45,38 +45,26 @@ def rows(df, *columns):
 
 
 def test_links_of_pages_with_code(spark, wiki):
-    got = rows(catalogue.QUERIES["fact_links_all"](spark, wiki), "path", "target", "n")
+    got = rows(catalogue.QUERIES["fact_links"](spark, wiki), "path", "target", "n")
     assert got == Counter([("wiki/1.md", "kept", 2), ("wiki/1.md", "cell", 1), ("wiki/2.md", "after-span", 1), ("wiki/3.md", "plain", 1)])
 
 
 def test_headings_of_pages_with_fences(spark, wiki):
-    got = rows(catalogue.QUERIES["fact_headings_all"](spark, wiki), "path", "line", "level")
+    got = rows(catalogue.QUERIES["fact_headings"](spark, wiki), "path", "line", "level")
     assert got == Counter([("wiki/1.md", 1, 1), ("wiki/1.md", 9, 3), ("wiki/1.md", 18, 1), ("wiki/2.md", 1, 1), ("wiki/2.md", 3, 2), ("wiki/3.md", 1, 1), ("wiki/3.md", 3, 3)])
 
 
 def test_jumps_of_pages_with_fences(spark, wiki):
-    got = rows(catalogue.QUERIES["heading_jumps_all"](spark, wiki), "page_id", "line", "issue")
-    assert got == Counter([(1, 9, "skipped level"), (1, 18, "multiple H1"), (3, 3, "skipped level")])
+    spark.createDataFrame([(1, "# a\n```\n# b\n```\n### c"), (2, None)], "doc_id long, text string").write.mode("overwrite").parquet(f"{wiki}/documents.parquet")
+    got = rows(catalogue.QUERIES["heading_jumps"](spark, wiki), "path", "line", "issue")
+    assert got == Counter([("p1", 9, "skipped level"), ("p1", 18, "multiple H1"), ("p3", 3, "skipped level"), ("d1", 5, "skipped level")])
 
 
 def test_tables_of_pages_with_fences(spark, wiki):
-    got = rows(catalogue.QUERIES["table_islands_all"](spark, wiki), "page_id", "first", "last", "size")
+    got = rows(catalogue.QUERIES["table_islands"](spark, wiki), "page_id", "first", "last", "size")
     assert got == Counter([(1, 5, 6, 2), (1, 16, 17, 2), (3, 4, 5, 2)])
 
 
-@pytest.mark.parametrize("name, key, code", [("fact_links", "path", "[`]|~~~"), ("fact_headings", "path", "```|~~~"), ("heading_jumps", "page_id", "```|~~~"), ("table_islands", "page_id", "```|~~~")])
-def test_plain_pages_as_by_sql(spark, sf, name, key, code):
-    from quillmere.plans.relational import pages
-
-    part, whole = catalogue.QUERIES[name](spark, sf), catalogue.QUERIES[f"{name}_all"](spark, sf)
-    coded = {r[key] for r in pages(spark, sf).where(f"body RLIKE '{code}'").select(key).collect()}
-    found = rows(whole, *part.columns)
-    at = part.columns.index(key)
-    assert Counter({r: n for r, n in found.items() if r[at] not in coded}) == rows(part, *part.columns)
-    if name != "heading_jumps":
-        assert any(r[at] in coded for r in found)
-
-
 def test_overlap_classes_stand_for_all_pairs(spark):
     globs = ["a/**", "a/b/*.md", "b/*", "**/*.md", "*/x.md", "", None, "b/c", "c/**"]
     rules = spark.createDataFrame([(i, i, g) for i, g in enumerate(globs)], "pos long, id long, glob string")
@@ -90,14 +78,9 @@ def test_rules_of_the_whole_table(spark, sf):
     assert catalogue.QUERIES["rule_overlap_classes"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
 
 
-def test_records_of_the_whole_table(spark, sf):
-    part, whole = (rows(catalogue.QUERIES[n](spark, sf), "o_orderkey", "issue") for n in ("stale_records", "stale_records_all"))
-    assert {k for k in whole if k[0] % 2 == 0} == set(part) and any(k[0] % 2 for k in whole)
-
-
 def test_nearest_of_tags_in_any_script(spark, tmp_path):
     tags = ["t\u00fdpe/a", "st\u00e4t\u00fcs/b", "\u00e9\u00e9\u00e9\u00e9/c", "topics/d", None]
     columns = "page_id long, path string, title string, tags array<string>, body string, lint_ignore array<string>, size_bytes long, mtime_ns long, created_at string, scanned_at long"
     spark.createDataFrame([(1, "wiki/1.md", "t", tags, "", [], 0, 0, "", 1)], columns).write.parquet(f"{tmp_path}/wiki_pages.parquet")
-    got = {r.key: r.nearest for r in catalogue.QUERIES["nearest_param_all"](spark, str(tmp_path)).collect()}
+    got = {r.key: r.nearest for r in catalogue.QUERIES["nearest_param"](spark, str(tmp_path)).collect()}
     assert got == {"t\u00fdpe": "type", "st\u00e4t\u00fcs": "status", "\u00e9\u00e9\u00e9\u00e9": None, "topics": "topic"}
