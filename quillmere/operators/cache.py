@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
+from quillmere.operators.copydiff import multiset_diff
 from quillmere.operators.facts import extract
 
 VERSION = "facts-v1"
@@ -30,13 +32,25 @@ def valid(cached: DataFrame, documents: DataFrame) -> DataFrame:
     return cached.join(d, "path").where(same_stat | (F.col("content_sha") == F.col("d_sha"))).drop("d_length", "d_mtime", "d_sha")
 
 
-def facts_with_cache(spark: SparkSession, documents: DataFrame, root: str) -> DataFrame:
+def read(spark: SparkSession, root: str) -> DataFrame | None:
+    """The cached rows below ``root``, if there are any."""
+    try:
+        return spark.read.parquet(location(root))
+    except AnalysisException:
+        return None
+
+
+def facts_with(cached: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts of all documents, extracted only where the cache has none that hold; pages that are gone drop out."""
-    kept = valid(spark.read.parquet(location(root)), documents)
+    kept = valid(cached, documents)
     fresh = extract(documents.join(kept.select("path"), "path", "left_anti"))
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
+def facts_with_cache(spark: SparkSession, documents: DataFrame, root: str) -> DataFrame:
+    return facts_with(spark.read.parquet(location(root)), documents)
+
+
 def pruned(cached: DataFrame, documents: DataFrame) -> DataFrame:
     """Cached rows of pages that are still there."""
     return cached.join(documents.select("path"), "path", "left_semi")
@@ -53,6 +67,16 @@ def inventory(cached: DataFrame) -> DataFrame:
     return cached.groupBy("shard").agg(F.count(F.lit(1)).alias("entries"), F.sum("length").alias("bytes"))
 
 
+#: The order of differences between findings of two runs: by file, rule, line, column, message and kind.
+DIVERGENCE_ORDER = ["file_path", "rule_id", "line", "column", "message", "kind"]
+
+
+def divergent_findings(cached: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Findings that a run with the cache and one without have more often than the other, in order of all six keys."""
+    columns = [c for c in fresh.columns if c != "seq"]
+    return multiset_diff(cached.select(*columns), fresh.select(*columns), ("cache", "fresh")).orderBy(*DIVERGENCE_ORDER)
+
+
 def divergence(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """``(path, field)`` where stored and fresh facts differ; a page on one side only differs in 'path'."""
     fields = [c for c in fresh.columns if c != "path"]

@@ -258,48 +258,63 @@ def fix_plan(documents: DataFrame, findings: DataFrame, rules: list[Rule], today
     return pages.select("path", "content", "ids", "canonical").mapInPandas(run, PLAN)
 
 
-def move_text(text: str, old: str, new: str) -> tuple[str, int]:
-    """Links to a moved page at the depth they had; fragment and display stay. Paths are without '.md'."""
+def move_text(text: str, places: dict[str, str]) -> tuple[str, int]:
+    """A page's links to moved pages, rewritten; ``places`` has the new target for the old one in lower case. Fragment and display stay."""
     count = 0
     out = []
 
     def rewrite(m):
         nonlocal count
-        inner, display = m.group(1), m.group(2)
-        target, sign, fragment = inner.partition("#")
-        low, was = target.lower(), old.lower()
-        if low == was:
-            place = new
-        elif target and was.endswith("/" + low):
-            depth, parts = target.count("/") + 1, new.split("/")
-            place = new if depth > len(parts) else "/".join(parts[len(parts) - depth :])
-        else:
-            return m.group()
-        if place.lower() == low:
+        target, sign, fragment = m.group(1).partition("#")
+        place = places.get(target.lower())
+        if place is None or place.lower() == target.lower():
             return m.group()
         count += 1
-        return f"[[{place}{sign}{fragment}{'|' + display if display else ''}]]"
+        return f"[[{place}{sign}{fragment}{'|' + m.group(2) if m.group(2) else ''}]]"
 
     for line in M.walk(text, "move"):
         out.append(line.text if line.fenced or line.delimiter else M.WIKILINK_DISPLAY.sub(rewrite, line.text))
     return "\n".join(out), count
 
 
-def move_plan(documents: DataFrame, old: str, new: str) -> DataFrame:
-    """``PLAN`` rows of the pages whose links a move changes. Pages without the moved page's stem aren't opened."""
-    o, n = old.removesuffix(".md"), new.removesuffix(".md")
-    stem = o.rsplit("/", 1)[-1].lower()
+def moves_below(paths: DataFrame, source: str, dest: str) -> DataFrame:
+    """``(path, new_path)`` of a page, or of all pages of a directory, that go from ``source`` to ``dest``."""
+    source, dest, path = source.rstrip("/"), dest.rstrip("/"), F.col("path")
+    new = F.when(path == source, F.lit(dest)).when(F.startswith(path, F.lit(f"{source}/")), F.concat(F.lit(dest), F.substring(path, len(source) + 1, 1 << 30)))
+    return paths.select("path", new.alias("new_path")).where(F.col("new_path").isNotNull() & (F.col("new_path") != path)).distinct()
+
+
+def moved_targets(targets: DataFrame, moves: DataFrame) -> DataFrame:
+    """``targets`` (…, target) that name moved pages ``(path, new_path)``, with ``place``, the new target at the depth the old one had.
+
+    A target names a page by its whole path or a suffix of it, without regard to case. Of several moved
+    pages that a target names the one whose path is first holds.
+    """
+    old, new = C.no_ext(F.col("path")), C.no_ext(F.col("new_path"))
+    named = moves.where(F.lower(old) != F.lower(new)).select(old.alias("old"), new.alias("new"), F.explode(C.suffixes(F.lower(old))).alias("key"))
+    first = named.groupBy("key").agg(F.min(F.struct("old", "new")).alias("m"))
+    found = targets.where("target <> ''").withColumn("key", F.lower("target")).join(first, "key")
+    return found.withColumn("place", links.moved(F.col("target"), F.col("m.old"), F.col("m.new"))).where(F.col("place").isNotNull()).drop("key", "m")
+
+
+def move_plan(documents: DataFrame, page_links: DataFrame, moves: DataFrame) -> DataFrame:
+    """``PLAN`` rows of the pages whose links the moves ``(path, new_path)`` change; ``page_links``: (path, target).
+
+    Which targets change is a join of the distinct targets; only pages with such links are opened, once each.
+    """
+    hit = moved_targets(page_links.select("target").distinct(), moves)
+    known = page_links.select("path", "target").distinct().join(hit, "target").groupBy("path").agg(F.collect_set(F.struct(F.lower("target").alias("old"), "place")).alias("places"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for path, content in frame[["path", "content"]].itertuples(index=False):
-                text, count = move_text(content, o, n)
+            for path, content, places in frame[["path", "content", "places"]].itertuples(index=False):
+                text, count = move_text(content, {p["old"]: p["place"] for p in places})
                 if count:
                     rows.append((path, content, text, [f"updated {count} link(s)"]))
             yield pd.DataFrame(rows, columns=["path", "before", "after", "actions"])
 
-    return documents.where(F.contains(F.lower("content"), F.lit(stem))).select("path", "content").mapInPandas(run, PLAN)
+    return documents.select("path", "content").join(known, "path").mapInPandas(run, PLAN)
 
 
 def tag_mismatch(documents: DataFrame, moves: DataFrame) -> DataFrame:

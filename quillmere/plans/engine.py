@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
 from quillmere.functions.templates import column
-from quillmere.operators import graph, reports, rewrites
+from quillmere.operators import cache, graph, reports, rewrites
 from quillmere.operators import links as link_operators
 from quillmere.operators import tasks as task_operators
 from quillmere.operators.checks import CHECKS, Context
@@ -27,6 +27,16 @@ class FatalRule(RuntimeError):
     """A rule that must run has no check."""
 
 
+@dataclass
+class Move:
+    """A move as plans: the renames, the pages whose links change, tags that no longer fit, and findings at the new places."""
+
+    renames: DataFrame
+    plan: DataFrame
+    tags: DataFrame
+    findings: DataFrame | None
+
+
 @dataclass
 class Engine:
     """A corpus, scanned once, with its facts.
@@ -43,25 +53,43 @@ class Engine:
     outside: dict = field(default_factory=dict)
     extra_paths: DataFrame | None = None
     warnings: list[tuple[str, str]] = field(default_factory=list)
+    cache_root: str | None = None
 
     def __post_init__(self) -> None:
         self.documents = stage(corpus.scan(self.raw, self.skip, self.max_size, self.foreign_roots), "documents")
         # the universe has no size limit and keeps foreign pages: they can be linked to
         universe = self.raw.select("path").where(~C.skipped(F.col("path"), self.skip))
         self.paths = universe.unionByName(self.extra_paths.select("path")).distinct() if self.extra_paths is not None else universe
-        self.facts = Facts.of(self.documents)
+        self.cached = cache.read(self.spark, self.cache_root) if self.cache_root else None
+        self.facts = Facts.of(self.documents) if self.cached is None else Facts(stage(cache.facts_with(self.cached, self.documents), "facts"))
+
+    def save_cache(self) -> None:
+        """Keep the facts for the next run; pages that are gone drop out."""
+        cache.save(self.spark, self.facts.wide, self.documents, self.cache_root)
+
+    def stats(self, rules: list[Rule], findings: DataFrame) -> DataFrame:
+        """One row on a run: documents, cache hits, misses and rate, rules applied, findings."""
+        empty = self.documents.select("path", "length", "mtime_ns", F.lit("").alias("content_sha"), F.lit(0).cast("long").alias("written_ns")).limit(0)
+        run = cache.stats(self.cached if self.cached is not None else empty, self.documents)
+        applied = sum(r.severity != "off" and r.check in CHECKS for r in rules)
+        return run.crossJoin(findings.agg(F.count(F.lit(1)).alias("findings"))).withColumn("rules", F.lit(applied))  # one row each
 
     def context(self) -> Context:
         return Context(self.documents, self.facts, self.paths, warnings=self.warnings, **self.outside)
 
-    def check(self, rules: list[Rule], scope: str = ".", strict: bool = False, phase: int | None = None) -> DataFrame:
-        """The findings of ``rules`` in order. Rules that are off or have no check are left out, the latter with a warning."""
+    def check(self, rules: list[Rule], scope: str = ".", strict: bool = False, phase: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The findings of ``rules`` in order, of all pages or ``only`` of some ``(path)``.
+
+        Rules that are off or have no check are left out, the latter with a warning.
+        """
         ctx, parts = self.context(), []
         for rule in rules:
             if rule.severity == "off":
                 continue
             if rule.check not in CHECKS:
-                self.warnings.append(("CHECK_NOT_REGISTERED", f"rule {rule.id}: check {rule.check} is not registered"))
+                warning = ("CHECK_NOT_REGISTERED", f"rule {rule.id}: check {rule.check} is not registered")
+                if warning not in self.warnings:
+                    self.warnings.append(warning)
                 if rule.required:
                     raise FatalRule(f"required rule {rule.id} needs check {rule.check}")
                 continue
@@ -69,6 +97,8 @@ class Engine:
             if phase is not None and of_phase != phase:
                 continue
             docs = self.subjects(rule, scope)
+            if only is not None:
+                docs = docs.join(only.select("path").distinct(), "path", "left_semi")
             parts.append(self._findings(run(docs, rule.params, ctx), rule))
         if not parts:
             return self.spark.createDataFrame([], FINDINGS)
@@ -87,8 +117,8 @@ class Engine:
         return raw.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.col("path").alias("file_path"), "line", F.lit(0).alias("column"), message.alias("message"), "seq")
 
     def check_paths(self, rules: list[Rule], changed: DataFrame) -> DataFrame:
-        """The findings of changed pages ``(path)`` alone, by facts of the whole corpus."""
-        return self.check(rules).join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select(*[c.split()[0] for c in FINDINGS.split(", ")])
+        """The findings of changed pages ``(path)`` alone: each rule looks at no other page, but at the facts of the whole corpus."""
+        return self.check(rules, only=changed)
 
     def skip_warnings(self) -> DataFrame:
         return corpus.skip_shadows(self.raw.select("path"), self.skip)
@@ -106,7 +136,30 @@ class Engine:
         return rewrites.fix_plan(self.documents, self.check(rules, scope), rules, today, canonical)
 
     def move_plan(self, source: str, dest: str) -> DataFrame:
-        return rewrites.move_plan(self.documents, source, dest)
+        return rewrites.move_plan(self.documents, self.facts.links, rewrites.moves_below(self.documents, source, dest))
+
+    def move(self, moves: DataFrame, rules: list[Rule] = ()) -> Move:
+        """All that moving pages ``(path, new_path)`` means, as plans; nothing is written. Raises ValueError if the moves can't be made.
+
+        The pages are checked as they will be: at their new place, with links rewritten.
+        """
+        wanted = stage(moves.select("path", "new_path").distinct(), "moves")
+        lost = wanted.join(self.documents.select("path"), "path", "left_anti").select("path", F.lit("there is no such page").alias("why"))
+        kept = self.paths.join(wanted.select("path"), "path", "left_anti").select(F.col("path").alias("new_path"))
+        taken = wanted.join(kept, "new_path", "left_semi").select(F.col("new_path").alias("path"), F.lit("the place is taken").alias("why"))
+        twice = wanted.groupBy("new_path").count().where("count > 1").select(F.col("new_path").alias("path"), F.lit("two pages would go there").alias("why"))
+        if bad := lost.unionByName(taken).unionByName(twice).orderBy("path").limit(5).collect():
+            raise ValueError("; ".join(f"{r['path']}: {r['why']}" for r in bad))
+        plan = stage(rewrites.move_plan(self.documents, self.facts.links, wanted), "move-plan")
+        tags = rewrites.tag_mismatch(self.documents, wanted).join(wanted, "path").select(F.col("new_path").alias("path"), F.col("tag").alias("old_tag"), F.concat(F.lit("domain/"), "domain").alias("new_tag"))
+        after = self.raw.join(wanted, "path", "left").join(plan.select("path", "after"), "path", "left")
+        content = F.coalesce("after", "content")
+        raw = after.select(F.coalesce("new_path", "path").alias("path"), F.octet_length(content).cast("long").alias("length"), "mtime_ns", content.alias("content"))
+        findings = None
+        if rules:
+            later = Engine(self.spark, raw, self.skip, self.max_size, self.foreign_roots, self.outside, self.extra_paths)
+            findings = later.check(list(rules), only=wanted.select(F.col("new_path").alias("path")))
+        return Move(wanted, plan, tags, findings)
 
     def resolve(self, links: list[str] | None = None, page: str | None = None, depth: int = 1, max_nodes: int = graph.MAX_NODES) -> DataFrame:
         """The pages that links or a page's links lead to, ``depth`` further, with their hashes; exactly one of both is given."""

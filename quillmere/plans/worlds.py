@@ -267,6 +267,22 @@ def tag_mismatch(spark, d):
     return rewrites.tag_mismatch(p.select("path", "tags"), moves)
 
 
+_MOVED = f"""{_PAGES}, links AS (SELECT DISTINCT link_id, page_path, target FROM page_links WHERE target IS NOT NULL),
+moves AS (SELECT path, regexp_replace(path, '\\.md$', '') AS old, regexp_replace(regexp_replace(path, '^wiki/', 'wiki/archive/'), '\\.md$', '') AS new FROM pages WHERE path IS NOT NULL AND page_id % 3 = 0),
+tails AS (SELECT old, new, lower(array_to_string(list_slice(p, n, len(p)), '/')) AS key FROM (SELECT old, new, string_split(old, '/') AS p FROM moves WHERE lower(old) <> lower(new)), unnest(generate_series(1, len(p))) AS s(n)),
+first AS (SELECT key, min(old) AS old, arg_min(new, old) AS new FROM tails GROUP BY key),
+hits AS (SELECT link_id, target, CASE WHEN lower(target) = lower(old) THEN new ELSE array_to_string(list_slice(string_split(new, '/'), len(string_split(new, '/')) - len(string_split(target, '/')) + 1, len(string_split(new, '/'))), '/') END AS place FROM links JOIN first ON key = lower(target) WHERE target <> '')"""
+
+
+@query(f"WITH {_MOVED} SELECT link_id, target, place FROM hits")
+def move_targets(spark, d):
+    """Links that name moved pages, with the target they get, for a third of all pages moved."""
+    p = pages(spark, d).where("path IS NOT NULL AND page_id % 3 = 0")
+    moves = p.select("path", F.regexp_replace("path", "^wiki/", "wiki/archive/").alias("new_path"))
+    found = table(spark, d, "page_links").select("link_id", "page_path", "target").where("target IS NOT NULL").distinct()
+    return rewrites.moved_targets(found, moves).select("link_id", "target", "place")
+
+
 _SHADOWED = ["git", "sessions", "sources", "inbox", "talks", "archive", "notes", "topics"]
 
 

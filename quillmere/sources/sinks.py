@@ -40,6 +40,36 @@ def apply_plan(plan: DataFrame, root: str) -> tuple[list[str], dict[str, str]]:
     return done, failed
 
 
+def rename_pages(renames: DataFrame, root: str) -> tuple[list[str], dict[str, str]]:
+    """Move files ``(path, new_path)`` in order of path; returns the new places and, for others, why not. Nothing is overwritten."""
+    done, failed = [], {}
+    for row in renames.orderBy("path").toLocalIterator():
+        old, new = (os.path.join(root, row[c]) for c in ("path", "new_path"))
+        try:
+            for full in (old, new):
+                if os.path.relpath(full, root).startswith(".."):
+                    raise ValueError(f"{full} is outside {root}")
+            os.makedirs(os.path.dirname(new) or ".", exist_ok=True)
+            os.link(old, new)  # fails if the place is taken
+            os.unlink(old)
+            done.append(row["new_path"])
+        except (OSError, ValueError) as e:
+            failed[row["path"]] = str(e)
+    return done, failed
+
+
+def apply_move(move, root: str) -> tuple[list[str], dict[str, str]]:
+    """Rewrite links, then rename; what could not be written or moved is told by path."""
+    written, failed = apply_plan(move.plan, root)
+    moved, stuck = rename_pages(move.renames, root)
+    return [*written, *moved], failed | stuck
+
+
+def write_findings(findings: DataFrame, folder: str) -> None:
+    """Findings as JSON lines, written by the executors: for results of any size."""
+    findings.drop("seq").write.mode("overwrite").json(folder)
+
+
 def findings_text(findings: DataFrame) -> str:
     """Findings with their severities in one column, then counts by rule, most first."""
     lines = [f"{r['severity']:<5} {r['file_path']}:{r['line']} {r['rule_id']}: {r['message']}" for r in findings.orderBy("file_path", "rule_id", "line", "seq").toLocalIterator()]

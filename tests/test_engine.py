@@ -167,15 +167,15 @@ def test_rewrites(spark, tmp_path):
     plan = {r.path: r for r in rewrites.fix_plan(e.documents, e.check(rules), rules, "2025-01-02", canonical).collect()}
     assert plan["a/x.md"].after == "---\ntags: []\n---\n| [[y\\|z]] | w |\n|---|---|\n| [[y#s\\|t]] | w |\n" or "\\|" in plan["a/x.md"].after
     assert "[wiki://s/p](obsidian://open?vault=s&file=p) `wiki://s/q`" in plan["b/y.md"].after
-    moved = {r.path: r.after for r in rewrites.move_plan(e.documents, "b/y.md", "c/new.md").collect()}
+    moved = {r.path: r.after for r in e.move_plan("b/y.md", "c/new.md").collect()}
     assert moved["a/x.md"].startswith("| [[c/new|z]]")
     with pytest.raises(ValueError, match="did you mean 'frontmatter'"):
         rewrites.validate([rule("field-exists", frontmater=["x"])])
     for path, text in pages:
         sinks.write_page(str(tmp_path), path, None, text)
-    done, failed = sinks.apply_plan(rewrites.move_plan(e.documents, "b/y.md", "c/new.md"), str(tmp_path))
+    done, failed = sinks.apply_plan(e.move_plan("b/y.md", "c/new.md"), str(tmp_path))
     assert done == ["a/x.md"] and failed == {}
-    assert sinks.apply_plan(rewrites.move_plan(e.documents, "b/y.md", "c/new.md"), str(tmp_path))[1]["a/x.md"].endswith("changed since it was read")
+    assert sinks.apply_plan(e.move_plan("b/y.md", "c/new.md"), str(tmp_path))[1]["a/x.md"].endswith("changed since it was read")
     tree = corpus.read_tree(spark, str(tmp_path))
     assert sorted((r.path, r.content[:12]) for r in tree.collect()) == [("a/x.md", "| [[c/new|z]"), ("b/y.md", "see wiki://s")]
     assert sorted(r.path for r in corpus.paths(spark, str(tmp_path)).collect()) == ["a/x.md", "b/y.md"]
@@ -191,6 +191,55 @@ def test_cache_equals_fresh(spark, tmp_path):
     assert cache.inventory(spark.read.parquet(cache.location(str(tmp_path)))).agg(F.sum("entries")).first()[0] == 3
 
 
+def test_cache_in_the_engine(spark, tmp_path):
+    pages = [("a.md", "[[b]]\n", 5), ("b.md", "# H\n", 5), ("c.md", "x\n", 5)]
+    first = engine(spark, pages, cache_root=str(tmp_path))
+    assert first.cached is None and first.stats([], first.check([])).first()["misses"] == 3
+    first.save_cache()
+    # the text of b differs, but its size and time don't: a page that the cache vouches for isn't opened
+    again = engine(spark, [("a.md", "[[b]]\n", 5), ("b.md", "# X\n", 5), ("c.md", "# Y\n", 9)], cache_root=str(tmp_path))
+    assert sorted((r.path, r.text) for r in again.facts.headings.collect()) == [("b.md", "H"), ("c.md", "Y")]
+    found = again.check([rule("broken-wikilink", "{{.Target}}"), rule("no-such"), rule("no-such")])
+    assert again.stats([rule("broken-wikilink")], found).collect() == [(3, 2, 1, round(2 / 3, 9), 0, 1)]
+    assert len(again.warnings) == 1
+
+
+def test_incremental_check_looks_at_changed_pages_only(spark, monkeypatch):
+    from quillmere.operators import checks
+
+    seen = []
+    own, phase = checks.CHECKS["pattern"]
+    monkeypatch.setitem(checks.CHECKS, "pattern", (lambda docs, params, ctx: (seen.append(docs), own(docs, params, ctx))[1], phase))
+    e = engine(spark, [("A1.md", "x"), ("B2.md", "x"), ("C3.md", "x")])
+    changed = spark.createDataFrame([("B2.md",), ("gone.md",)], "path string")
+    found = e.check_paths([rule("pattern", "{{.Filename}}", target="filename", match="^[a-z]+$")], changed)
+    assert [r.file_path for r in found.collect()] == ["B2.md"]
+    assert [r.path for r in seen[0].select("path").collect()] == ["B2.md"]
+
+
+def test_move(spark, tmp_path):
+    pages = [
+        ("wiki/a/one.md", FM.format("tags: [domain/a, x]") + "see [[two]] and [[a/one#h|me]] and `[[a/one]]`\n"), ("wiki/a/two.md", "[[wiki/a/one]]\n```\n[[one]]\n```\n[[b/three]] [[gone]]\n"), ("wiki/b/three.md", "[[one]] [[two]]\n"), ("wiki/z.md", "nothing\n"),
+    ]
+    e = engine(spark, pages)
+    moves = rewrites.moves_below(e.documents, "wiki/a", "wiki/c/d")
+    assert {tuple(r) for r in moves.collect()} == {("wiki/a/one.md", "wiki/c/d/one.md"), ("wiki/a/two.md", "wiki/c/d/two.md")}
+    m = e.move(moves, [rule("broken-wikilink", "{{.Target}}")])
+    plan = {r.path: r.after for r in m.plan.collect()}
+    assert plan == {"wiki/a/one.md": pages[0][1].replace("[[a/one#h|me]]", "[[d/one#h|me]]").replace("`[[a/one]]`", "`[[d/one]]`"), "wiki/a/two.md": pages[1][1].replace("[[wiki/a/one]]", "[[wiki/c/d/one]]")}
+    assert [(r.path, r.old_tag, r.new_tag) for r in m.tags.collect()] == [("wiki/c/d/one.md", "domain/a", "domain/c")]
+    assert [(r.file_path, r.message) for r in m.findings.collect()] == [("wiki/c/d/two.md", "gone")]
+    for path, text in pages:
+        sinks.write_page(str(tmp_path), path, None, text)
+    done, failed = sinks.apply_move(m, str(tmp_path))
+    assert failed == {} and done == ["wiki/a/one.md", "wiki/a/two.md", "wiki/c/d/one.md", "wiki/c/d/two.md"]
+    assert sorted(r.path for r in corpus.paths(spark, str(tmp_path)).collect()) == ["wiki/b/three.md", "wiki/c/d/one.md", "wiki/c/d/two.md", "wiki/z.md"]
+    assert set(sinks.rename_pages(m.renames, str(tmp_path))[1]) == {"wiki/a/one.md", "wiki/a/two.md"}
+    for bad in ([("no.md", "x.md")], [("wiki/z.md", "wiki/b/three.md")], [("wiki/z.md", "y.md"), ("wiki/a/one.md", "y.md")]):
+        with pytest.raises(ValueError):
+            e.move(spark.createDataFrame(bad, "path string, new_path string"))
+
+
 def test_results_do_not_depend_on_partitions(spark):
     pages = [(f"d{i % 7}/p{i}.md", f"[[p{i * 3 % 90}]] [[p{i * 5 % 130}]]\n") for i in range(80)]
     e1 = engine(spark, pages)
