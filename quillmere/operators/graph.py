@@ -135,9 +135,9 @@ def blurbs(path: Column) -> Column:
     return F.concat(F.transform(dirs, lambda d: F.concat(d, F.lit("/"), F.upper(C.base(d)), F.lit(".md"))), F.array(F.lit("LLM_WIKI.md")))
 
 
-def procedure_hashes(facts: Facts) -> DataFrame:
-    """``(path, computed)`` of pages with a recorded procedure: their own ^check and ^apply, else the nearest blurb's."""
-    pages = facts.wide.where("procedure_hash <> ''").select("path")
+def procedure_hashes(facts: Facts, pages: DataFrame | None = None) -> DataFrame:
+    """``(path, computed)`` of ``pages``, else of those with a recorded procedure: their own ^check and ^apply, else the nearest blurb's."""
+    pages = (facts.wide.where("procedure_hash <> ''") if pages is None else pages).select("path")
     tries = pages.select("path", F.posexplode(F.concat(F.array("path"), blurbs(F.col("path")))).alias("rank", "holder"))
     verbs = facts.slices.where(F.col("anchor").isin("^check", "^apply")).select(F.col("path").alias("holder"), "anchor", "slice_hash")
     best = tries.join(verbs, "holder").groupBy("path", "anchor").agg(F.min_by("slice_hash", "rank").alias("h"))
@@ -146,23 +146,24 @@ def procedure_hashes(facts: Facts) -> DataFrame:
     return both.select("path", C.procedure_hash(F.col("c"), F.col("a")).alias("computed"))
 
 
-def chain_states(facts: Facts, paths: DataFrame, owned_repo: str = "") -> DataFrame:
-    """``(path, pos, line, cause, ref, detail)`` of declared inputs that are stale or can't be hashed, and changed procedures."""
-    chain = facts.chain
-    found = links.resolve(chain.where("target <> ''").select("target").distinct(), paths)
-    e = chain.join(found, "target", "left").withColumn("node", F.when(F.col("target") == "", F.col("path")).otherwise(F.col("resolved")))
+def input_hashes(references: DataFrame, facts: Facts, paths: DataFrame, owned_repo: str = "") -> DataFrame:
+    """References ``(path, target, anchor, …)`` with ``node``, the page they lead to, ``computed``, its hash, and ``problem`` if there is none."""
+    found = links.resolve(references.where("target <> ''").select("target").distinct(), paths)
+    e = references.join(found, "target", "left").withColumn("node", F.when(F.col("target") == "", F.col("path")).otherwise(F.col("resolved")))
     pointed = facts.pins.where((F.lit(owned_repo) != "") & (F.coalesce("commit", F.lit("")) != "") & (F.size("checksums") > 0) & (F.col("repo") != owned_repo)).select(F.col("path").alias("node"), F.element_at("checksums", 1).alias("pointed"))
     e = e.join(pointed, "node", "left").withColumn("pointed", F.when(F.col("target") != "", F.col("pointed")))
     roots = e.where(F.col("node").isNotNull() & F.col("pointed").isNull()).select(F.col("node").alias("path"), "anchor").distinct()
-    hashes = compose(roots, facts, paths).select(F.col("root_path").alias("node"), F.col("root_anchor").alias("anchor"), "hash", F.col("cause").alias("why"))
-    e = e.withColumnRenamed("hash", "recorded").join(hashes, ["node", "anchor"], "left").withColumn("computed", F.coalesce("pointed", "hash"))
+    composed = compose(roots, facts, paths).select(F.col("root_path").alias("node"), F.col("root_anchor").alias("anchor"), F.col("hash").alias("composed"), F.col("cause").alias("why"))
+    e = e.join(composed, ["node", "anchor"], "left").withColumn("computed", F.coalesce("pointed", "composed"))
+    problem = F.when((F.col("target") != "") & F.col("ambiguous"), "ambiguous").when(F.col("node").isNull(), "unresolved").when(F.col("pointed").isNull(), F.col("why"))
+    return e.withColumn("problem", problem).drop("resolved", "ambiguous", "pointed", "composed", "why")
+
+
+def chain_states(facts: Facts, paths: DataFrame, owned_repo: str = "") -> DataFrame:
+    """``(path, pos, line, cause, ref, detail)`` of declared inputs that are stale or can't be hashed, and changed procedures."""
+    e = input_hashes(facts.chain.withColumnRenamed("hash", "recorded"), facts, paths, owned_repo)
     comparable = F.col("hash_algo").isin("", "v1") & (F.coalesce("recorded", F.lit("")) != "")
-    cause = (
-        F.when((F.col("target") != "") & F.col("ambiguous"), "ambiguous")
-        .when(F.col("node").isNull(), "unresolved")
-        .when(F.col("why").isNotNull() & F.col("pointed").isNull(), F.col("why"))
-        .when(comparable & ~C.recorded_matches(F.col("recorded"), F.col("computed")), "stale")
-    )
+    cause = F.coalesce("problem", F.when(comparable & ~C.recorded_matches(F.col("recorded"), F.col("computed")), "stale"))
     detail = F.when(F.col("cause") == "stale", F.concat(F.lit("recorded "), "recorded", F.lit(" ≠ resolved "), "computed")).otherwise(F.col("target"))
     out = e.withColumn("cause", cause).where(F.col("cause").isNotNull()).select("path", "pos", "line", "cause", "ref", detail.alias("detail"))
     procedures = facts.wide.where("procedure_hash <> ''").select("path", "procedure_hash").join(procedure_hashes(facts), "path").where(~C.recorded_matches(F.col("procedure_hash"), F.col("computed")))
