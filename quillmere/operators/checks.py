@@ -159,12 +159,7 @@ def property_check(docs, params, ctx):
     keys = params["property"]
     out = [property_blocks.missing(docs, keys).select("path", F.col("seq").cast("int").alias("seq"), "line", "data")] if params.get("required") else []
     values = property_blocks.values(docs, keys)
-    for name in ("text", "date", "tag"):
-        if params.get(name):
-            out.append(getattr(property_blocks, name)(values, params[name]))
-    if params.get("wikilink"):
-        block = params["wikilink"] if isinstance(params["wikilink"], dict) else {}
-        out.append(property_blocks.wikilink(values, block, ctx.paths, ctx.worktree, ctx.times))
+    out += [find(values, params[name], ctx) for name, find in property_blocks.REGISTRY.items() if params.get(name)]
     return reduce(DataFrame.unionByName, [o.select("path", F.col("seq").cast("int").alias("seq"), F.col("line").cast("int").alias("line"), "data") for o in out]) if out else _rows(docs.limit(0), F.lit(0), Key=F.lit(""))
 
 
@@ -328,4 +323,4 @@ def tier_downgrade(docs, params, ctx):
 @check("wiki-navlink")
 def wiki_navlink(docs, params, ctx):
     mapped = set((params.get("mapping") or {}).keys())
-    return _scan(docs, ["body", "body_offset"], lambda b, o: [{"line": f["line"], "URI": f["uri"], "Kind": f["kind"]} for f in M.bare_uris(b, o, mapped)])
+    return _scan(docs.where(F.contains("body", F.lit("wiki://"))), ["body", "body_offset"], lambda b, o: [{"line": f["line"], "URI": f["uri"], "Kind": f["kind"]} for f in M.bare_uris(b, o, mapped)])

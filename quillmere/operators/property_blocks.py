@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +89,26 @@ def tag(rows: DataFrame, block: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+#: Type blocks of property rules by name: from rows of values, the block and the check's context to findings.
+REGISTRY: dict[str, Callable[[DataFrame, dict, object], DataFrame]] = {}
+
+
+def block(name: str) -> Callable:
+    """Register a type block; rules may use it by its name from then on."""
+
+    def add(f: Callable) -> Callable:
+        REGISTRY[name] = f
+        return f
+
+    return add
+
+
+block("text")(lambda rows, given, ctx: text(rows, given))
+block("date")(lambda rows, given, ctx: date(rows, given))
+block("tag")(lambda rows, given, ctx: tag(rows, given))
+block("wikilink")(lambda rows, given, ctx: wikilink(rows, given if isinstance(given, dict) else {}, ctx.paths, ctx.worktree, ctx.times))
+
+
 def resolve_index(paths: DataFrame, mode: str) -> DataFrame:
     """``(key)`` a link may name: files by stem and path, folders by name and path, direct parents, or both of the first."""
     p = paths.where(~F.startswith("path", F.lit("/"))).select("path")

@@ -98,8 +98,8 @@ def nearest_ancestor(pages: DataFrame, holders: DataFrame) -> DataFrame:
     return up.join(holders.select("dir").distinct(), "dir").groupBy("path").agg(F.max_by("dir", "depth").alias("holder"))
 
 
-def sessions(events: DataFrame, key: str, ts: str, op: str, gap: str = "6 seconds") -> DataFrame:
-    """Batches of changes between quiet gaps, each key with its last change: ``(batch_start, key, op)``.
+def session_starts(events: DataFrame, ts: str, gap: str = "6 seconds") -> DataFrame:
+    """``events`` with ``batch_start``, the first time of the batch between quiet gaps that each is in; null times have none.
 
     The gap is global: any change prolongs the batch. Changes are combined per second; seconds are put
     in order within each day, and the days, one row each, carry the last change and the open batch over
@@ -117,8 +117,12 @@ def sessions(events: DataFrame, key: str, ts: str, op: str, gap: str = "6 second
     carried = opened.groupBy("day").agg(F.max("opened").alias("last_opened"))
     carried = carried.select("day", F.last("last_opened", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
     starts = running.join(carried, "day").select("day", "sec", F.coalesce("start", "carried").alias("batch_start"))
-    inside = events.withColumns({"day": F.to_date(ts), "sec": second}).join(starts, ["day", "sec"])
-    return inside.groupBy("batch_start", key).agg(F.max_by(op, F.struct(F.col(ts), F.col(op))).alias(op))
+    return events.withColumns({"day": F.to_date(ts), "sec": second}).join(starts, ["day", "sec"]).drop("day", "sec")
+
+
+def sessions(events: DataFrame, key: str, ts: str, op: str, gap: str = "6 seconds") -> DataFrame:
+    """Batches of changes between quiet gaps, each key with its last change: ``(batch_start, key, op)``."""
+    return session_starts(events, ts, gap).groupBy("batch_start", key).agg(F.max_by(op, F.struct(F.col(ts), F.col(op))).alias(op))
 
 
 # Debt, repositories, rules.

@@ -73,7 +73,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmere-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._quillmere_path = path
     return staged
@@ -83,13 +83,22 @@ def unstage(staged: DataFrame) -> None:
     """Remove the files of a staged table from which nothing will be read any more."""
     path = getattr(staged, "_quillmere_path", None)
     if path:
-        _remove(staged.sparkSession, path)
+        remove(staged.sparkSession, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete files of a shared folder."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session may be gone already
         pass
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a shared folder; none if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import os
 from collections import Counter
+from importlib import resources
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -19,7 +20,6 @@ from quillmere.functions.templates import parse
 META = {"check", "message", "severity", "on", "required"}
 PROPERTY_META = {"property", "severity", "on", "message", "required"}
 MAX_DEPTH, MAX_ALIASES = 10, 100
-BLOCKS = ("text", "date", "tag", "wikilink")
 
 
 class RuleError(ValueError):
@@ -103,7 +103,9 @@ def _property_rule(raw: dict, rule_id: str) -> Rule:
     keys = [raw["property"]] if isinstance(raw["property"], str) else raw["property"]
     if not isinstance(keys, list) or not keys or not all(isinstance(k, str) for k in keys):
         raise RuleError(f"{rule_id}: property is a field name or a list of them")
-    blocks = [b for b in BLOCKS if b in raw]
+    from quillmere.operators.property_blocks import REGISTRY
+
+    blocks = [b for b in REGISTRY if b in raw]
     if len(blocks) > 1:
         raise RuleError(f"{rule_id}: more than one type block: {', '.join(blocks)}")
     params = {k: v for k, v in raw.items() if k not in PROPERTY_META} | {"property": keys, "required": bool(raw.get("required", False))}
@@ -146,6 +148,15 @@ def load_dir(path: str) -> tuple[list[Rule], list[str]]:
     return union(rules), warnings
 
 
+def load_pack(name: str) -> list[Rule]:
+    """The rules of a pack that comes with the library: 'contract', 'effects', or 'skills' for trees of skills."""
+    folder = resources.files("quillmere.packs") / name
+    if not folder.is_dir():
+        raise RuleError(f"there is no pack {name!r}")
+    files = sorted((f for f in folder.iterdir() if f.name.endswith((".yaml", ".yml"))), key=lambda f: f.name)
+    return union([load_yaml(f.read_text(encoding="utf-8"), f.name.rsplit(".", 1)[0]) for f in files])
+
+
 def union(*packs: list[Rule]) -> list[Rule]:
     """Packs together; a repeated id is an error."""
     rules = [r for pack in packs for r in pack]

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmere.functions import columns as C
-from quillmere.operators.reports import sessions
-from quillmere.session import stage
+from quillmere.operators.reports import session_starts, sessions
+from quillmere.session import listed, remove, stage, unstage
 
 CHANGE = "path string, op string, ts timestamp"
 
@@ -38,24 +38,6 @@ def batches(changes: DataFrame, quiet: str = "6 seconds") -> DataFrame:
     return sessions(changes, "path", "ts", "op", quiet)
 
 
-def streaming_batches(changes: DataFrame, quiet: str = "6 seconds", late: str = "1 minute") -> DataFrame:
-    """The same on a stream: one global session window; a batch comes out once the watermark has passed its gap.
-
-    The paths of a batch are kept as a map with their last change, so a batch's state is as large as
-    the number of paths changed in it.
-    """
-    stamped = changes.withWatermark("ts", late)
-    everything = F.pmod(F.hash("path"), F.lit(1)).alias("all")  # a session window on a stream needs a key beside it
-    per_batch = stamped.groupBy(F.session_window("ts", quiet).alias("w"), everything).agg(F.collect_list(F.struct("ts", "path", "op")).alias("changes"))
-    rows = per_batch.select(F.col("w.start").alias("batch_start"), F.inline("changes"))
-    return rows.select("batch_start", "path", "op", "ts")
-
-
-def last_changes(rows: DataFrame) -> DataFrame:
-    """Of each path in a batch the last change; for use in ``foreachBatch``."""
-    return rows.groupBy("batch_start", "path").agg(F.max_by("op", F.struct("ts", "op")).alias("op"))
-
-
 def dispatch(changes: DataFrame, hooks: list[dict]) -> DataFrame:
     """``(path, op, action, scope)`` of the hooks that changes fire; nothing is run. Deletions fire none."""
     spark = changes.sparkSession
@@ -80,12 +62,60 @@ def counters(changes: DataFrame, fired: DataFrame) -> DataFrame:
     return seen.join(fired.agg(F.count(F.lit(1)).alias("fired")), F.lit(True))  # one row each
 
 
-def start(changes: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, quiet: str = "6 seconds", late: str = "1 minute", once: bool = False) -> StreamingQuery:
-    """Run ``handle`` on the changes (batch_start, path, op) of each finished batch."""
+def closed(pending: DataFrame, quiet: str = "6 seconds", late: str = "1 minute") -> tuple[DataFrame, DataFrame]:
+    """The finished batches ``(batch_start, path, op)`` of pending changes, each path with its last, and the changes of open ones.
+
+    A batch is finished when a change has come that is later than its last one by the gap and the lateness.
+    """
+    held = pending.where(F.col("ts").isNotNull())
+    placed = session_starts(held.select("path", "op", "ts"), "ts", quiet)
+    horizon = held.agg(F.max("ts").alias("horizon"))
+    ends = placed.groupBy("batch_start").agg(F.max("ts").alias("end")).crossJoin(F.broadcast(horizon))  # one row
+    done = ends.select("batch_start", (F.col("end") + F.expr(f"INTERVAL {quiet}") + F.expr(f"INTERVAL {late}") < F.col("horizon")).alias("done"))
+    placed = placed.join(done, "batch_start")
+    finished = placed.where("done").groupBy("batch_start", "path").agg(F.max_by("op", F.struct("ts", "op")).alias("op"))
+    return finished, placed.where("NOT done").select("path", "op", "ts")
+
 
-    def each(rows: DataFrame, _: int) -> None:
-        if rows.head(1):
-            handle(stage(last_changes(rows), "watch"))
+def start(changes: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, quiet: str = "6 seconds", late: str = "1 minute", once: bool = False) -> StreamingQuery:
+    """Run ``handle`` on the changes (batch_start, path, op) of finished batches.
 
-    writer = streaming_batches(changes, quiet, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
+    The changes of open batches are a table beside the checkpoint, one for each micro-batch, so no task
+    holds a whole batch as state. A micro-batch that is run again begins from the table before it and
+    gives the same; ``handle`` should bear a repetition. Changes later than the lateness open a batch of their own.
+    """
+    folder = f"{checkpoint.rstrip('/')}/pending"
+
+    def each(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        before = max((n for n in _numbers(spark, folder) if n < number), default=None)
+        pending = rows.select("path", "op", "ts")
+        if before is not None:
+            pending = pending.unionByName(spark.read.schema(CHANGE).parquet(f"{folder}/{before}"))
+        pending = stage(pending, "watch-pending")
+        finished, left = closed(pending, quiet, late)
+        finished = stage(finished, "watch")
+        left.write.mode("overwrite").parquet(f"{folder}/{number}")
+        if finished.head(1):
+            handle(finished)
+        unstage(pending)
+        for old in _numbers(spark, folder):
+            if old < number - 1:
+                remove(spark, f"{folder}/{old}")
+
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The micro-batches that have a table."""
+    return sorted(int(name) for name in listed(spark, folder) if name.isdigit())
+
+
+def status(query: StreamingQuery) -> dict:
+    """What a watch run is doing, from its own progress: the last micro-batch, rows so far in it, whether data waits, and the last error."""
+    last = query.lastProgress
+    failure = query.exception()
+    return {
+        "id": str(query.id), "active": query.isActive, "message": query.status["message"], "waiting": query.status["isDataAvailable"], "batch": last.batchId if last else None, "rows": last.numInputRows if last else 0, "rows_per_second": last.processedRowsPerSecond if last else 0.0, "error": str(failure) if failure else None,
+    }

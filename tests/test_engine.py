@@ -280,6 +280,52 @@ def test_watch(spark, tmp_path):
     q = watch.start(stream, lambda rows: seen.extend((r.path, r.op) for r in rows.collect()), str(tmp_path / "ck"), once=True)
     q.awaitTermination(120)
     assert sorted(seen) == [("a.md", "delete"), ("a.md", "modify"), ("b.md", "create"), ("c.md", "modify")]
+    assert watch.status(q)["active"] is False and watch.status(q)["error"] is None
+    # the batch that was open goes on in the next run
+    more = spark.createDataFrame([("y.md", "create", datetime(2025, 1, 1, 1, 0, 3)), ("w.md", "create", datetime(2025, 1, 1, 2, 0))], watch.CHANGE)
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen.clear()
+    watch.start(stream, lambda rows: seen.extend((r.batch_start.hour, r.path) for r in rows.collect()), str(tmp_path / "ck"), once=True).awaitTermination(120)
+    assert sorted(seen) == [(1, "y.md"), (1, "z.md")]
+
+
+def test_lists_of_version_control(spark, tmp_path):
+    from quillmere.sources import gitlists
+
+    def put(name, *rows):
+        (tmp_path / name).write_text("\n".join("\t".join(r) for r in rows) + "\n\nshort\n")
+        return str(tmp_path / name)
+
+    oid = "a" * 40
+    objects = put("objects", ("r", "c1", f"{oid} commit 12"), ("r", "c1:x", "c1:x missing"), ("r", "c1", f"{oid} commit 12"), ("r", "odd", "what is this"))
+    assert [tuple(r) for r in gitlists.read_objects(spark, objects).collect()] == [("r", "c1", oid, "commit")]
+    assert [tuple(r) for r in gitlists.read_ancestry(spark, put("anc", ("r", "c1", "origin/main", "0"), ("r", "c2", "origin/main", "1"))).collect()] == [("r", "c1", "origin/main")]
+    assert {tuple(r) for r in gitlists.read_times(spark, put("times", ("a.md", "5"), ("a.md", "9"), ("b.md", ""))).collect()} == {("a.md", 9)}
+    assert {tuple(r) for r in gitlists.read_history(spark, put("hist", ("c1", "a.md"), ("c1", "a.md"))).collect()} == {("a.md", "c1")}
+    assert {tuple(r) for r in gitlists.read_present(spark, put("there", ("r", "pointed", "0"), ("own", "owned", "128"))).collect()} == {("r", False, False), ("own", True, True)}
+
+
+def test_packs_and_type_blocks(spark):
+    from quillmere.operators import property_blocks
+    from quillmere.sources.rules import load_pack
+
+    contract, skills = load_pack("contract"), load_pack("skills")
+    assert {"broken-wikilink", "frontmatter-minima"} <= {r.id for r in contract} and len(skills) == 4 and len(load_pack("effects")) == 5
+    with pytest.raises(RuleError):
+        load_pack("none")
+    e = engine(spark, [("SKILL.md", "[[refs/lost]] [[notes]] `[[notes]]`\n| a | b |\n|---|---|\n| [[notes|n]] | c |\n"), ("refs/notes.md", "x"), ("setup/notes.md", "y")])
+    assert {(f[0], f[1]) for f in run(e, *skills)} == {("broken-wikilink", "SKILL.md"), ("ambiguous-wikilink", "SKILL.md"), ("backticked-wikilink", "SKILL.md"), ("table-wikilink-pipe", "SKILL.md")}
+    assert ("frontmatter-minima", "SKILL.md", 1, "the page lacks tags") in run(e, *contract)
+
+    @property_blocks.block("length")
+    def length(rows, given, ctx):
+        return property_blocks._stream(rows, 0, F.when(F.length("value") > given["most"], F.lit("too long")))
+
+    try:
+        rule_ = load_yaml("property: title\nlength: {most: 3}\nmessage: '{{.Message}}'\n", "short-title")
+        assert [f[3] for f in run(engine(spark, [("a.md", FM.format("title: abcd")), ("b.md", FM.format("title: abc"))]), rule_)] == ["title: too long"]
+    finally:
+        del property_blocks.REGISTRY["length"]
 
 
 def test_empty_corpus(spark):
