@@ -462,7 +462,16 @@ def engine_check(spark, d):
     return engine.check(rules).drop("column")
 
 
-@query()
+def _heap_hashes(levels: int) -> str:
+    """SQL for hashes of a heap's nodes from the deepest level on; node n has the children 2n and 2n + 1."""
+    steps = [f"h{levels} AS (SELECT node, leaf, '' AS hash FROM leaves WHERE false)"]
+    for k in reversed(range(levels)):
+        kids = "coalesce((SELECT hash FROM h{0} c WHERE c.node = 2 * l.node), '') || coalesce((SELECT hash FROM h{0} c WHERE c.node = 2 * l.node + 1), '')".format(k + 1)
+        steps.append(f"h{k} AS (SELECT node, leaf, sha256(unhex(leaf || {kids})) AS hash FROM leaves l WHERE node >= {1 << k} AND node < {1 << (k + 1)})")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT node, hash FROM h{k}" for k in range(levels))
+
+
+@query(f"WITH leaves AS (SELECT p_partkey AS node, sha256(CAST(p_partkey AS VARCHAR)) AS leaf FROM part WHERE p_partkey > 0), {_heap_hashes(22)}")
 def merkle_tree_hash(spark, d):
     """Hashes of all nodes of a heap-shaped tree, each over its children's."""
     from quillmere.operators.graph import compose_levels
