@@ -5,8 +5,8 @@ digits, house numbers beside capitalised words, runs of capitalised words in eve
 have. One model per kind judges a span by its format and by what stands around it. Of overlapping
 spans the most probable holds. A model is fitted on a bounded sample of texts whose spans get labels
 from strict formats, labels in the text and a list of known names, and on phrases made here; the name
-features come from letters, not from the list, so that names outside it are found. Judging takes no
-sample: every text is searched whole.
+features come from letters, not from the list, so that names outside it are found. What words are
+common is counted over all documents. Judging takes no sample: every text is searched whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 SAMPLE_TEXTS, SAMPLE_CHARS = 4_000, 20_000
 #: Known names and common words a model keeps.
 MOST_NAMES, MOST_WORDS = 20_000, 20_000
-#: A word is common if it stands in lower case so often in the sample.
-COMMON_FROM = 3
+#: A word is common if it stands in lower case so often in the documents, for each COMMON_TEXTS of them.
+COMMON_FROM, COMMON_TEXTS = 3, 4_000
 #: Characters around a span that its features see.
 AROUND = 40
 
@@ -421,20 +422,60 @@ class Model:
     names: Names
 
 
-def train(texts: list[str], known_names: list[tuple[str, str]]) -> Model:
-    """Models of all kinds from sample texts and (name, kind) of known names; either may be empty."""
-    known = {k: {n.lower() for n, kind in known_names[:MOST_NAMES] if kind == k and n} for k in ("given", "family")}
+_lower_word = re.compile(r"(?<![\w@.+-])[a-zà-öø-ÿ]{2,}(?![\w@.+-])")
+_hidden_address = r"[\[({] ?[aA][tT] ?[\])}]| [aA][tT] [\pL\pN_-]+( [dD][oO][tT] |\.[\pL\pN_-])"
+
+
+def lower_words(text: str) -> list[str]:
+    """Words in lower case that stand by themselves; those inside addresses, which may be names, are none."""
+    at = 0
+    parts = []
+    for s in sorted(emails(text), key=lambda s: s.start):
+        parts.append(text[at : s.start])
+        at = max(at, s.end)
+    return _lower_word.findall(" ".join([*parts, text[at:]]))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to counts of their ``lower_words``; texts without written-out addresses are cut into words as columns."""
     counts: Counter = Counter()
-    for text in texts:
-        at = 0  # names inside addresses are no common words
-        parts = []
-        for s in sorted(emails(text), key=lambda s: s.start):
-            parts.append(text[at : s.start])
-            at = max(at, s.end)
-        text = " ".join([*parts, text[at:]])
-        counts.update(re.findall(r"(?<![\w@.+-])[a-zà-öø-ÿ]{2,}(?![\w@.+-])", text))
+    for batch in batches:
+        rows = max(1, batch.num_rows * (4 << 20) // max(1, batch.column(0).nbytes))
+        for at in range(0, batch.num_rows, rows):
+            texts = batch.column(0).slice(at, rows).drop_null()
+            odd = pc.match_substring_regex(texts, _hidden_address)
+            for text in texts.filter(odd).to_pylist():
+                counts.update(lower_words(text))
+            words = pc.split_pattern_regex(texts.filter(pc.invert(odd)), r"[^\pL\pN_@.+-]+").flatten()
+            words = words.filter(pc.match_substring_regex(words, "^[a-zà-öø-ÿ]{2,}$")).value_counts()
+            for word, n in zip(words.field(0).to_pylist(), words.field(1).to_pylist()):
+                counts[word] += n
+            if len(counts) > 500_000:
+                yield _counted_words(counts)
+                counts = Counter()
+    if counts:
+        yield _counted_words(counts)
+
+
+def _counted_words(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+
+def common_words(documents: DataFrame, n: int, text_col: str = "text") -> dict[str, float]:
+    """The most common words of all ``n`` documents with how often they stand in COMMON_TEXTS of them: MOST_WORDS at most, which a model keeps."""
+    counted = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    share = COMMON_TEXTS / max(n, COMMON_TEXTS)
+    rows = counted.where(F.col("n") * share >= COMMON_FROM).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    return {r["word"]: r["n"] * share for r in rows}
+
+
+def train(texts: list[str], known_names: list[tuple[str, str]], words: dict[str, float] | None = None) -> Model:
+    """Models of all kinds from sample texts, (name, kind) of known names, and ``common_words``, those of the sample if not given; any may be empty."""
+    known = {k: {n.lower() for n, kind in known_names[:MOST_NAMES] if kind == k and n} for k in ("given", "family")}
+    if words is None:
+        words = dict(Counter(w for text in texts for w in lower_words(text)).most_common(MOST_WORDS))
     listed = known["given"] | known["family"]
-    common = {w: math.log1p(c) for w, c in counts.most_common(MOST_WORDS) if c >= COMMON_FROM and w not in listed}
+    common = {w: math.log1p(c) for w, c in words.items() if c >= COMMON_FROM and w not in listed}
     names = Names(common=common)
     for kind in ("given", "family"):
         ordered = sorted(known[kind])
@@ -568,7 +609,7 @@ def fit_model(documents: DataFrame, known_names: DataFrame, id_col: str = "doc_i
     rows = texts.where(F.col("h") < bound).orderBy("h", "text").limit(2 * SAMPLE_TEXTS).collect()  # about SAMPLE_TEXTS, by their share of all
     rows = sorted(rows, key=lambda r: (r["h"], r["text"]))
     names = known_names.select("name", "kind").where("name IS NOT NULL").distinct().orderBy(F.xxhash64("name", "kind"), "name", "kind").limit(MOST_NAMES).collect()
-    return train([r["text"] for r in rows], sorted((r["name"], r["kind"]) for r in names))
+    return train([r["text"] for r in rows], sorted((r["name"], r["kind"]) for r in names), common_words(documents, n, text_col))
 
 
 def found(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

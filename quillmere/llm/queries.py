@@ -113,12 +113,26 @@ sets AS (
   UNION ALL SELECT DISTINCT 'slices', page_id, slice_hash FROM page_slices WHERE kind <> 'body' AND slice_hash IS NOT NULL),
 sizes AS (SELECT facet, page_id, count(*) AS n FROM sets GROUP BY facet, page_id),
 shared AS (SELECT a.facet, a.page_id AS page_id_a, b.page_id AS page_id_b, count(*) AS common FROM sets a JOIN sets b ON a.facet = b.facet AND a.token = b.token AND a.page_id < b.page_id GROUP BY ALL)
-SELECT s.facet, page_id_a, page_id_b FROM shared s JOIN sizes x ON x.facet = s.facet AND x.page_id = page_id_a JOIN sizes y ON y.facet = s.facet AND y.page_id = page_id_b
+"""
+
+_P2_PAIRS = """SELECT s.facet, page_id_a, page_id_b FROM shared s JOIN sizes x ON x.facet = s.facet AND x.page_id = page_id_a JOIN sizes y ON y.facet = s.facet AND y.page_id = page_id_b
 WHERE 2 * common >= x.n + y.n - common
 """
 
+_P2_GROUPS = f""", pairs AS ({_P2_PAIRS}),
+prints AS (SELECT facet, page_id, md5(string_agg(token, chr(1) ORDER BY token)) AS print FROM sets GROUP BY facet, page_id),
+members AS (SELECT facet, page_id, min(page_id) OVER (PARTITION BY facet, print) AS class_id FROM prints),
+classes AS (SELECT facet, page_id AS id FROM members WHERE page_id = class_id),
+links AS (SELECT facet, page_id_a AS a, page_id_b AS b FROM pairs UNION ALL SELECT facet, page_id_b, page_id_a FROM pairs),
+ends AS (SELECT l.* FROM links l JOIN classes x ON x.facet = l.facet AND x.id = a JOIN classes y ON y.facet = l.facet AND y.id = b),
+reach AS (SELECT facet, id AS start, id AS here FROM classes UNION SELECT r.facet, r.start, e.b FROM reach r JOIN ends e ON e.facet = r.facet AND e.a = r.here),
+tops AS (SELECT facet, start, min(here) AS group_id FROM reach GROUP BY facet, start), counts AS (SELECT facet, a, count(*) AS n FROM ends GROUP BY facet, a)
+SELECT m.facet, m.page_id, m.class_id, coalesce(n, 0) AS n_links, group_id FROM members m JOIN tops t ON t.facet = m.facet AND t.start = m.class_id LEFT JOIN counts c ON c.facet = m.facet AND c.a = m.class_id
+"""
+
 SQL = {
-    "p2_found": _P2,
+    "p2_found": _P2 + _P2_PAIRS,
+    "p2_groups": _P2.replace("WITH ", "WITH RECURSIVE ", 1) + _P2_GROUPS,
     "p1_found": _P1 + "SELECT field, term, 'rare' AS mark FROM marked WHERE is_rare UNION ALL SELECT field, term, 'common' FROM marked WHERE is_common",
     "p1_terms": _P1 + "SELECT * FROM marked",
 }

@@ -121,3 +121,11 @@ def test_frames_outside_the_training(model):
     cases = [(kind, frame.format(v), v) for kind, frames in FRAMES.items() for frame in frames for v in values[kind]]
     found = [any(t[s.start : s.end] == v and s.kind == kind for s in pii.find([t], model)[0]) for kind, t, v in cases]
     assert sum(found) / len(found) >= 0.9, [c for c, ok in zip(cases, found) if not ok]
+
+
+def test_common_words_of_all_documents(spark):
+    texts = ["the anna [at] post [dot] example wrote the note", "the note, the anna@post.example", "a The x.y re-do été", None, "", "anna at post dot example"]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts * 3)], "doc_id long, text string, word int").repartition(3)
+    words = pii.common_words(df, df.count())
+    assert "anna" not in words and "post" not in words and words["the"] == 12
+    assert pii.common_words(df, 40_000) == {} and pii.common_words(df.limit(0), 0) == {}
