@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillmere.functions import columns as C
 from quillmere.operators import links
 from quillmere.operators.facts import Facts
-from quillmere.session import stage
+from quillmere.session import stage, unstage
 
 # The node cap, the prefix of composed hashes, what stands for a page that is being hashed already.
 MAX_NODES = 512
@@ -126,6 +126,8 @@ def compose_levels(leaves: DataFrame, tree: DataFrame) -> DataFrame:
             break
         done = done.unionByName(new)
         rest = rest.join(new, "node", "left_anti")
+    else:
+        raise RuntimeError("the graph is deeper than it may be")
     return done
 
 
@@ -197,32 +199,100 @@ def chain_edges(facts: Facts, paths: DataFrame) -> DataFrame:
     return e.join(effects.withColumnRenamed("path", "next"), "next", "left_semi").select("path", "next")
 
 
+#: Rounds after which a fixed point must be reached; they grow with the logarithm of a part's size, or are four steps of a way each.
+ROUNDS = 200
+
+
+def connected(edges: DataFrame, name: str = "parts") -> DataFrame:
+    """``(node, part)`` of all nodes on edges ``(a, b)``: the smallest node that each is linked to, over whatever many links.
+
+    Stars alternate: every node links its larger neighbours to the smallest one, then its smaller ones,
+    so a part is one star after about as many rounds as the logarithm of its size. Loops and nulls don't count.
+    """
+    links = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND u <> v").distinct(), f"{name}-0")
+    before = None
+    for i in range(1, ROUNDS + 1):
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-{i}")
+        unstage(links)
+        links = following
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"the parts are not settled after {ROUNDS} rounds")
+    return links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("part")), F.struct(F.col("v").alias("node"), F.col("v").alias("part")))).alias("x")).select("x.*").groupBy("node").agg(F.min("part").alias("part"))
+
+
+def strong_parts(following: dict[str, list[str]]) -> dict[str, int]:
+    """A number for each node on a cycle, the same for nodes that reach each other; in time in proportion to the edges."""
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    part: dict[str, int] = {}
+    done: set[str] = set()
+    for start in following:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        open_.append(start)
+        todo = [(start, iter(following.get(start, ())))]
+        while todo:
+            node, rest = todo[-1]
+            step = next(rest, None)
+            if step is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = [open_.pop()]
+                    while group[-1] != node:
+                        group.append(open_.pop())
+                    done.update(group)
+                    if len(group) > 1:
+                        part.update(dict.fromkeys(group, number[node]))
+            elif step not in number:
+                number[step] = low[step] = len(number)
+                open_.append(step)
+                todo.append((step, iter(following.get(step, ()))))
+            elif step not in done:
+                low[node] = min(low[node], number[step])
+    return part
+
+
 def chain_cycles(facts: Facts, paths: DataFrame) -> DataFrame:
     """``(path, line, cycle)`` of effect pages on a cycle, the cycle as text from the page on.
 
-    Pages without a way in or a way out are peeled off until none is left; what remains is cycles and
-    the ways between them, and only that is searched, one connected part at a time.
+    Pages without a way in or a way out are peeled off, four times before each writing, until none is
+    left; what remains is cycles and the ways between them. Of each connected part of that, a task
+    keeps the edges between pages that reach each other and looks for the first way back on these.
     """
     core = stage(chain_edges(facts, paths), "chain-edges")
     n = core.count()
-    while n:
-        kept = core.join(core.select(F.col("next").alias("path")).distinct(), "path", "left_semi").join(core.select(F.col("path").alias("next")).distinct(), "next", "left_semi")
-        core = stage(kept.select("path", "next"), "chain-core")
-        if core.count() == n:
-            break
-        n = core.count()
-    part = stage(core.select(F.explode(F.array("path", "next")).alias("node")).distinct().select("node", F.col("node").alias("part")), "parts-0")
-    both = core.unionByName(core.select(F.col("next").alias("path"), F.col("path").alias("next")))
-    while True:
-        near = both.join(part.select(F.col("node").alias("next"), "part"), "next").groupBy(F.col("path").alias("node")).agg(F.min("part").alias("near"))
-        new = stage(part.join(near, "node", "left").select("node", F.least("part", "near").alias("part"), (F.col("near") < F.col("part")).alias("moved")), "parts")
-        part = new.select("node", "part")
-        if not new.where("moved").head(1):
+    for _ in range(ROUNDS * 50):
+        kept = core
+        for _ in range(4):
+            kept = kept.join(kept.select(F.col("next").alias("path")).distinct(), "path", "left_semi").join(kept.select(F.col("path").alias("next")).distinct(), "next", "left_semi").select("path", "next")
+        before, core = core, stage(kept, "chain-core")
+        unstage(before)
+        left = core.count()
+        if left in (0, n):
             break
+        n = left
+    else:
+        raise RuntimeError("the chains are longer than any that pages can have")
+    part = connected(core.select(F.col("path").alias("a"), F.col("next").alias("b")), "chain-parts")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         following = {p: sorted(g) for p, g in frame.groupby("path")["next"]}
-        rows = [(p, " → ".join(c)) for p in following if (c := first_cycle(p, following))]
+        strong = strong_parts(following)
+        inside = {p: [q for q in following[p] if strong.get(q) == strong[p]] for p in strong}
+        rows = [(p, " → ".join(c)) for p in inside if (c := first_cycle(p, inside))]
         return pd.DataFrame(rows, columns=["path", "cycle"])
 
     cycles = core.join(part.withColumnRenamed("node", "path"), "path").groupBy("part").applyInPandas(run, "path string, cycle string")

@@ -332,3 +332,33 @@ def test_empty_corpus(spark):
     e = engine(spark, [])
     assert run(e, rule("broken-wikilink"), rule("field-exists", frontmatter=["x"])) == []
     assert Facts.of(e.documents).links.count() == 0
+
+
+def test_parts_and_cycles_equal_a_walk(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = {(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(75)}
+    following = {}
+    for a, b in sorted(edges):
+        if a != b:
+            following.setdefault(a, []).append(b)
+    reach = {}
+    for n in {x for e in edges for x in e}:
+        seen, todo = set(), list(following.get(n, []))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += following.get(x, [])
+        reach[n] = seen
+    strong = graph.strong_parts(following)
+    assert set(strong) == {n for n in reach if n in reach[n]}
+    assert all((strong[a] == strong[b]) == (b in reach[a] and a in reach[b]) for a in strong for b in strong)
+    parts = {r.node: r.part for r in graph.connected(spark.createDataFrame(sorted(edges), "a string, b string")).collect()}
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert parts == root
