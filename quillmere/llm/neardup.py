@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.operators.graph import connected
 from quillmere.session import stage
 
 SKETCH_BITS = 20
@@ -516,29 +517,7 @@ def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.unionByName(own).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-#: Rounds grow with the logarithm of a group's size.
-ROUNDS = 200
-
-
 def components(nodes: DataFrame, pairs: DataFrame, name: str = "groups") -> DataFrame:
-    """``(id, group_id)``: the smallest id that each node is linked to, over whatever many links.
-
-    Stars alternate: every node links its larger neighbours to the smallest one, then its smaller
-    ones; each round is a join-free regrouping of the links and the table is written once per round.
-    """
-    edges = stage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
-    signature = None
-    for i in range(1, ROUNDS + 1):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-{i}")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == signature:
-            break
-        signature = now
-    else:
-        raise RuntimeError(f"groups are not settled after {ROUNDS} rounds")
-    return nodes.select("id").join(edges.select(F.col("u").alias("id"), "v"), "id", "left").groupBy("id").agg(F.coalesce(F.min("v"), F.col("id")).alias("group_id"))
+    """``(id, group_id)``: the smallest id that each node is linked to, over whatever many links; its own without links."""
+    parts = connected(pairs.select("a", "b"), name)
+    return nodes.select("id").distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("part", "id").alias("group_id"))
