@@ -129,6 +129,17 @@ def mask(value: Column, keep: int = 8) -> Column:
     return F.when(F.octet_length(value) > keep, F.concat(F.decode(F.substring(b, 1, keep), "UTF-8"), F.lit("…"))).otherwise(value)
 
 
+def tail(value: Column, most: int) -> Column:
+    """The last ``most`` bytes of a text, from a whole character on."""
+    b = F.encode(value, "UTF-8")
+    cut = F.substring(b, -most, most)
+    # bytes 128 to 191 go on with a character that is cut; there are three at most
+    starts = [F.conv(F.hex(F.substring(cut, i, 1)), 16, 10).cast("int") for i in (1, 2, 3)]
+    inner = [s.between(128, 191) for s in starts]
+    skip = F.when(inner[0] & inner[1] & inner[2], 3).when(inner[0] & inner[1], 2).when(inner[0], 1).otherwise(0)
+    return F.when(F.octet_length(value) > most, F.decode(F.substring(cut, skip + 1, F.lit(most)), "UTF-8")).otherwise(value)
+
+
 # Hashes.
 
 

@@ -20,6 +20,8 @@ from quillmere.functions.globs import java_regex
 from quillmere.operators import graph, links, pins, property_blocks, reports
 from quillmere.operators.facts import Facts
 
+#: Fixed value: bytes of an output that a finding keeps.
+MESSAGE_TAIL = 4 << 10
 RAW = "path string, seq int, line int, data map<string,string>"
 
 
@@ -277,7 +279,7 @@ def probe(docs, params, ctx):
     if ctx.probe_results is None:
         return _rows(docs.limit(0), F.lit(0), Probe=F.lit(""))
     failed = _own(ctx.probe_results, docs).where(F.coalesce("timed_out", F.lit(False)) | (F.coalesce("exit", F.lit(1)) != 0))
-    return _rows(failed, F.lit(0), Probe=F.col("probe"), Detail=F.coalesce("detail", F.lit("")))
+    return _rows(failed, F.lit(0), Probe=F.col("probe"), Detail=C.tail(F.coalesce("detail", F.lit("")), MESSAGE_TAIL))
 
 
 @check("stale-run-record")

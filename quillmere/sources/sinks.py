@@ -77,14 +77,24 @@ def findings_text(findings: DataFrame) -> str:
     return "\n".join([*lines, "", *(f"{r['n']:>6} {r['rule_id']}" for r in counts)])
 
 
+#: Bytes of an output that a message and a record keep.
+MESSAGE_TAIL, RECORD_TAIL = 4 << 10, 64 << 10
+
+
+def tail(text: str, most: int) -> str:
+    """The last ``most`` bytes of a text, from a whole character on."""
+    data = text.encode()
+    return text if len(data) <= most else data[-most:].decode(errors="ignore")
+
+
 def run_record(existing: str | None, results: dict[str, dict], outputs: dict[str, str]) -> str:
-    """A run-record page: results merged by task over those that were there, sorted, one fenced block each."""
+    """A run-record page: results merged by task over those that were there, sorted, one fenced block each with the end of its output."""
     old = M.parse_frontmatter(existing or "")
     runs = {**(old.values.get("runs") or {}), **results}
     kept = {b[0]: b for b in _blocks(existing or "")} if existing else {}
     body = []
     for task in sorted(runs):
-        text = outputs.get(task, kept.get(task, (task, ""))[1])
+        text = tail(outputs.get(task, kept.get(task, (task, ""))[1]), RECORD_TAIL)
         fence = "`" * max(3, 1 + max((len(t) - len(t.lstrip("`")) for t in text.split("\n")), default=0))
         body.append(f"{fence}\n{text.rstrip(chr(10))}\n{fence}\n^{task}\n")
     front = yaml.safe_dump({"runs": {k: runs[k] for k in sorted(runs)}}, sort_keys=True, allow_unicode=True)

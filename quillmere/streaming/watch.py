@@ -1,7 +1,7 @@
 """Watching a corpus: changes from snapshots, batches between quiet gaps, hooks and incremental checks.
 
-A file stream reports new paths only, so changes come from comparing snapshots; the rest works on a
-stream or a table of changes (path, op, ts) alike.
+A file stream reports new paths only, so changes come from comparing listings: ``poll`` adds them to a
+folder that a stream reads. The rest works on a stream or a table of changes (path, op, ts) alike.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillmere.functions import columns as C
 from quillmere.operators.reports import session_starts, sessions
 from quillmere.session import listed, remove, stage, unstage
+from quillmere.sources.corpus import read_tree
 
 CHANGE = "path string, op string, ts timestamp"
 
@@ -62,6 +63,34 @@ def counters(changes: DataFrame, fired: DataFrame) -> DataFrame:
     return seen.join(fired.agg(F.count(F.lit(1)).alias("fired")), F.lit(True))  # one row each
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length, mtime_ns)`` of the pages below a directory; contents aren't read."""
+    return read_tree(spark, root).select("path", "length", "mtime_ns")
+
+
+def poll(spark: SparkSession, root: str, folder: str, ts: str, ignore: list[str] = ()) -> int:
+    """Compare the pages below ``root`` with those of the last poll and add the changes to ``folder``/changes; how many there were.
+
+    ``changes`` is what a stream reads. The listing is kept for each poll, so that one that failed halfway
+    is made again from the last whole one; the first poll finds all pages created.
+    """
+    kept = f"{folder.rstrip('/')}/listings"
+    numbers = [n for n in _numbers(spark, kept) if "_SUCCESS" in listed(spark, f"{kept}/{n}")]
+    last = max(numbers, default=-1)
+    now = stage(listing(spark, root), "listing")
+    before = spark.read.schema(now.schema).parquet(f"{kept}/{last}") if numbers else now.limit(0)
+    changes = stage(snapshot_changes(before, now, ts, ignore), "changes")
+    n = changes.count()
+    if n:
+        changes.write.mode("append").parquet(f"{folder.rstrip('/')}/changes")
+    now.write.mode("overwrite").parquet(f"{kept}/{last + 1}")
+    for old in numbers[:-1]:
+        remove(spark, f"{kept}/{old}")
+    unstage(now)
+    unstage(changes)
+    return n
+
+
 def closed(pending: DataFrame, quiet: str = "6 seconds", late: str = "1 minute") -> tuple[DataFrame, DataFrame]:
     """The finished batches ``(batch_start, path, op)`` of pending changes, each path with its last, and the changes of open ones.
 

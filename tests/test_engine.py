@@ -362,3 +362,34 @@ def test_parts_and_cycles_equal_a_walk(spark):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert parts == root
+
+
+def test_polling_a_directory(spark, tmp_path):
+    from quillmere.streaming import watch
+
+    root, folder = tmp_path / "wiki", str(tmp_path / "watch")
+    sinks.write_page(str(root), "a.md", None, "x")
+    sinks.write_page(str(root), "b.md", None, "x")
+    assert watch.poll(spark, str(root), folder, "2025-01-01 00:00:00") == 2
+    assert watch.poll(spark, str(root), folder, "2025-01-01 00:00:01") == 0
+    sinks.write_page(str(root), "a.md", None, "longer")
+    (root / "b.md").unlink()
+    sinks.write_page(str(root), "c.tmp.md", None, "x")
+    assert watch.poll(spark, str(root), folder, "2025-01-01 00:01:00", ["*.tmp.md"]) == 2
+    got = sorted((r.path, r.op) for r in spark.read.parquet(f"{folder}/changes").collect())
+    assert got == [("a.md", "create"), ("a.md", "modify"), ("b.md", "create"), ("b.md", "delete")]
+
+
+def test_tails_and_probes(spark):
+    from quillmere.functions import columns
+
+    texts = ["", "abc", "é" * 5, "x" + "€" * 4, "😀😀", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in (1, 3, 4, 7):
+        assert [r[0] for r in df.select(columns.tail(F.col("t"), most)).collect()] == [t if t is None else sinks.tail(t, most) for t in texts]
+    results = spark.createDataFrame([("a.md", "p1", 0, False, ""), ("a.md", "p2", 3, False, "z" * 5000), ("a.md", "p3", 0, True, None), ("a.md", "p4", None, False, "lost"), ("gone.md", "p", 1, False, "")], "path string, probe string, exit int, timed_out boolean, detail string")
+    e = engine(spark, [("a.md", "x"), ("b.md", "y")], outside={"probe_results": results})
+    found = run(e, rule("probe", "{{.Probe}}:{{.Detail}}"))
+    assert sorted((f[1], f[3].split(":")[0], len(f[3])) for f in found) == [("a.md", "p2", 3 + 4096), ("a.md", "p3", 3), ("a.md", "p4", 7)]
+    record = sinks.run_record(None, {"t": {"exit": 0}}, {"t": "y" * 100_000})
+    assert 65_536 <= len(record) < 66_000
