@@ -11,14 +11,14 @@ ones, where one shared token says little but several by chance are rare.
 2. Each record gives its size, a fingerprint of its set and its prefix. Records with equal sets are
    one class; classes with equal prefix and size are one group, and only groups go on.
 3. The groups' prefixes are sent as packed arrays by token ranges. Within a token's list, sorted by
-   size, pairs pass if sizes and positions still allow ``need``. A token that the sketch finds in very
-   many records is spread over blocks of records, a task for each pair of blocks.
+   size, pairs pass if sizes and positions still allow ``need``. A token that very many prefixes have,
+   by a sketch of these, is spread over blocks of records, a task for each pair of blocks.
 4. Matches are added up per pair, again in packed arrays, and pairs with L matches remain.
 5. Groups are expanded to classes, and these verified by their whole sets.
 
 Postings and matches go to buckets, a task each, and within a bucket to parts. Spark sorts a bucket's
 packed rows by part, on disk if need be, and the task holds one part at a time. The numbers of both
-follow from the postings and from the sketch's estimate of matches; memory is bounded by a part.
+follow from the lengths of the lists as sketched; memory is bounded by a part.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ LARGE_SET, LARGE_L = 24, 4
 class Limits(NamedTuple):
     """Sizes of work; no result depends on them."""
 
-    #: A token in more records than this, by the sketch, is spread over blocks of about so many.
+    #: A token in more prefixes than this, by the sketch, is spread over blocks of about so many.
     hot_list: int = 5_000
     #: Matches are packed and sent on at this many, so a task's memory doesn't grow with its lists.
     flush_pairs: int = 400_000
@@ -194,14 +194,14 @@ def sketch(sets: DataFrame, tokens: Tokens, bits: int = SKETCH_BITS) -> np.ndarr
     return counts
 
 
-def expected(counts: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """About how many records have a token of each cell.
+def expected(counts: np.ndarray) -> np.ndarray:
+    """About how many records have a token of each cell, the most common one.
 
     Most tokens are rare, so the median cell tells what other tokens add to a cell by chance; a cell
     counts as far as it stands out from that by more than their spread.
     """
     chance = float(np.median(counts))
-    return np.maximum(counts[cells] - chance - 4 * chance**0.5, 1)
+    return np.maximum(counts - chance - 4 * chance**0.5, 1)
 
 
 # 2. Records, classes and groups.
@@ -215,11 +215,10 @@ def _up(x: np.ndarray | float) -> np.ndarray:
     return np.ceil(np.asarray(x) - 1e-9).astype(np.int64)
 
 
-def _records(tokens: Tokens, order, threshold: float, hot_list: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, payload, version) to (id, version, n, s1, s2, prefix_hash, prefix) and the postings and matches to expect."""
+def _records(tokens: Tokens, order, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, payload, version) to (id, version, n, s1, s2, prefix_hash, prefix)."""
     counts = order.value
     shift = _U(64 - (len(counts).bit_length() - 1))
-    likely = expected(counts, slice(None))
     for batch in _slices(batches, 1):
         sets = tokens(batch.column(1))
         at = np.flatnonzero([len(own) for own in sets])
@@ -232,22 +231,19 @@ def _records(tokens: Tokens, order, threshold: float, hot_list: int, batches: It
         rank = counts[(flat >> shift).astype(np.int64)]
         s1, s2 = np.add.reduceat(_mix(flat), first), np.add.reduceat(_mix(flat ^ _K[2]), first)
         length = np.minimum(n, n - _up(threshold * n) + _matches_wanted(n))
-        prefixes, prints, postings, matches = [], [], [], []
+        prefixes, prints = [], []
         for own, start, size, cut in zip(sets, first.tolist(), n.tolist(), length.tolist()):
             prefix = own[np.argsort(rank[start : start + size], kind="stable")[:cut]]
             prints.append(xxhash.xxh3_64_intdigest(prefix.tobytes()))
             prefixes.append((prefix >> _U(32)).astype(np.uint32).tobytes())
-            lists = likely[(prefix >> shift).astype(np.int64)]
-            postings.append(int(_blocks(lists, hot_list).sum()))
-            matches.append(int((lists - 1).sum() / 2))
         at = pa.array(at)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(2).take(at), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.array(prints, _U).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(postings, pa.int64()), pa.array(matches, pa.int64())],
-            names=["id", "version", "n", "s1", "s2", "prefix_hash", "prefix", "postings", "matches"],
+            [batch.column(0).take(at), batch.column(2).take(at), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.array(prints, _U).view(np.int64)), pa.array(prefixes, pa.binary())],
+            names=["id", "version", "n", "s1", "s2", "prefix_hash", "prefix"],
         )
 
 
-_RECORD = "id long, version long, n long, s1 long, s2 long, prefix_hash long, prefix binary, postings long, matches long"
+_RECORD = "id long, version long, n long, s1 long, s2 long, prefix_hash long, prefix binary"
 
 
 # 3. Postings and the pairs of a token's list.
@@ -303,9 +299,13 @@ def _parts(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[list[np.n
     pa.default_memory_pool().release_unused()  # the worker lives on
 
 
-def _postings(order, hot_list: int, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (id, n, prefix) to packed postings."""
-    blocks = _blocks(expected(order.value, slice(None)), hot_list).astype(np.int32)
+def _prefix_tokens(prefixes: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(p, np.uint32).astype(_U) << _U(32) for p in prefixes.to_pylist()]
+
+
+def _postings(lengths, hot_list: int, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (id, n, prefix) to packed postings; ``lengths``: how many prefixes have the tokens of each cell."""
+    blocks = _blocks(expected(lengths.value), hot_list).astype(np.int32)
     shift = 32 - (len(blocks).bit_length() - 1)
     for batch in batches:
         length = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4
@@ -464,7 +464,7 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     spark = sets.sparkSession
     sets = sets.where(F.col("id").isNotNull()).select("id", "payload", "version")
     order = spark.sparkContext.broadcast(sketch(sets.select("id", "payload"), tokens))
-    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold, limits.hot_list), _RECORD).withColumn("row", F.monotonically_increasing_id()), f"{name}-records")
+    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold), _RECORD).withColumn("row", F.monotonically_increasing_id()), f"{name}-records")
     # a version without tokens has no record and may be the last, so versions are compared before
     last = sets.groupBy("id").agg(F.max(F.coalesce("version", F.lit(-(1 << 62)))).alias("version"))
     oldest = F.lit(-(1 << 62))
@@ -483,12 +483,13 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     heads = grouped.where(F.col("class_id") == F.col("group_id")).select(F.col("class_id").alias("id"))
     picked = held.join(heads, "id", "left_semi").select("row")
     prefixes = records.select("row", "id", "n", "prefix").join(picked, "row", "left_semi").select("id", "n", "prefix")
-    # decimals, as the sums of estimates may be beyond a long
-    work = records.agg(*[F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)) for c in ("postings", "matches")]).first()
+    counts = sketch(records.select("id", "prefix"), _prefix_tokens)
+    lists, lengths = expected(counts), spark.sparkContext.broadcast(counts)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists, sums = _layout(int(work[0]), tasks, limits.bucket_postings, limits.part_postings), _layout(int(work[1]), tasks, limits.bucket_matches, limits.part_matches)
-    postings = prefixes.mapInArrow(partial(_postings, order, limits.hot_list, *lists), _PACKED).repartitionById(lists[0], "bucket").sortWithinPartitions("bucket", "part")
-    matches = postings.mapInArrow(partial(_lists, threshold, limits.flush_pairs, *sums), _PACKED).repartitionById(sums[0], "bucket").sortWithinPartitions("bucket", "part")
+    n_postings, n_matches = int((counts * _blocks(lists, limits.hot_list)).sum()), int((lists * (lists - 1) / 2).sum())
+    posted, summed = _layout(n_postings, tasks, limits.bucket_postings, limits.part_postings), _layout(n_matches, tasks, limits.bucket_matches, limits.part_matches)
+    postings = prefixes.mapInArrow(partial(_postings, lengths, limits.hot_list, *posted), _PACKED).repartitionById(posted[0], "bucket").sortWithinPartitions("bucket", "part")
+    matches = postings.mapInArrow(partial(_lists, threshold, limits.flush_pairs, *summed), _PACKED).repartitionById(summed[0], "bucket").sortWithinPartitions("bucket", "part")
     pairs = matches.mapInArrow(_candidates, "a long, b long")
     return members, _verified(sets, tokens, threshold, stage(pairs, f"{name}-pairs"), grouped, name)
 
