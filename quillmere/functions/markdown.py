@@ -55,6 +55,7 @@ class Frontmatter:
     values: dict[str, Any] = field(default_factory=dict)
     body: str = ""
     body_offset: int = 1
+    long_line: bool = False
 
 
 class Loader(yaml.SafeLoader):
@@ -83,11 +84,14 @@ Loader.add_constructor("tag:yaml.org,2002:timestamp", _timestamp)
 Loader.add_constructor("tag:yaml.org,2002:int", _integer)
 
 
-def parse_frontmatter(content: str) -> Frontmatter:
-    """Split a file. Unclosed or invalid frontmatter is an error with an empty body and offset 0."""
+def parse_frontmatter(content: str, max_line: int = MAX_LINE) -> Frontmatter:
+    """Split a file. Unclosed or invalid frontmatter is an error with an empty body and offset 0.
+
+    So is a line longer than ``max_line``, by default as long as a line scanner reads; with 0 none is.
+    """
     lines = content.split("\n")
-    if any(len(line) > MAX_LINE for line in lines):
-        return Frontmatter(True, True, {}, "", 0)
+    if max_line and any(len(line) > max_line for line in lines):
+        return Frontmatter(True, True, {}, "", 0, True)
     first = lines[0].removeprefix("\ufeff").strip()
     if first != "---":
         return Frontmatter(False, False, {}, content, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
+from quillmere.functions.markdown import MAX_LINE
 from quillmere.operators.copydiff import multiset_diff
 from quillmere.operators.facts import extract
 
@@ -40,10 +41,10 @@ def read(spark: SparkSession, root: str) -> DataFrame | None:
         return None
 
 
-def facts_with(cached: DataFrame, documents: DataFrame) -> DataFrame:
+def facts_with(cached: DataFrame, documents: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
     """Facts of all documents, extracted only where the cache has none that hold; pages that are gone drop out."""
     kept = valid(cached, documents)
-    fresh = extract(documents.join(kept.select("path"), "path", "left_anti"))
+    fresh = extract(documents.join(kept.select("path"), "path", "left_anti"), max_line)
     return kept.select(*fresh.columns).unionByName(fresh)
 
 

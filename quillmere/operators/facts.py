@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 import yaml
@@ -51,12 +52,12 @@ def _pin(values: dict, content: str) -> dict | None:
     return pin
 
 
-def page_facts(path: str, content: str, is_foreign: bool) -> dict:
+def page_facts(path: str, content: str, is_foreign: bool, max_line: int = M.MAX_LINE) -> dict:
     """One page's facts. Foreign pages have none."""
     empty = {"path": path, "links": [], "headings": [], "slices": [], "blocks": [], "chain": [], "hash_algo": "", "procedure_hash": "", "pin": None, "title": "", "repo_name": "", "is_repo": False, "tags": []}
     if is_foreign:
         return empty
-    fm = M.parse_frontmatter(content)
+    fm = M.parse_frontmatter(content, max_line)
     links, headings = M.body_facts(fm.body, fm.body_offset)
     slices = M.slices(content) if not fm.error else []
     lines = M.file_lines(content) if not fm.error else []
@@ -86,15 +87,15 @@ def page_facts(path: str, content: str, is_foreign: bool) -> dict:
     }
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(max_line: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [page_facts(p, c or "", bool(f)) for p, c, f in frame[["path", "content", "is_foreign"]].itertuples(index=False)]
+        rows = [page_facts(p, c or "", bool(f), max_line) for p, c, f in frame[["path", "content", "is_foreign"]].itertuples(index=False)]
         yield pd.DataFrame(rows, columns=["path", "links", "headings", "slices", "blocks", "chain", "hash_algo", "procedure_hash", "pin", "title", "repo_name", "is_repo", "tags"])
 
 
-def extract(documents: DataFrame) -> DataFrame:
+def extract(documents: DataFrame, max_line: int = M.MAX_LINE) -> DataFrame:
     """``FACTS`` of every document, in one pass over the content."""
-    return documents.select("path", "content", "is_foreign").mapInPandas(_extract, FACTS)
+    return documents.select("path", "content", "is_foreign").mapInPandas(partial(_extract, max_line), FACTS)
 
 
 @dataclass
@@ -104,8 +105,8 @@ class Facts:
     wide: DataFrame
 
     @classmethod
-    def of(cls, documents: DataFrame) -> Facts:
-        return cls(stage(extract(documents), "facts"))
+    def of(cls, documents: DataFrame, max_line: int = M.MAX_LINE) -> Facts:
+        return cls(stage(extract(documents, max_line), "facts"))
 
     def _rows(self, column: str, pos: str = "pos") -> DataFrame:
         return self.wide.select("path", F.posexplode(column).alias(pos, "x")).select("path", pos, "x.*")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
+from quillmere.functions.markdown import MAX_LINE
 from quillmere.functions.templates import column
 from quillmere.operators import cache, graph, reports, rewrites
 from quillmere.operators import links as link_operators
@@ -54,14 +55,15 @@ class Engine:
     extra_paths: DataFrame | None = None
     warnings: list[tuple[str, str]] = field(default_factory=list)
     cache_root: str | None = None
+    max_line: int = MAX_LINE
 
     def __post_init__(self) -> None:
-        self.documents = stage(corpus.scan(self.raw, self.skip, self.max_size, self.foreign_roots), "documents")
+        self.documents = stage(corpus.scan(self.raw, self.skip, self.max_size, self.foreign_roots, max_line=self.max_line), "documents")
         # the universe has no size limit and keeps foreign pages: they can be linked to
         universe = self.raw.select("path").where(~C.skipped(F.col("path"), self.skip))
         self.paths = universe.unionByName(self.extra_paths.select("path")).distinct() if self.extra_paths is not None else universe
         self.cached = cache.read(self.spark, self.cache_root) if self.cache_root else None
-        self.facts = Facts.of(self.documents) if self.cached is None else Facts(stage(cache.facts_with(self.cached, self.documents), "facts"))
+        self.facts = Facts.of(self.documents, self.max_line) if self.cached is None else Facts(stage(cache.facts_with(self.cached, self.documents, self.max_line), "facts"))
 
     def save_cache(self) -> None:
         """Keep the facts for the next run; pages that are gone drop out."""
@@ -123,6 +125,11 @@ class Engine:
     def skip_warnings(self) -> DataFrame:
         return corpus.skip_shadows(self.raw.select("path"), self.skip)
 
+    def unread(self) -> DataFrame:
+        """``(path, reason)`` of pages whose body and fields the checks don't see."""
+        reason = F.when(F.col("long_line"), F.lit(f"a line has more than {self.max_line} characters")).when(F.col("fm_error"), "frontmatter can't be read")
+        return self.documents.where("fm_error AND has_fm OR long_line").select("path", reason.alias("reason"))
+
     def domains(self) -> DataFrame:
         return reports.tag_counts(self.documents.select(F.explode("tags").alias("tag")))
 

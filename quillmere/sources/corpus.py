@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ SKIP = [".git", ".obsidian", "node_modules"]
 RAW = "path string, length long, mtime_ns long, content string"
 DOCUMENT = (
     "path string, length long, mtime_ns long, content string, has_fm boolean, fm_error boolean, fm string, fm_keys array<string>, fm_kinds map<string,string>, tags array<string>, body string, body_offset int,"
-    " lint_ignore array<string>, inline_suppress array<struct<line:int,rule_id:string>>, is_foreign boolean"
+    " lint_ignore array<string>, inline_suppress array<struct<line:int,rule_id:string>>, is_foreign boolean, long_line boolean"
 )
 
 
@@ -51,40 +52,41 @@ def paths(spark: SparkSession, root: str, skip: list[str] = SKIP) -> DataFrame:
     return df.select(relative.alias("path")).where((F.endswith("path", F.lit(".md")) | F.endswith("path", F.lit(".base"))) & ~C.skipped(F.col("path"), skip))
 
 
-def scan(raw: DataFrame, skip: list[str] = SKIP, max_size: int = 0, foreign_roots: list[str] = (), scope: str = ".") -> DataFrame:
+def scan(raw: DataFrame, skip: list[str] = SKIP, max_size: int = 0, foreign_roots: list[str] = (), scope: str = ".", max_line: int = M.MAX_LINE) -> DataFrame:
     """Documents: one row per page, parsed once.
 
     Pruned directories, pages over ``max_size`` and pages outside ``scope`` are left out before content
     is touched. Pages below a foreign root are kept and marked. Frontmatter values are JSON, with the
-    kind of each in ``fm_kinds``, so that null, missing and dated values differ.
+    kind of each in ``fm_kinds``, so that null, missing and dated values differ. A page with a line of
+    more than ``max_line`` characters (0: no limit) is kept without body and fields, and ``long_line`` tells.
     """
     path = F.col("path")
     kept = raw.where(F.endswith(path, F.lit(".md")) & ~C.skipped(path, skip) & C.in_scope(path, scope))
     if max_size:
         kept = kept.where(F.col("length") <= max_size)
-    parsed = kept.mapInPandas(_parse, DOCUMENT)
+    parsed = kept.mapInPandas(partial(_parse, max_line), DOCUMENT)
     foreign = F.lit(False)
     for root in foreign_roots:
         foreign = foreign | F.startswith(path, F.lit(root.rstrip("/") + "/"))
     return parsed.withColumn("is_foreign", foreign)
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(max_line: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for path, length, mtime_ns, content in frame[["path", "length", "mtime_ns", "content"]].itertuples(index=False):
             content = content or ""
-            fm = M.parse_frontmatter(content)
+            fm = M.parse_frontmatter(content, max_line)
             lines, whole = M.suppressions(fm.body, fm.body_offset)
             ignored = M.string_list(fm.values.get("lint-ignore")) + whole
             tags = M.string_list(fm.values["tags"], scalar=False) if isinstance(fm.values.get("tags"), list) else None
             rows.append(
                 (
                     path, length, mtime_ns, content, fm.present, fm.error, M.to_json(fm.values), list(fm.values), {k: M.yaml_kind(v) for k, v in fm.values.items()}, tags, fm.body, fm.body_offset, ignored,
-                    [{"line": n, "rule_id": r} for n, found in sorted(lines.items()) for r in sorted(found)], False,
+                    [{"line": n, "rule_id": r} for n, found in sorted(lines.items()) for r in sorted(found)], False, fm.long_line,
                 )
             )
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ["path", "length", "mtime_ns", "content", "has_fm", "fm_error", "fm", "fm_keys", "fm_kinds", "tags", "body", "body_offset", "lint_ignore", "inline_suppress", "is_foreign"]])
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ["path", "length", "mtime_ns", "content", "has_fm", "fm_error", "fm", "fm_keys", "fm_kinds", "tags", "body", "body_offset", "lint_ignore", "inline_suppress", "is_foreign", "long_line"]])
 
 
 def skip_shadows(universe: DataFrame, skip: list[str]) -> DataFrame:

@@ -393,3 +393,12 @@ def test_tails_and_probes(spark):
     assert sorted((f[1], f[3].split(":")[0], len(f[3])) for f in found) == [("a.md", "p2", 3 + 4096), ("a.md", "p3", 3), ("a.md", "p4", 7)]
     record = sinks.run_record(None, {"t": {"exit": 0}}, {"t": "y" * 100_000})
     assert 65_536 <= len(record) < 66_000
+
+
+def test_pages_with_long_lines_are_told(spark):
+    pages = [("a.md", FM.format("title: T") + "# H\n" + "x" * 500), ("b.md", "---\nx: [\n---\n"), ("c.md", "fine [[a]]")]
+    e = engine(spark, pages, max_line=100)
+    assert {(r.path, r.reason[:6]) for r in e.unread().collect()} == {("a.md", "a line"), ("b.md", "frontm")}
+    assert e.facts.headings.count() == 0
+    free = engine(spark, pages, max_line=0)
+    assert [r.path for r in free.unread().collect()] == ["b.md"] and free.facts.headings.count() == 1
