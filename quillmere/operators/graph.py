@@ -109,26 +109,32 @@ def compose(roots: DataFrame, facts: Facts, paths: DataFrame, max_nodes: int = M
     return rows.groupBy("root_path", "root_anchor").applyInPandas(run, "root_path string, root_anchor string, hash string, cause string")
 
 
+#: Levels that an acyclic graph of pages may have.
+MOST_LEVELS = 10_000
+
+
 def compose_levels(leaves: DataFrame, tree: DataFrame) -> DataFrame:
     """``(node, hash)`` of all nodes of an acyclic graph, each hashed once: leaves first, then what holds only hashed ones.
 
-    ``leaves``: (node, leaf) with hex digests; ``tree``: (node, pos, child). As many rounds as the graph is deep.
+    ``leaves``: (node, leaf) with hex digests; ``tree``: (node, pos, child). As many rounds as the graph
+    is deep, each over the edges whose child had no hash before it and over those of nodes that wait for
+    others; an edge whose child has one isn't joined again. Nodes on or above a cycle get none.
     """
-    empty = tree.select("node").distinct()
-    done = stage(leaves.join(empty, "node", "left_anti").select("node", F.sha2(F.unhex("leaf"), 256).alias("hash")), "merkle-0")
-    rest = stage(tree, "merkle-edges")
-    for level in range(1, 10_000):
-        known = rest.join(done.withColumnRenamed("node", "child"), "child", "left")
-        ready = known.groupBy("node").agg(F.min(F.col("hash").isNotNull()).alias("ok"), F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("kids")).where("ok")
-        ready = ready.join(done.select("node"), "node", "left_anti").join(leaves, "node")
-        new = stage(ready.select("node", F.sha2(F.unhex(F.concat("leaf", F.array_join(F.transform("kids", lambda k: k["hash"]), ""))), 256).alias("hash")), f"merkle-{level}")
+    degrees = stage(tree.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "merkle-degrees")
+    new = stage(leaves.join(degrees, "node", "left_anti").select("node", F.sha2(F.unhex("leaf"), 256).alias("hash")), "merkle-0")
+    done, held, pending = new, stage(tree.select("node", "pos", "child", F.lit(None).cast("string").alias("hash")), "merkle-edges"), None
+    for level in range(1, MOST_LEVELS):
+        joined = stage(held.where("hash IS NULL").drop("hash").join(new.withColumnRenamed("node", "child"), "child", "left"), f"merkle-edges-{level}")
+        unstage(held)
+        held, got = joined, joined.where("hash IS NOT NULL").select("node", "pos", "hash")
+        pending = got if pending is None else pending.unionByName(got)
+        whole = pending.groupBy("node").agg(F.count(F.lit(1)).alias("got"), F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("kids")).join(degrees, "node").where("got = n").join(leaves, "node")
+        new = stage(whole.select("node", F.sha2(F.unhex(F.concat("leaf", F.array_join(F.transform("kids", lambda k: k["hash"]), ""))), 256).alias("hash")), f"merkle-{level}")
         if not new.head(1):
-            break
+            return done
         done = done.unionByName(new)
-        rest = rest.join(new, "node", "left_anti")
-    else:
-        raise RuntimeError("the graph is deeper than it may be")
-    return done
+        pending = stage(pending.join(new.select("node"), "node", "left_anti"), f"merkle-pending-{level}")
+    raise RuntimeError("the graph is deeper than it may be")
 
 
 def blurbs(path: Column) -> Column:

@@ -162,7 +162,9 @@ def uncataloged(uses: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def overlaps(rules: DataFrame) -> DataFrame:
-    """Pairs of rules that one page could meet, by ``pos``: ``(rule_a, rule_b)``; ``rules``: (pos, id, glob, tags).
+    """Pairs of a pack's rules that one page could meet, by ``pos``: ``(rule_a, rule_b)``; ``rules``: (pos, id, glob, tags).
+
+    As many rows as there are pairs, so for packs as people write them; ``overlap_classes`` takes any number.
 
     Globs with different literal first directories can't meet; tags always can. Rules of one first
     directory are joined by it, those without one with all others.

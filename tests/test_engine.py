@@ -402,3 +402,19 @@ def test_pages_with_long_lines_are_told(spark):
     assert e.facts.headings.count() == 0
     free = engine(spark, pages, max_line=0)
     assert [r.path for r in free.unread().collect()] == ["b.md"] and free.facts.headings.count() == 1
+
+
+def test_levels_of_hashes_equal_recursion(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    kids = {n: [rng.randrange(n) for _ in range(rng.randrange(4))] for n in range(1, 40)} | {0: [], 50: [51], 51: [50, 1], 52: [51], 60: [99]}
+    leaf = {n: hashlib.sha256(str(n).encode()).hexdigest() for n in kids}
+
+    def digest(n):
+        return hashlib.sha256(bytes.fromhex(leaf[n]) + b"".join(bytes.fromhex(digest(k)) for k in kids[n])).hexdigest()
+
+    tree = [(n, pos, k) for n, below in kids.items() for pos, k in enumerate(below)]
+    got = graph.compose_levels(spark.createDataFrame(list(leaf.items()), "node long, leaf string"), spark.createDataFrame(tree, "node long, pos long, child long"))
+    assert {r.node: r.hash for r in got.collect()} == {n: digest(n) for n in range(40)}
