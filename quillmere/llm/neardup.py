@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.operators.graph import connected
-from quillmere.session import stage
+from quillmere.session import stage, unstage
 
 SKETCH_BITS = 20
 SKETCH_RANGES = 16
@@ -275,11 +275,15 @@ def _blocks(lists: np.ndarray, hot_list: int) -> np.ndarray:
 
 
 def _cut(columns: list[np.ndarray], where: np.ndarray, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows of arrays, in an order that their parts keep, to packed rows by bucket and part, as their hash ``where`` says."""
+    """Rows of arrays to packed rows by bucket and part, as their hash ``where`` says.
+
+    Rows rise by the first column, and parts keep the order; it is packed as differences.
+    """
     slot = (where % _U(buckets * parts)).astype(np.int64)
     by = np.argsort(slot, kind="stable")
     slots, first = np.unique(slot[by], return_index=True)
-    blobs = [_pack([c[by[a:b]] for c in columns]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)])]
+    rising, *others = (c[by] for c in columns)
+    blobs = [_pack([np.diff(rising[a:b], prepend=rising.dtype.type(0)), *(c[a:b] for c in others)]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)])]
     yield pa.RecordBatch.from_arrays([pa.array(slots // parts, pa.int32()), pa.array(slots % parts, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "part", "blob"])
 
 
@@ -293,7 +297,8 @@ def _parts(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[list[np.n
                 yield [np.concatenate(c) for c in zip(*held)]
                 held = []
             now = place
-            held.append(_unpack(batch.column(2)[at].as_buffer(), types))
+            rising, *others = _unpack(batch.column(2)[at].as_buffer(), types)
+            held.append([np.cumsum(rising, dtype=rising.dtype), *others])
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
     pa.default_memory_pool().release_unused()  # the worker lives on
@@ -491,7 +496,9 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     postings = prefixes.mapInArrow(partial(_postings, lengths, limits.hot_list, *posted), _PACKED).repartitionById(posted[0], "bucket").sortWithinPartitions("bucket", "part")
     matches = postings.mapInArrow(partial(_lists, threshold, limits.flush_pairs, *summed), _PACKED).repartitionById(summed[0], "bucket").sortWithinPartitions("bucket", "part")
     pairs = matches.mapInArrow(_candidates, "a long, b long")
-    return members, _verified(sets, tokens, threshold, stage(pairs, f"{name}-pairs"), grouped, name)
+    pairs = stage(pairs, f"{name}-pairs")
+    unstage(records)  # held has what is still needed of them
+    return members, _verified(sets, tokens, threshold, pairs, grouped, name)
 
 
 def _verified(sets: DataFrame, tokens: Tokens, threshold: float, pairs: DataFrame, grouped: DataFrame, name: str) -> DataFrame:
@@ -500,6 +507,7 @@ def _verified(sets: DataFrame, tokens: Tokens, threshold: float, pairs: DataFram
     within = side("x", "g").join(side("y", "g"), "g").where(F.col("x") < F.col("y")).select("x", "y")
     both = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     both = stage(both, f"{name}-candidates")
+    unstage(pairs)
     wanted = both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct()
     newest = F.max_by("payload", F.coalesce("version", F.lit(-(1 << 62)))).alias("payload")
     whole = sets.join(wanted, "id", "left_semi").groupBy("id").agg(newest).mapInArrow(partial(_whole_sets, tokens), "id long, tokens binary")
