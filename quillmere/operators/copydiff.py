@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from quillmere.session import stage
 
-#: Rows in the rolling window, and the mask a hash must miss for its row to end a chunk: 1 of 64.
+#: Rows in the rolling window, and the mask a hash must miss for its row to end a chunk: 1 of 8. A fingerprint costs a
+#: few bytes and spares a chunk's rows, so that chunks pay that hold no change even where one row of ten has changed.
 WINDOW = 4
-MASK = np.uint64(63)
+MASK = np.uint64(7)
+#: The most fingerprints that are broadcast, of 16 bytes each; more are joined.
+BROADCAST_PRINTS = 1 << 20
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -37,31 +40,36 @@ class _Chunker:
 
     def __init__(self) -> None:
         self.recent = np.zeros(WINDOW - 1, np.uint64)
-        self.held: list[pa.RecordBatch] = []
+        self.held: list[tuple[pa.RecordBatch, np.ndarray]] = []
 
     def add(self, batch: pa.RecordBatch, digest: np.ndarray) -> Iterator[pa.RecordBatch]:
         run = np.concatenate([self.recent, digest])
         rolling = np.zeros(len(digest), np.uint64)
         for i in range(WINDOW):
             rolling = rolling * _MIX[0] + run[i : i + len(digest)]
-        ends = (np.flatnonzero((_mix(rolling, 1) & MASK) == 0) + 1).tolist()
+        ends = np.flatnonzero((_mix(rolling, 1) & MASK) == 0) + 1
         self.recent = run[len(run) - (WINDOW - 1) :]
-        start = 0
-        for end in ends:
-            self.held.append(batch.slice(start, end - start))
-            yield from self.close()
-            start = end
-        if start < batch.num_rows:
-            self.held.append(batch.slice(start))
-
-    def close(self) -> Iterator[pa.RecordBatch]:
+        last = int(ends[-1]) if len(ends) else 0
+        if last:
+            before = sum(len(d) for _, d in self.held)
+            self.held.append((batch.slice(0, last), digest[:last]))
+            yield from self.close(before + ends[:-1])
+        if last < batch.num_rows:
+            self.held.append((batch.slice(last), digest[last:]))
+
+    def close(self, cuts: np.ndarray = np.zeros(0, np.int64)) -> Iterator[pa.RecordBatch]:
+        """The held rows with the fingerprints of their chunks, which end at ``cuts`` and the last row."""
         if not self.held:
             return
-        digest = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in self.held]).view(np.uint64)
-        low, high = (int(np.add.reduce(_mix(digest, k))) for k in (0, 2))
-        for batch in self.held:
-            mark = [pa.array(np.full(batch.num_rows, np.uint64(v)).view(np.int64)) for v in (low, high)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *mark], names=[*batch.schema.names, "__low", "__high"])
+        digest = np.concatenate([d for _, d in self.held])
+        starts = np.concatenate([[0], cuts]).astype(np.int64)
+        sizes = np.diff(np.append(starts, len(digest)))
+        low, high = (np.repeat(np.add.reduceat(_mix(digest, k), starts), sizes).view(np.int64) for k in (0, 2))
+        at = 0
+        for batch, own in self.held:
+            marks = [pa.array(x[at : at + len(own)]) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, "__low", "__high"])
+            at += len(own)
         self.held = []
 
 
@@ -106,7 +114,8 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str],
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields)
     rows = stage(laid.mapInArrow(_chunks, f"{schema}, __low bigint, __high bigint"), "chunks")
     prints = rows.groupBy("__low", "__high").agg(F.max("__side").alias("last"), F.min("__side").alias("first"))
-    unmatched = prints.where(F.col("last") == F.col("first")).select("__low", "__high")
+    unmatched = stage(prints.where(F.col("last") == F.col("first")).select("__low", "__high"), "unmatched")
+    unmatched = F.broadcast(unmatched) if unmatched.count() <= BROADCAST_PRINTS else unmatched.hint("merge")
     left_rows, right_rows = (rows.where(F.col("__side") == s).join(unmatched, ["__low", "__high"], "left_semi") for s in (0, 1))
     pair = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     joined = left_rows.alias("a").join(right_rows.alias("b"), pair, "full")
