@@ -57,6 +57,8 @@ class Limits(NamedTuple):
 
 
 MOST_BUCKETS, MOST_PARTS = 100_000, 256
+#: The most ids that are broadcast, of 8 bytes each; more are joined.
+BROADCAST_IDS = 1 << 20
 #: Bytes of payloads, and prefix tokens, that are worked on at once.
 SLICE_BYTES, SLICE_POSTINGS = 4 << 20, 200_000
 
@@ -487,7 +489,11 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     grouped = stage(classes.join(groups, ["n", "prefix_hash"]).select("class_id", "group_id"), f"{name}-groups")
     heads = grouped.where(F.col("class_id") == F.col("group_id")).select(F.col("class_id").alias("id"))
     picked = held.join(heads, "id", "left_semi").select("row")
-    prefixes = records.select("row", "id", "n", "prefix").join(picked, "row", "left_semi").select("id", "n", "prefix")
+    # most records go on, so those that don't are few and no prefix has to be moved for them
+    others = stage(records.select("row").join(picked, "row", "left_anti"), f"{name}-others")
+    rows = records.select("row", "id", "n", "prefix")
+    kept = rows.join(F.broadcast(others), "row", "left_anti") if others.count() <= BROADCAST_IDS else rows.join(picked, "row", "left_semi")
+    prefixes = kept.select("id", "n", "prefix")
     counts = sketch(records.select("id", "prefix"), _prefix_tokens)
     lists, lengths = expected(counts), spark.sparkContext.broadcast(counts)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -508,7 +514,8 @@ def _verified(sets: DataFrame, tokens: Tokens, threshold: float, pairs: DataFram
     both = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     both = stage(both, f"{name}-candidates")
     unstage(pairs)
-    wanted = both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct()
+    wanted = stage(both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct(), f"{name}-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     newest = F.max_by("payload", F.coalesce("version", F.lit(-(1 << 62)))).alias("payload")
     whole = sets.join(wanted, "id", "left_semi").groupBy("id").agg(newest).mapInArrow(partial(_whole_sets, tokens), "id long, tokens binary")
     whole = stage(whole, f"{name}-whole")
