@@ -486,7 +486,8 @@ def train(texts: list[str], known_names: list[tuple[str, str]], words: dict[str,
     if len(scores["given"]) and len(scores["family"]):
         pairs = scores["given"][:, None] + scores["family"][None, :]
         names.floors = {"family": float(scores["family"].min()) - 0.3, "both": float(np.quantile(pairs, 0.002))}
-    first = [s for text in texts for s in people(text, names, known)]
+    proposed = [list(people(text, names, known)) for text in texts]
+    first = [s for found in proposed for s in found]
     common_pairs, other_pairs = (Counter(w for s in first if s.words[3] == flag for w in s.words[2]) for flag in (True, False))
     names.beside = {w: (n, other_pairs[w]) for w, n in common_pairs.most_common(MOST_WORDS)}
     for side, at in ((names.before, 0), (names.after, 1)):
@@ -496,7 +497,7 @@ def train(texts: list[str], known_names: list[tuple[str, str]], words: dict[str,
             if seen[0][w] + seen[1][w] >= 3:
                 side[w] = math.log((seen[1][w] + 1) / totals[1]) - math.log((seen[0][w] + 1) / totals[0])
     spans: dict[str, list[Span]] = {k: [] for k in KINDS}
-    for text, start, end in _renamed(texts, names, known, known_names[:MOST_NAMES]):
+    for text, start, end in _renamed(texts, proposed, known_names[:MOST_NAMES]):
         for span in _longest(list(people(text, names, known))):
             if (span.start, span.end) == (start, end):
                 span.strict = 1
@@ -526,7 +527,7 @@ def _longest(spans: list[Span]) -> list[Span]:
     return spans
 
 
-def _renamed(texts: list[str], names: Names, known: dict[str, set[str]], listed: list[tuple[str, str]], most: int = 3_000, seed: int = 11) -> Iterator[tuple[str, int, int]]:
+def _renamed(texts: list[str], proposed: list[list[Span]], listed: list[tuple[str, str]], most: int = 3_000, seed: int = 11) -> Iterator[tuple[str, int, int]]:
     """Known names in every form a name can have, put where sure names stand, and as many where other capitalised words do.
 
     The latter keep the models from taking surroundings in which the sample has no known name as a sign against one.
@@ -536,8 +537,8 @@ def _renamed(texts: list[str], names: Names, known: dict[str, set[str]], listed:
     if not givens or not families:
         return
     places: dict[int, list[tuple[str, str]]] = {0: [], 1: []}
-    for text in texts:
-        for s in _longest(list(people(text, names, known))):
+    for text, found in zip(texts, proposed):
+        for s in _longest(found):
             if s.strict == 1 or (s.strict == 0 and s.alone):
                 places[s.strict].append((text[max(0, s.start - 60) : s.start], text[s.end : s.end + 40]))
     drawn = [p for label in (0, 1) for p in rng.sample(places[label], min(most // 2, len(places[label])))]
