@@ -120,7 +120,8 @@ def partition_rollup_age(spark, d):
 
 _KNOWN = f"(SELECT {_KEY} AS k FROM paths UNION SELECT {_STEM} FROM paths UNION SELECT lower(regexp_replace(path, '/[^/]*$', '')) FROM paths WHERE {_STEM} = 'index')"
 _BROKEN = f"lower(target) NOT IN (SELECT k FROM full_keys) AND {_BASE.format('lower(target)')} NOT IN (SELECT k FROM stems)"
-_INDEX = f"full_keys AS (SELECT {_KEY} AS k FROM paths UNION SELECT lower(regexp_replace(path, '/[^/]*$', '')) FROM paths WHERE {_STEM} = 'index' AND contains(path, '/')), stems AS (SELECT DISTINCT {_STEM} AS k FROM paths)"
+_FULL_KEYS = f"full_keys AS (SELECT {_KEY} AS k FROM paths UNION SELECT lower(regexp_replace(path, '/[^/]*$', '')) FROM paths WHERE {_STEM} = 'index' AND contains(path, '/'))"
+_INDEX = f"{_FULL_KEYS}, stems AS (SELECT DISTINCT {_STEM} AS k FROM paths)"
 
 
 @query(f"WITH {_PATHS}, {_LINKS}, {_INDEX} SELECT link_id, target, 'BROKEN' AS type FROM links WHERE target <> '' AND NOT starts_with(lower(target), 'sources/') AND {_BROKEN}")
@@ -451,13 +452,41 @@ RULES = [
 ]
 
 
-@query()
+_LINKED = "SELECT path, coalesce(body, '') || coalesce(chr(10) || (SELECT string_agg(original, chr(10) ORDER BY link_id) FROM (SELECT DISTINCT link_id, page_path, original FROM page_links WHERE original IS NOT NULL) l WHERE l.page_path = p.path), '') AS body FROM pages p WHERE path IS NOT NULL"
+_NONE = "'<no value>'"
+_LINK = "'\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]'"
+
+
+@query(
+    f"""WITH RECURSIVE {_PAGES}, {_PATHS}, {_outside_fences(_LINKED)}, {_HEADS},
+found_links AS (SELECT path, line, unnest(m) AS raw, unnest(generate_series(1, len(m))) AS k FROM (SELECT path, line, regexp_extract_all(regexp_replace(text, '`[^`]+`', '', 'g'), {_LINK}, 1) AS m FROM plain)),
+links AS (SELECT path AS page, line, row_number() OVER (PARTITION BY path ORDER BY line, k) - 1 AS pos, regexp_replace(regexp_replace(split_part(trim(raw), '#', 1), '\\\\+$', ''), '/+$', '') AS target FROM found_links),
+{_FULL_KEYS}, {_RESOLVE}, {_SHORT},
+quoted AS (SELECT path, line, unnest(m) AS match, unnest(generate_series(1, len(m))) AS k FROM (SELECT path, line, flatten(list_transform(regexp_extract_all(text, '`[^`]+`'), lambda c: regexp_extract_all(c, {_LINK}))) AS m FROM plain)),
+trows AS (SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS run FROM lines WHERE starts_with(trim(text, ' ' || chr(9) || chr(13)), '|')),
+tables AS (SELECT *, count(*) OVER (PARTITION BY path, run) AS size FROM trows),
+piped AS (SELECT path, line, array_to_string(regexp_extract_all(text, '\\[\\[[^\\]\\\\]+\\|[^\\]]+\\]\\]'), ', ') AS found FROM tables WHERE size >= 2 AND NOT regexp_matches(text, '^\\s*\\|[\\s:]*-{{3,}}[\\s:]*\\|')),
+seen AS (SELECT *, max(level) OVER w AS deepest, count(*) FILTER (level = 1) OVER w AS h1 FROM heads WINDOW w AS (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+out AS (
+  SELECT 'broken-wikilink' AS rule_id, page AS path, line, target || {_NONE} || {_NONE} || {_NONE} AS message, pos AS seq FROM links WHERE target <> '' AND NOT starts_with(lower(target), 'sources/') AND NOT starts_with(lower(target), 'http') AND {_BROKEN}
+  UNION ALL SELECT 'ambiguous-wikilink', page, line, target || {_NONE} || {_NONE} || {_NONE}, pos FROM links JOIN (SELECT {_STEM} AS k FROM paths GROUP BY 1 HAVING count(*) > 1) ON k = lower(target) WHERE target <> '' AND NOT contains(target, '/')
+  UNION ALL SELECT 'wikilink-canonicalize', page, line, target || {_NONE} || {_NONE} || {_NONE}, pos FROM links JOIN found USING (target) JOIN short ON path = resolved WHERE canonical <> target
+  UNION ALL SELECT 'backticked-wikilink', path, line, {_NONE} || match || {_NONE} || {_NONE}, row_number() OVER (PARTITION BY path ORDER BY line, k) - 1 FROM quoted
+  UNION ALL SELECT 'table-wikilink-pipe', path, line, {_NONE} || {_NONE} || {_NONE} || found, row_number() OVER (PARTITION BY path ORDER BY line) - 1 FROM piped WHERE found <> ''
+  UNION ALL SELECT 'heading-structure', path, line, {_NONE} || {_NONE} || 'multiple H1' || {_NONE}, 0 FROM seen WHERE level = 1 AND h1 > 0
+  UNION ALL SELECT 'heading-structure', path, line, {_NONE} || {_NONE} || 'skipped level: expected H' || (deepest + 1) || ', got H' || level || {_NONE}, 1 FROM seen WHERE level > deepest + 1
+  UNION ALL SELECT 'pattern', path, 0, {_NONE} || {_NONE} || {_NONE} || {_NONE}, 0 FROM src WHERE NOT regexp_matches({_BASE.format('path')}, '^[a-z0-9-]+\\.md$'))
+SELECT rule_id, 'warn' AS severity, path AS file_path, CAST(line AS INTEGER) AS line, message, CAST(seq AS INTEGER) AS seq FROM out"""
+)
 def engine_check(spark, d):
-    """A pack of rules over the wiki's pages as a corpus, end to end."""
+    """A pack of rules over the wiki's pages as a corpus, end to end; the pages' links from the fact table stand below their bodies."""
     from quillmere.plans.engine import Engine
     from quillmere.sources.rules import Rule
 
-    engine = Engine(spark, _corpus(spark, d), extra_paths=table(spark, d, "repo_pages").select("path"))
+    given = table(spark, d, "page_links").where("original IS NOT NULL").select("link_id", F.col("page_path").alias("path"), "original").distinct()
+    below = given.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("link_id", "original"))), lambda x: x["original"]), "\n").alias("below"))
+    rows = pages(spark, d).join(below, "path", "left").withColumn("body", F.concat(F.coalesce("body", F.lit("")), F.coalesce(F.concat(F.lit("\n"), "below"), F.lit(""))))
+    engine = Engine(spark, corpus_of(rows), extra_paths=table(spark, d, "repo_pages").select("path"))
     rules = [Rule(name, name, "warn", ["**"], params, "{{.Target}}{{.Match}}{{.Issue}}{{.Wikilinks}}") for name, params in RULES]
     return engine.check(rules).drop("column")
 
