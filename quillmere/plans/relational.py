@@ -447,6 +447,26 @@ def fact_body_hash(spark, d):
     return Facts(extract(_documents(spark, d))).slices.where("anchor = ''").select("path", "slice_hash")
 
 
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n{{2,}}', chr(10)), '\\n+$', '') || chr(10)"
+
+
+@query(
+    f"""WITH RECURSIVE {_PAGES}, lines AS (SELECT path, i AS line, regexp_replace(l[i], '\\r$', '') AS t FROM (SELECT path, string_split(coalesce(body, ''), chr(10)) AS l FROM pages WHERE path IS NOT NULL), unnest(generate_series(1, len(l))) AS s(i)),
+marks AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY line) AS k, regexp_extract(t, '^(`{{3,}}|~{{3,}})', 1) AS run, trim(regexp_extract(t, '^(?:`{{3,}}|~{{3,}})(.*)$', 1), ' ' || chr(9)) AS rest FROM lines WHERE regexp_matches(t, '^(```|~~~)')),
+states AS (SELECT DISTINCT path, CAST(0 AS BIGINT) AS k, '' AS open FROM marks UNION ALL SELECT s.path, m.k, CASE WHEN open = '' THEN run WHEN left(run, 1) = left(open, 1) AND strlen(run) >= strlen(open) AND rest = '' THEN '' ELSE open END FROM states s JOIN marks m ON m.path = s.path AND m.k = s.k + 1),
+counted AS (SELECT *, count(*) FILTER (regexp_matches(t, '^(```|~~~)')) OVER (PARTITION BY path ORDER BY line) AS k FROM lines),
+heads AS (SELECT c.path, c.line, strlen(regexp_extract(c.t, '^#+')) AS level, regexp_extract(c.t, '^#{{1,6}}\\s+(.*?)\\s*$', 1) AS anchor FROM counted c LEFT JOIN states s ON s.path = c.path AND s.k = c.k WHERE coalesce(open, '') = '' AND regexp_matches(c.t, '^#{{1,6}}\\s+')),
+ends AS (SELECT h.path, h.anchor, h.line, coalesce((SELECT min(o.line) FROM heads o WHERE o.path = h.path AND o.line > h.line AND o.level <= h.level), (SELECT max(x.line) + 1 FROM lines x WHERE x.path = h.path)) AS until FROM heads h QUALIFY row_number() OVER (PARTITION BY h.path, h.anchor ORDER BY h.line) = 1),
+texts AS (SELECT e.path, e.anchor, e.line, e.until, string_agg(x.t, chr(10) ORDER BY x.line) || chr(10) AS body FROM ends e JOIN lines x ON x.path = e.path AND x.line >= e.line AND x.line < e.until GROUP BY ALL)
+SELECT path, anchor, CAST(line AS INTEGER) AS start_line, CAST(until AS INTEGER) AS end_line, sha256({_NORMAL.format('body')}) AS slice_hash FROM texts"""
+)
+def fact_sections(spark, d):
+    """Sections of all pages by the slice grammar: the first of equal headings, its lines and the hash of its text in normal form."""
+    from quillmere.operators.facts import Facts, extract
+
+    return Facts(extract(_documents(spark, d))).slices.where("kind = 'section'").select("path", "anchor", "start_line", "end_line", "slice_hash")
+
+
 RULES = [
     ("backticked-wikilink", {}), ("table-wikilink-pipe", {}), ("heading-structure", {}), ("wiki-navlink", {}), ("broken-wikilink", {"skip-prefixes": ["http", "sources/"]}), ("ambiguous-wikilink", {}), ("wikilink-canonicalize", {}), ("pattern", {"target": "filename", "match": "^[a-z0-9-]+\\.md$"}),
 ]
