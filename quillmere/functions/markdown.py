@@ -14,6 +14,7 @@ import datetime
 import hashlib
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
@@ -302,16 +303,22 @@ def slices(content: str) -> list[Slice]:
     last = lines[-1].number + 1
     out = [Slice("", "body", lines[0].number, last, "".join(line.text + "\n" for line in lines))]
     heads = [(i, len(m.group(1)), m.group(2)) for i, line in enumerate(lines) if not line.fenced and (m := HEADING_AT_0.match(line.text))]
+    ends, later = {}, []  # headings that follow, each of a higher level than those after it
+    for i, level, _ in reversed(heads):
+        while later and later[-1][1] > level:
+            later.pop()
+        ends[i] = later[-1][0] if later else len(lines)
+        later.append((i, level))
     seen = set()
-    for k, (i, level, text) in enumerate(heads):
+    for i, _, text in heads:
         if text not in seen:
             seen.add(text)
-            end = next((j for j, other, _ in heads[k + 1 :] if other <= level), len(lines))
+            end = ends[i]
             out.append(Slice(text, "section", lines[i].number, lines[end].number if end < len(lines) else last, "".join(line.text + "\n" for line in lines[i:end])))
     marks = block_ids(lines)
-    names = [m[0] for m in marks]
+    names = Counter(m[0] for m in marks)
     for name, at, inline in marks:
-        if names.count(name) == 1 and (block := find_block(lines, at, inline, name)):
+        if names[name] == 1 and (block := find_block(lines, at, inline, name)):
             out.append(block)
     return out
 

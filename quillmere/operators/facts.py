@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -62,19 +63,19 @@ def page_facts(path: str, content: str, is_foreign: bool, max_line: int = M.MAX_
     slices = M.slices(content) if not fm.error else []
     lines = M.file_lines(content) if not fm.error else []
     marks = M.block_ids(lines)
-    names = [m[0] for m in marks]
+    names = Counter(m[0] for m in marks)
     blocks, chain, algo, procedure = [], [], "", ""
     for name, at, inline in marks:
         block = M.find_block(lines, at, inline, name)
         if block is None:
             continue
-        blocks.append({"id": name, "fence": block.fence, "lang": block.lang, "code": block.code, "text": block.text, "n_declared": names.count(name)})
-        if names.count(name) == 1 and name == "inputs" and block.fence:
+        blocks.append({"id": name, "fence": block.fence, "lang": block.lang, "code": block.code, "text": block.text, "n_declared": names[name]})
+        if names[name] == 1 and name == "inputs" and block.fence:
             items, algo = M.chain_block(block)
             for item in items:
                 inner = M.bare_ref(item.ref)
                 chain.append({"ref": item.ref, "target": M.link_target(inner), "anchor": M.link_fragment(inner), "hash": item.hash, "line": item.line})
-        if names.count(name) == 1 and name == "receipt":
+        if names[name] == 1 and name == "receipt":
             for line in (block.code or block.text).split("\n"):
                 if line.startswith("procedure-hash:"):
                     value = line.split(":", 1)[1].strip()

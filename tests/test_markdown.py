@@ -128,3 +128,23 @@ def test_random_bodies_agree_with_a_plain_reader():
             if not fence:
                 expected += [(n, t.split("#")[0].strip()) for t in re.findall(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", re.sub("`[^`]+`", "", line))]
         assert [(x["line"], x["target"]) for x in M.body_facts(body, 1)[0]] == expected
+
+
+def test_slices_take_time_in_proportion():
+    import time
+
+    text = "".join(f"{'#' * (1 + i % 6)} h{i}\n\nx ^b{i}\n\n" for i in range(20_000))
+    began = time.process_time()
+    found = M.slices(text)
+    assert time.process_time() - began < 10 and len(found) == 40_001
+
+
+def test_section_ends_equal_a_walk():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(40):
+        levels = [rng.randrange(1, 5) for _ in range(rng.randrange(12))]
+        lines = [x for i, n in enumerate(levels) for x in ("#" * n + f" t{i}", "words")]
+        want = [(f"t{i}", 2 * i + 1, next((2 * j + 1 for j in range(i + 1, len(levels)) if levels[j] <= n), 2 * len(levels) + 1)) for i, n in enumerate(levels)]
+        assert [(s.anchor, s.start, s.end) for s in M.slices("\n".join(lines)) if s.kind == "section"] == want
