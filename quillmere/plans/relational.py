@@ -203,9 +203,9 @@ def hex_echo(spark, d):
     return tokens.where(F.exists(F.array(F.col("v"), F.substring("v", 1, 1)), lambda n: C.hex_echoes(n, F.col("t")))).select("doc_id", F.col("t").alias("token")).distinct()
 
 
-@query("SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text))) || chr(0)::BLOB || encode(text)) AS sha FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(0))")
+@query("SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text))) || chr(0)::BLOB || encode(text)) AS sha FROM documents WHERE text IS NOT NULL")
 def blob_sha(spark, d):
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.decode(F.unhex(F.lit("00")), "UTF-8"))).select("doc_id", C.blob_sha(F.col("text")).alias("sha"))
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", C.blob_sha(F.col("text")).alias("sha"))
 
 
 @query(f"WITH {_PATHS} SELECT CAST('0x' || left(sha256(path), 2) AS INTEGER) AS shard, count(*) AS n FROM paths GROUP BY 1")
