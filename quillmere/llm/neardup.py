@@ -13,7 +13,11 @@ ones, where one shared token says little but several by chance are rare.
 3. The groups' prefixes are sent as packed arrays by token ranges. Within a token's list, sorted by
    size, pairs pass if sizes and positions still allow ``need``. A token that very many prefixes have,
    by a sketch of these, is spread over blocks of records, a task for each pair of blocks.
-4. Matches are added up per pair, again in packed arrays, and pairs with L matches remain.
+   Lists of single tokens grow with the table, and the pairs by chance in them with its square. Where these
+   would outnumber the work, large sets are listed by two tokens at once: tokens are in PAIR_GROUPS groups by
+   hash, and sets that share L = PAIR_GROUPS + LARGE_L tokens share LARGE_L pairs of tokens of one group, as
+   g shared tokens of a group make g - 1 pairs or more.
+4. Matches are added up per pair, again in packed arrays, and pairs with L matches, of tokens or of pairs, remain.
 5. Groups are expanded to classes, and these verified by their whole sets.
 
 Postings and matches go to buckets, a task each, and within a bucket to parts. Spark sorts a bucket's
@@ -40,6 +44,11 @@ from quillmere.session import stage, unstage
 SKETCH_BITS = 20
 SKETCH_RANGES = 16
 LARGE_SET, LARGE_L = 24, 4
+#: Groups of tokens for lists by two tokens, and the shared tokens of a prefix that make LARGE_L shared pairs certain.
+PAIR_GROUPS = 24
+PAIR_L = PAIR_GROUPS + LARGE_L
+#: Larger sets stay with single tokens, as pairs of tokens grow with the square of a set.
+PAIR_MOST = 4_000
 
 
 class Limits(NamedTuple):
@@ -54,6 +63,13 @@ class Limits(NamedTuple):
     part_postings: int = 100_000
     bucket_matches: int = 8_000_000
     part_matches: int = 400_000
+    #: Lists by two tokens are thought of from so many tokens on, and made if all the pairs of records in the lists of
+    #: single tokens are more than so many times the pairs of tokens (of these, one in 23 passed by size and position).
+    pair_tokens: int = 50_000_000
+    pair_gain: float = 60
+    #: As above, of these lists: more in a part, so that what a task sends to each isn't too small.
+    pair_bucket_postings: int = 8_000_000
+    pair_part_postings: int = 800_000
 
 
 MOST_BUCKETS, MOST_PARTS = 100_000, 256
@@ -213,11 +229,26 @@ def _matches_wanted(n: np.ndarray) -> np.ndarray:
     return np.where(n >= LARGE_SET, LARGE_L, 1)
 
 
+def _pair_set(threshold: float) -> int:
+    """The size from which on sets that are similar share PAIR_L tokens."""
+    return int(_up(PAIR_L / threshold))
+
+
+def _by_two(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Sets that are listed by two tokens."""
+    return (n >= _pair_set(threshold)) & (n <= PAIR_MOST)
+
+
+def _prefix_length(n: np.ndarray, threshold: float, pairs: bool) -> np.ndarray:
+    wanted = np.where(_by_two(n, threshold), PAIR_L, _matches_wanted(n)) if pairs else _matches_wanted(n)
+    return np.minimum(n, n - _up(threshold * n) + wanted)
+
+
 def _up(x: np.ndarray | float) -> np.ndarray:
     return np.ceil(np.asarray(x) - 1e-9).astype(np.int64)
 
 
-def _records(tokens: Tokens, order, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(tokens: Tokens, order, threshold: float, pairs: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, payload, version) to (id, version, n, s1, s2, prefix_hash, prefix)."""
     counts = order.value
     shift = _U(64 - (len(counts).bit_length() - 1))
@@ -232,7 +263,7 @@ def _records(tokens: Tokens, order, threshold: float, batches: Iterator[pa.Recor
         flat = np.concatenate(sets)
         rank = counts[(flat >> shift).astype(np.int64)]
         s1, s2 = np.add.reduceat(_mix(flat), first), np.add.reduceat(_mix(flat ^ _K[2]), first)
-        length = np.minimum(n, n - _up(threshold * n) + _matches_wanted(n))
+        length = _prefix_length(n, threshold, pairs)
         prefixes, prints = [], []
         for own, start, size, cut in zip(sets, first.tolist(), n.tolist(), length.tolist()):
             prefix = own[np.argsort(rank[start : start + size], kind="stable")[:cut]]
@@ -310,57 +341,103 @@ def _prefix_tokens(prefixes: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(p, np.uint32).astype(_U) << _U(32) for p in prefixes.to_pylist()]
 
 
-def _postings(lengths, hot_list: int, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A list of two tokens is taken to be so much shorter than that of the rarer one; of pairs of records that met by one token, one in 11 did by two.
+_PAIR_SHARE = 8
+
+
+def _postings(lengths, hot_list: int, threshold: float, pairs: bool, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups (id, n, prefix) to packed postings; ``lengths``: how many prefixes have the tokens of each cell."""
-    blocks = _blocks(expected(lengths.value), hot_list).astype(np.int32)
-    shift = 32 - (len(blocks).bit_length() - 1)
+    lists = expected(lengths.value)
+    blocks, pair_blocks = (_blocks(lists, hot).astype(np.int32) for hot in (hot_list, hot_list * _PAIR_SHARE))
     for batch in batches:
         length = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4
         cuts = np.searchsorted(np.cumsum(length), np.arange(SLICE_POSTINGS, int(length.sum()) + SLICE_POSTINGS, SLICE_POSTINGS)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             if part := batch.slice(a, max(0, b - a)):
-                yield from _posted(part, blocks, shift, buckets, parts)
-
-
-def _posted(batch: pa.RecordBatch, blocks: np.ndarray, shift: int, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+                ids, sizes, own, position, key = _flat(part)
+                if not pairs:
+                    at = position < _prefix_length(sizes, threshold, False)[own]
+                    yield from _posted(key[at], key[at].astype(_U), ids[own[at]], sizes[own[at]], position[at], _times(key[at], blocks), buckets, parts)
+                    continue
+                # a set that may have a partner that isn't listed by two is listed by single tokens too; keys of two tokens are odd
+                some = ~_by_two(sizes, threshold) | (threshold * sizes < _pair_set(threshold)) | (sizes > threshold * PAIR_MOST)
+                at = np.flatnonzero((position < _prefix_length(sizes, threshold, False)[own]) & some[own])
+                single = key[at] & np.uint32(0xFFFFFFFE)
+                held = (single, single.astype(_U), at, _times(key[at], blocks))
+                for x, y in _pairs_of_tokens(np.flatnonzero(_by_two(sizes, threshold)[own]), own, key):
+                    whole = _mix(np.minimum(key[x], key[y]).astype(_U) << _U(32) | np.maximum(key[x], key[y]))
+                    times = np.minimum(_times(key[x], pair_blocks), _times(key[y], pair_blocks))
+                    two = ((whole >> _U(32)).astype(np.uint32) | np.uint32(1), whole, y, times)
+                    found, whole, at, times = (np.concatenate(c) for c in zip(held, two))
+                    yield from _posted(found, whole, ids[own[at]], sizes[own[at]], position[at], times, buckets, parts)
+                    held = tuple(c[:0] for c in held)
+                found, whole, at, times = held
+                yield from _posted(found, whole, ids[own[at]], sizes[own[at]], position[at], times, buckets, parts)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and sizes of records, and of each prefix token the record's place, the position and the token."""
     ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     prefixes = [np.frombuffer(p, np.uint32) for p in batch.column(2).to_pylist()]
     length = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
-    key = np.concatenate(prefixes)
     own = np.repeat(np.arange(len(length)), length)
-    position = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
-    times = blocks[key >> np.uint32(shift)].astype(np.int64)
-    block, home = np.full(len(key), -1, np.int64), np.full(len(key), -1, np.int64)
+    return ids, sizes, own, np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length), np.concatenate(prefixes)
+
+
+def _times(key: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return blocks[key >> np.uint32(32 - (len(blocks).bit_length() - 1))].astype(np.int64)
+
+
+def _pairs_of_tokens(at: np.ndarray, own: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x, y of two tokens of a record and a group, y after x in the prefix, for the tokens at ``at``; some SLICE_POSTINGS at a time."""
+    slot = own[at] * PAIR_GROUPS + (_mix(key[at].astype(_U)) % _U(PAIR_GROUPS)).astype(np.int64)
+    by = np.argsort(slot, kind="stable")
+    at, slot = at[by], slot[by]
+    end = np.searchsorted(slot, slot, side="right")
+    active, step, held, n_held = np.flatnonzero(np.arange(len(at)) + 1 < end), 1, [], 0
+    while len(active):
+        held.append((at[active], at[active + step]))
+        n_held += len(active)
+        step += 1
+        active = active[active + step < end[active]]
+        if n_held >= 5 * SLICE_POSTINGS or not len(active):
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, n_held = [], 0
+
+
+def _posted(key, whole, ids, sizes, position, times, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Postings of keys, ``whole`` being what they are the hash of, each spread over ``times`` blocks."""
     rest, hot = np.flatnonzero(times <= 1), np.flatnonzero(times > 1)
     if len(hot):
         # a record of block b meets every block c in the task of (min, max) of b and c; slices of hot postings, as each is repeated
         for mine in np.array_split(hot, max(1, -(-int(times[hot].sum()) // SLICE_POSTINGS))):
             n = times[mine]
             again = np.repeat(mine, n)
-            at_home = (_mix(ids[own[again]].view(_U)) % times[again].astype(_U)).astype(np.int64)
+            at_home = (_mix(ids[again].view(_U)) % times[again].astype(_U)).astype(np.int64)
             other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
             pair = np.minimum(at_home, other) * _MOST_BLOCKS + np.maximum(at_home, other)
-            yield from _sent(key[again], ids[own[again]], sizes[own[again]], position[again], pair, at_home, buckets, parts)
+            yield from _sent(key[again], whole[again], ids[again], sizes[again], position[again], pair, at_home, buckets, parts)
     if len(rest):
-        yield from _sent(key[rest], ids[own[rest]], sizes[own[rest]], position[rest], block[rest], home[rest], buckets, parts)
+        none = np.full(len(rest), -1, np.int64)
+        yield from _sent(key[rest], whole[rest], ids[rest], sizes[rest], position[rest], none, none, buckets, parts)
 
 
-def _sent(key, ids, size, position, block, home, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _sent(key, whole, ids, size, position, block, home, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
     by = np.argsort(key, kind="stable")
-    key, block = key[by], block[by]
-    columns = [key, ids[by], size[by].astype(np.int32), position[by].astype(np.int32), block.astype(np.int32), home[by].astype(np.int32)]
-    yield from _cut(columns, _mix(key.astype(_U) + _K[2] * (block + 1).astype(_U)), buckets, parts)
+    block = block[by]
+    columns = [key[by], ids[by], size[by].astype(np.int32), position[by].astype(np.int32), block.astype(np.int32), home[by].astype(np.int32)]
+    yield from _cut(columns, _mix(whole[by] + _K[2] * (block + 1).astype(_U)), buckets, parts)
 
 
 _MATCH = [np.int64, np.int64, np.int8, np.int8]  # a, b, how often (LARGE_L at most), whether one match is enough
 
 
-def _lists(threshold: float, flush_pairs: int, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(threshold: float, pairs: bool, flush_pairs: int, buckets: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's postings to packed matches by pair."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n_held = 0
     for postings in _parts(batches, _POSTING):
-        for found in _list_pairs(threshold, *postings):
+        for found in _list_pairs(threshold, pairs, *postings):
             held.append(found)
             n_held += len(found[0])
             if n_held >= flush_pairs:
@@ -370,8 +447,8 @@ def _lists(threshold: float, flush_pairs: int, buckets: int, parts: int, batches
         yield from _flush(held, buckets, parts)
 
 
-def _list_pairs(threshold: float, key, ids, size, position, block, home) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (a, b, matches wanted), a < b, of a part's token lists."""
+def _list_pairs(threshold: float, pairs: bool, key, ids, size, position, block, home) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b, matches wanted), a < b, of a part's lists; ``pairs``: odd keys are of two tokens, even ones are for pairs with a set too small or large for that."""
     # equal keys meet: sorted by key, then size, as one number; tokens of one record are left out
     by = np.argsort((key.astype(_U) << _U(32)) | size.astype(_U))
     sorted_key = key[by]
@@ -389,11 +466,17 @@ def _list_pairs(threshold: float, key, ids, size, position, block, home) -> Iter
     # a pair needs (rest of a) + L - 1 >= share * (both sizes), and so for b: room is what a posting has for it, cost what it asks
     share = threshold / (1 + threshold)
     wanted = _matches_wanted(size)
+    two = (key & np.uint32(1)).astype(bool) & pairs
+    wanted[two] = PAIR_L
     room, cost = size - position - share * size + 1e-9, share * size
     spread = (block >= 0).any()
     across = (block >= 0) & (block // _MOST_BLOCKS != block % _MOST_BLOCKS)
     most = room + wanted - 1
-    active, step = np.flatnonzero(np.arange(len(key)) + 1 < end), 1
+    meets = np.arange(len(key)) + 1 < end
+    if pairs:
+        small, large = size < _pair_set(threshold), size > PAIR_MOST
+        meets &= two | small | (size > threshold * PAIR_MOST - 1)
+    active, step = np.flatnonzero(meets), 1
     while len(active):
         other = active + step
         # sizes rise along a list: who is too small or short of room for this partner is so for all that follow
@@ -401,6 +484,8 @@ def _list_pairs(threshold: float, key, ids, size, position, block, home) -> Iter
         active, other = active[fits], other[fits]
         want = np.minimum(wanted[active], wanted[other])
         ok = (room[other] + want - 1 >= cost[active]) & (room[active] + want - 1 >= cost[other]) & (ids[active] != ids[other])
+        if pairs:
+            ok &= two[active] | small[active] | large[other]
         if spread:
             ok &= ~across[active] | (home[active] != home[other])  # pairs of one block have a task of their own
         a, b = ids[active[ok]], ids[other[ok]]
@@ -470,8 +555,10 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     """
     spark = sets.sparkSession
     sets = sets.where(F.col("id").isNotNull()).select("id", "payload", "version")
-    order = spark.sparkContext.broadcast(sketch(sets.select("id", "payload"), tokens))
-    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold), _RECORD).withColumn("row", F.monotonically_increasing_id()), f"{name}-records")
+    counts = sketch(sets.select("id", "payload"), tokens)
+    large = int(counts.sum(dtype=np.int64)) >= limits.pair_tokens
+    order = spark.sparkContext.broadcast(counts)
+    records = stage(sets.mapInArrow(partial(_records, tokens, order, threshold, large), _RECORD).withColumn("row", F.monotonically_increasing_id()), f"{name}-records")
     # a version without tokens has no record and may be the last, so versions are compared before
     last = sets.groupBy("id").agg(F.max(F.coalesce("version", F.lit(-(1 << 62)))).alias("version"))
     oldest = F.lit(-(1 << 62))
@@ -498,9 +585,17 @@ def similar(sets: DataFrame, tokens: Tokens, threshold: float, name: str = "sets
     lists, lengths = expected(counts), spark.sparkContext.broadcast(counts)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_postings, n_matches = int((counts * _blocks(lists, limits.hot_list)).sum()), int((lists * (lists - 1) / 2).sum())
-    posted, summed = _layout(n_postings, tasks, limits.bucket_postings, limits.part_postings), _layout(n_matches, tasks, limits.bucket_matches, limits.part_matches)
-    postings = prefixes.mapInArrow(partial(_postings, lengths, limits.hot_list, *posted), _PACKED).repartitionById(posted[0], "bucket").sortWithinPartitions("bucket", "part")
-    matches = postings.mapInArrow(partial(_lists, threshold, limits.flush_pairs, *summed), _PACKED).repartitionById(summed[0], "bucket").sortWithinPartitions("bucket", "part")
+    by_two = False
+    if large:
+        length = F.length("prefix") / 4
+        n_two = prefixes.where(F.col("n").between(_pair_set(threshold), PAIR_MOST)).agg(F.sum(length * (length - 1)).alias("s")).first()["s"] or 0
+        n_two = int(n_two / (2 * PAIR_GROUPS))
+        if by_two := n_matches > limits.pair_gain * n_two:
+            n_postings, n_matches = n_postings + n_two, n_matches // PAIR_GROUPS
+    sizes = (limits.pair_bucket_postings, limits.pair_part_postings) if by_two else (limits.bucket_postings, limits.part_postings)
+    posted, summed = _layout(n_postings, tasks, *sizes), _layout(n_matches, tasks, limits.bucket_matches, limits.part_matches)
+    postings = prefixes.mapInArrow(partial(_postings, lengths, limits.hot_list, threshold, by_two, *posted), _PACKED).repartitionById(posted[0], "bucket").sortWithinPartitions("bucket", "part")
+    matches = postings.mapInArrow(partial(_lists, threshold, by_two, limits.flush_pairs, *summed), _PACKED).repartitionById(summed[0], "bucket").sortWithinPartitions("bucket", "part")
     pairs = matches.mapInArrow(_candidates, "a long, b long")
     pairs = stage(pairs, f"{name}-pairs")
     unstage(records)  # held has what is still needed of them

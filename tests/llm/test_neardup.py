@@ -120,3 +120,50 @@ def test_texts_longer_than_a_chunk(monkeypatch):
     cut = neardup.shingles(pa.array([text, "", None, text + "end"]))
     neardup._powers.cache_clear()
     assert [len(s) for s in whole] == [len(s) for s in cut] and all(np.array_equal(a, b) for a, b in zip(whole, cut)) and len(whole[1]) == len(whole[2]) == 0
+
+
+BY_TWO = SMALL._replace(hot_list=2, bucket_postings=600, part_postings=90, bucket_matches=800, part_matches=110, pair_tokens=0, pair_gain=0, pair_bucket_postings=9_000, pair_part_postings=900)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_lists_by_two_tokens_find_all_pairs(spark, threshold):
+    rng = random.Random(11)
+    base = [[rng.randrange(3000) for _ in range(size)] for size in (8, 36, 50, 60, 70, 110, 150)]
+    rows = []
+    for i in range(110):
+        own, keep = base[i % 7], rng.choice([0.8, 0.9, 0.97])
+        kept = own[: rng.randrange(len(own) // 2, len(own))] if i % 3 else own
+        rows.append((i, [t if rng.random() < keep else rng.randrange(3000) for t in kept] + [7]))
+    members, pairs = run(spark, rows, threshold, BY_TWO)
+    expect = brute({i: set(t) for i, t in rows}, threshold)
+    sizes = {i: len(set(t)) for i, t in rows}
+    assert any(sizes[a] < neardup._pair_set(threshold) <= sizes[b] for a, b in expect) and any(sizes[a] > 90 < sizes[b] for a, b in expect)
+    assert {tuple(r) for r in neardup.expanded(members, pairs).collect()} == expect
+
+
+def test_phrases_shared_by_chance_make_few_matches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    # 400 records of 40 of 2,000 phrases, each of 3 tokens: many pairs share a phrase, none but the last are similar
+    sets = [(np.sort(rng.choice(2_000, 40, replace=False))[:, None] * 3 + np.arange(3)).ravel() for _ in range(400)]
+    copy = sets[0].copy()
+    copy[:30] = np.arange(30) + 90_000
+    sets.append(copy)
+    tokens = [np.unique(neardup._mix(s.astype(np.uint64))) for s in sets]
+    n = np.array([len(t) for t in tokens])
+
+    def matches(by_two):
+        length = neardup._prefix_length(n, 0.5, by_two)
+        prefixes = [(t[:k] >> np.uint64(32)).astype(np.uint32).tobytes() for t, k in zip(tokens, length)]
+        batch = pa.record_batch([pa.array(range(len(n)), pa.int64()), pa.array(n), pa.array(prefixes, pa.binary())], names=["id", "n", "prefix"])
+
+        class lengths:
+            value = np.ones(1 << 12, np.int32)
+
+        packed = list(neardup._postings(lengths, 5_000, 0.5, by_two, 1, 1, iter([batch])))
+        return [p for part in neardup._parts(iter(packed), neardup._POSTING) for a, b, _ in neardup._list_pairs(0.5, by_two, *part) for p in zip(a.tolist(), b.tolist())]
+
+    one, two = matches(False), matches(True)
+    assert one.count((0, 400)) >= neardup.LARGE_L and two.count((0, 400)) >= neardup.LARGE_L
+    assert len(set(two)) < len(set(one)) / 3, (len(set(two)), len(set(one)))
